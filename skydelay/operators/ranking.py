@@ -159,7 +159,7 @@ def upcoming_flights(df: DataFrame, as_of: str, limit: int = 50) -> DataFrame:
     from skydelay.operators.rows import upcoming_window
     w = upcoming_window(df, as_of)
     matched = w.agg(F.count(F.lit(1))).scalar()
-    rows = w.orderBy(F.col("_flight_date").asc_nulls_last(), *_tiebreak(w)).limit(clamp_limit(limit))
+    rows = w.orderBy(*_schedule_order(w)).limit(clamp_limit(limit))
     base = _formatted(rows)
     origin, dest = F.col("origin_airport"), F.col("destination_airport")
     return rows.select(*base, X.format_hhmm("SCHEDULED_DEPARTURE").alias("scheduled_departure"),
@@ -168,9 +168,11 @@ def upcoming_flights(df: DataFrame, as_of: str, limit: int = 50) -> DataFrame:
         .withColumn("matched", matched)
 
 
-def _tiebreak(df: DataFrame) -> list[Column]:
-    """Stable order among equal sort values: the row's own content (file order is not defined in Spark)."""
-    return [F.col(c).asc_nulls_last() for c in df.columns if c not in ("_flight_date", "used_future")]
+def _schedule_order(df: DataFrame) -> list[Column]:
+    """Date, departure key, then the flight's identity: rows still tied have identical formatted output."""
+    tail = [c for c in ("AIRLINE", "FLIGHT_NUMBER", "ORIGIN_AIRPORT", "DESTINATION_AIRPORT", "DISTANCE") if c in df.columns]
+    return [F.col("_flight_date").asc_nulls_last(), X.departure_sort_key("SCHEDULED_DEPARTURE").asc(),
+            *[F.col(c).asc_nulls_last() for c in tail]]
 
 
 # F3 -----------------------------------------------------------------------------------------------
@@ -181,8 +183,7 @@ def airport_departures(df: DataFrame, airport: str, as_of: str, limit: int = 50)
     f = df.where(X.code_text("ORIGIN_AIRPORT") == code)
     w = upcoming_window(f, as_of).withColumn("__dep", X.departure_sort_key("SCHEDULED_DEPARTURE"))
     matched = w.agg(F.count(F.lit(1))).scalar()
-    rows = w.orderBy(F.col("_flight_date").asc_nulls_last(), "__dep",
-                     *[c for c in _tiebreak(w) if "__dep" not in str(c)]).limit(clamp_limit(limit))
+    rows = w.orderBy(*_schedule_order(w.drop("ORIGIN_AIRPORT"))).limit(clamp_limit(limit))
     fn = X.flight_number_text("FLIGHT_NUMBER")
     airline = F.upper(X.blank_to_null("AIRLINE"))
     return rows.select(F.date_format("_flight_date", "yyyy-MM-dd").alias("flight_date"),
@@ -288,6 +289,7 @@ def destinations_board(dep: DataFrame, airports: DataFrame, country: str | None
     first = keep_first(d.where(F.col("__dest").isNotNull()), ["__dest"],
                        [F.col("_flight_date"), F.col("__dep")])
     return first.orderBy(F.col("_flight_date").asc_nulls_last(), "__dep", "__dest").limit(n) \
-        .select(F.col("__dest").alias("destination_airport"), F.col("dest_airport_name").alias("airport_name"),
+        .select(F.col("__dest").alias("destination_airport"),
+                F.coalesce(F.col("dest_airport_name"), F.col("__dest")).alias("airport_name"),
                 F.date_format("_flight_date", "yyyy-MM-dd").alias("flight_date"),
                 X.format_hhmm("SCHEDULED_DEPARTURE").alias("scheduled_departure"), F.upper(F.col("AIRLINE")).alias("airline"))

@@ -222,7 +222,14 @@ def best_options(df: DataFrame, prob: str = "delay_probability", origin="ORIGIN_
     by_dep = df.where(F.col(dep).isNotNull() & F.col(prob).isNotNull()).groupBy(*r).agg(
         F.min_by(X.format_hhmm(dep), F.struct(F.col(prob), X.departure_sort_key(dep))).alias("lower_risk_departure"))
     keys = df.select(*r).distinct()
-    return keys.join(by_day, r, "left").join(by_air, r, "left").join(by_dep, r, "left")
+    return _left_ns(_left_ns(_left_ns(keys, by_day, r), by_air, r), by_dep, r)
+
+
+def _left_ns(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on null-safe key equality (a route with a missing side is still a group)."""
+    rr = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    out = left.join(rr, [left[k].eqNullSafe(rr[f"__r_{k}"]) for k in keys], "left")
+    return out.drop(*[f"__r_{k}" for k in keys])
 
 
 # D16 ----------------------------------------------------------------------------------------------
@@ -260,20 +267,23 @@ def partition_counts(df: DataFrame, cols: Sequence[str] = ("year", "month")) ->
 
 # D20 ----------------------------------------------------------------------------------------------
 def impute_values(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """(feature, kind, value): exact median per numeric column, most frequent per categorical (smallest on ties).
+    """(feature, kind, num_value, cat_value): exact median per numeric column, most frequent per categorical
+    (smallest on ties).
 
     Medians use ``percentile`` (exact); the most frequent value is a count per (feature, value) then min_by."""
     out = None
     if numeric:
         med = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in numeric])
         long = med.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit("numeric").alias("kind"),
-                                                      F.col(c).cast("string").alias("value")) for c in numeric])))
+                                                      F.col(c).cast("double").alias("num_value"),
+                                                      F.lit(None).cast("string").alias("cat_value")) for c in numeric])))
         out = long
     if categorical:
         pairs = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
                                              for c in categorical]))).where(F.col("value").isNotNull())
         counts = pairs.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
         top = counts.groupBy("feature").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value")) \
-            .select("feature", F.lit("categorical").alias("kind"), "value")
+            .select("feature", F.lit("categorical").alias("kind"), F.lit(None).cast("double").alias("num_value"),
+                    F.col("value").alias("cat_value"))
         out = top if out is None else out.unionByName(top)
     return out
