@@ -151,6 +151,8 @@ def with_ctes(names: list[str], body: str) -> str:
     parts = [f"{v} AS (\n{FX.view_sql(v, 'duckdb')}\n)" for v in FX.ORDER if v in views]
     parts += [f"{e} AS (\n{EXTRA[e].strip()}\n)" for e in ORDER if e in extras]
     body = body.strip()
+    if not parts:
+        return body
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body
