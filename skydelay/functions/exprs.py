@@ -13,6 +13,16 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+NUMERIC_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def text_to_double(c) -> Column:
+    """Numeric text -> double, anything else -> null. The pattern check runs first so non-numeric text never reaches
+    the cast (a failed cast is far more expensive than a regex test)."""
+    t = col(c).cast("string")
+    return F.when(t.rlike(NUMERIC_TEXT), t.try_cast("double"))
+
+
 def blank_to_null(c) -> Column:
     """Trimmed text, with '' -> null."""
     t = F.trim(col(c).cast("string"))
@@ -92,7 +102,7 @@ def is_delayed(delay, minutes: float = 15) -> Column:
 # H8 -----------------------------------------------------------------------------------------------
 def clamp_hhmm(value, default: int = 1200) -> Column:
     """Parse a number (default when unparseable), clamp to 0..2359, hour 0..23, minutes 0..59."""
-    raw = F.coalesce(col(value).cast("string").try_cast("double").cast("long"), F.lit(default))
+    raw = F.coalesce(text_to_double(value).cast("long"), F.lit(default))
     raw = F.least(F.greatest(raw, F.lit(0)), F.lit(2359))
     hour = F.least(F.greatest(F.floor(raw / 100), F.lit(0)), F.lit(23))
     minute = F.least(F.greatest(F.pmod(raw, F.lit(100)), F.lit(0)), F.lit(59))
@@ -103,7 +113,7 @@ def clamp_hhmm(value, default: int = 1200) -> Column:
 def format_hhmm(value) -> Column:
     """HHMM -> 'HH:MM' (clamped 0..2359, minutes <= 59); non-numeric text passes trimmed; blank -> null."""
     text = F.trim(col(value).cast("string"))
-    num = text.try_cast("double").cast("long")
+    num = text_to_double(text).cast("long")
     raw = F.least(F.greatest(num, F.lit(0)), F.lit(2359))
     fmt = F.format_string("%02d:%02d", F.floor(raw / 100).cast("int"), F.least(F.pmod(raw, F.lit(100)), F.lit(59)).cast("int"))
     return F.when(num.isNotNull(), fmt).when(text != "", text)
@@ -113,10 +123,10 @@ def format_hhmm(value) -> Column:
 def departure_sort_key(value) -> Column:
     """Number -> that number; 'H:M' digits -> H*100+M; anything else (or null) -> 9999."""
     text = F.trim(col(value).cast("string"))
-    num = text.try_cast("double").cast("long")
+    num = text_to_double(text).cast("long")
     hh = F.regexp_extract(text, r"^([0-9]+):([0-9]+)$", 1)
     mm = F.regexp_extract(text, r"^([0-9]+):([0-9]+)$", 2)
-    clock = F.when(hh != "", hh.try_cast("long") * 100 + mm.try_cast("long"))
+    clock = F.when(hh != "", hh.cast("long") * 100 + mm.cast("long"))
     return F.coalesce(num, clock, F.lit(9999)).cast("long")
 
 
@@ -124,7 +134,7 @@ def departure_sort_key(value) -> Column:
 def flight_number_text(value) -> Column:
     """Integer text of a flight number; non-numeric text trimmed; blank -> null."""
     text = F.trim(col(value).cast("string"))
-    num = text.try_cast("double").cast("long")
+    num = text_to_double(text).cast("long")
     return F.when(num.isNotNull(), num.cast("string")).when(text != "", text)
 
 

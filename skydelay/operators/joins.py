@@ -81,20 +81,22 @@ def apply_rates(df: DataFrame, rates: DataFrame, global_rate) -> DataFrame:
 MATCH_KEYS = ("YEAR", "MONTH", "DAY", "AIRLINE", "ORIGIN_AIRPORT", "DESTINATION_AIRPORT")
 
 
-def _norm_key(c: str):
-    """Numeric-looking keys compare as numbers, other keys as text."""
+def _norm_key(df: DataFrame, c: str):
+    """Numeric-looking keys compare as numbers, other keys as text (numeric columns skip the text test)."""
+    if dict(df.dtypes)[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") or \
+            dict(df.dtypes)[c].startswith("decimal"):
+        return F.col(c).cast("double").cast("string")
     text = F.trim(F.col(c).cast("string"))
-    num = text.try_cast("double")
-    return F.coalesce(num.cast("string"), text)
+    return F.coalesce(X.text_to_double(text).cast("string"), text)
 
 
 def match_actuals(pred: DataFrame, actual: DataFrame, target: str = "IS_DELAYED", delay: str = "ARRIVAL_DELAY") -> DataFrame:
     """Inner equi join of predictions and actuals on Y, M, D, airline, origin, destination (+ flight number when both
     have it); adds actual_is_delayed and actual_arrival_delay."""
     keys = list(MATCH_KEYS) + (["FLIGHT_NUMBER"] if "FLIGHT_NUMBER" in pred.columns and "FLIGHT_NUMBER" in actual.columns else [])
-    a = actual.select(*[_norm_key(k).alias(f"__a_{k}") for k in keys],
+    a = actual.select(*[_norm_key(actual, k).alias(f"__a_{k}") for k in keys],
                       F.col(target).alias("actual_is_delayed"), F.col(delay).alias("actual_arrival_delay"))
-    p = pred.withColumns({f"__p_{k}": _norm_key(k) for k in keys})
+    p = pred.withColumns({f"__p_{k}": _norm_key(pred, k) for k in keys})
     cond = [p[f"__p_{k}"] == a[f"__a_{k}"] for k in keys]
     return p.join(a, cond, "inner").drop(*[f"__p_{k}" for k in keys], *[f"__a_{k}" for k in keys])
 

@@ -229,6 +229,8 @@ def suggest_flights(schedule: DataFrame, request: dict, n: int = 3, prob: str =
     """Two attempts (route + date filters; route only), the requested flight excluded, ordered by probability,
     date, same airline first, departure; de-duplicated across attempts (the earlier attempt wins); n rows."""
     from skydelay.operators.rows import exclude_requested, filter_flights
+    if "_flight_date" not in schedule.columns:
+        schedule = schedule.withColumn("_flight_date", X.flight_date(schedule.columns))
     airline = (request.get("airline") or "").strip().upper() or None
     attempts = [
         filter_flights(schedule, origin=request.get("origin_airport"), dest=request.get("destination_airport"),

@@ -168,6 +168,9 @@ def roc_auc(df: DataFrame, label: str = "actual_is_delayed", score: str = "delay
     y = F.col(label).cast("int")
     hist = df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
+    # one row per distinct score, read four times below: materialize it once
+    from skydelay.session import cut_lineage
+    hist = cut_lineage(hist)
     lo = hist.agg(F.min("s")).scalar()
     hi = hist.agg(F.max("s")).scalar()
     width = F.when(hi > lo, (hi - lo) / buckets).otherwise(F.lit(1.0))

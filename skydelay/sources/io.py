@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skydelay.functions import exprs as X
+
 
 def _fs_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -106,7 +108,8 @@ def flights_typed(df: DataFrame) -> DataFrame:
     cols = []
     for c in df.columns:
         t = COMPACT_TYPES.get(c.upper())
-        v = F.col(c).cast("string").try_cast(t) if t else F.col(c)
+        v = (X.text_to_double(F.col(c)).cast(t) if t else F.col(c)) if dict(df.dtypes)[c] == "string" else \
+            (F.col(c).cast(t) if t else F.col(c))
         cols.append(v.alias(c.lower()))
     return df.select(*cols)
 
@@ -240,15 +243,15 @@ def infer_numeric_columns(df: DataFrame, columns: Sequence[str] | None = None) -
     cand = [c for c, t in df.dtypes if t == "string" and (columns is None or c in columns)]
     if not cand:
         return df
-    stats = df.agg(*[(F.count(c) == F.count(F.col(c).try_cast("double"))).alias(c) for c in cand]).first()
+    stats = df.agg(*[(F.count(c) == F.count(X.text_to_double(F.col(c)))).alias(c) for c in cand]).first()
     conv = [c for c in cand if stats[c]]
-    return df.withColumns({c: F.col(c).try_cast("double") for c in conv}) if conv else df
+    return df.withColumns({c: X.text_to_double(F.col(c)) for c in conv}) if conv else df
 
 
 def numeric_convertible(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, convertible) for each text column: the decision A15 takes, as a DataFrame."""
     cand = [c for c, t in df.dtypes if t == "string" and (columns is None or c in columns)]
-    agg = df.agg(*[(F.count(c) == F.count(F.col(c).try_cast("double"))).alias(c) for c in cand])
+    agg = df.agg(*[(F.count(c) == F.count(X.text_to_double(F.col(c)))).alias(c) for c in cand])
     return agg.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("convertible"))
                                          for c in cand])))
 
