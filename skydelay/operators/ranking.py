@@ -120,16 +120,17 @@ def latest_route_update(df: DataFrame, session: str = "session_id", turn: str =
 
 
 # E12 ----------------------------------------------------------------------------------------------
-def top_attributions(df: DataFrame, row_id: str, features: Sequence[str], value_prefix: str = "",
+def top_attributions(df: DataFrame, row_id, features: Sequence[str], value_prefix: str = "",
                      attr_prefix: str = "attr_", k: int = 5) -> DataFrame:
-    """Per row the k largest |attribution| in long form: row, rank, feature, value, attribution, abs."""
+    """Per row the k largest |attribution| in long form: row id column(s), rank, feature, value, attribution, abs."""
+    ids = [row_id] if isinstance(row_id, str) else list(row_id)
     items = F.array(*[F.struct(F.abs(F.col(attr_prefix + f)).alias("abs"), F.lit(i).alias("i"), F.lit(f).alias("feature"),
                                F.col(value_prefix + f).cast("string").alias("value"), F.col(attr_prefix + f).alias("attribution"))
                       for i, f in enumerate(features)])
     ordered = F.array_sort(items, lambda a, b: F.when(a["abs"] > b["abs"], -1).when(a["abs"] < b["abs"], 1)
                            .otherwise(a["i"] - b["i"]))
-    return df.select(row_id, F.posexplode(F.slice(ordered, 1, k)).alias("pos", "t")).select(
-        row_id, (F.col("pos") + 1).alias("rank"), "t.feature", "t.value", "t.attribution", "t.abs")
+    return df.select(*ids, F.posexplode(F.slice(ordered, 1, k)).alias("pos", "t")).select(
+        *ids, (F.col("pos") + 1).alias("rank"), "t.feature", "t.value", "t.attribution", "t.abs")
 
 
 # F1 -----------------------------------------------------------------------------------------------

@@ -124,14 +124,8 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(r AS INTEGER) AS ran
       'attribution': e.attribution}})) AS items, unnest(range(1, 4)) AS r FROM a) s""", ("processed",))
 def q_i11(spark, sf):
     t = pre(spark, sf).test
-    key = F.concat_ws("|", *[F.col(k).cast("string") for k in KEYS])
     means = {f: t.agg(F.avg(f)).scalar() for f in LINEAR}
-    feats = list(LINEAR)
-    out = t.select(*KEYS, key.alias("__row"), *[F.col(f).cast("double").alias(f) for f in feats],
-                   *[((F.col(f).cast("double") - means[f]) * F.lit(LINEAR[f])).alias(f"attr_{f}") for f in feats])
-    from skydelay.operators.ranking import top_attributions
-    top = top_attributions(out, "__row", feats, k=3)
-    return top.join(out.select("__row", *KEYS), "__row").select(*KEYS, "rank", "feature", "attribution")
+    return ml.explain_linear(t, KEYS, LINEAR, means, k=3).select(*KEYS, "rank", "feature", "attribution")
 
 
 @query("I11_explain_rows")

@@ -21,7 +21,7 @@ def test_kth_smallest_matches_brute_force(spark):
     rows = [(rnd.choice(["a", "b", "c", None]), f"{rnd.getrandbits(128):032x}") for _ in range(3000)]
     df = spark.createDataFrame(rows, "g string, h string")
     cut = kth_smallest_per_group(df, "h", ["g"], lambda n: F.floor(n * 0.7))
-    got = {r.g: r.__cut for r in cut.collect()}
+    got = {r["g"]: r["__cut"] for r in cut.collect()}
     w = Window.partitionBy("g").orderBy("h")
     ranked = df.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("g")))
     want = {r.g: r.h for r in ranked.where(F.col("rn") == F.floor(F.col("n") * 0.7)).collect()}
