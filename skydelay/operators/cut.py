@@ -4,10 +4,9 @@ Used by the deterministic split (E1) and sampling (B21): rows are ordered by an
 of each group are wanted. Instead of ``row_number`` over the whole group (one task per group: a third of the data for
 a hot class) the cut value is found by histogram refinement:
 
-1. count rows per (group, first 4 hex chars): <= 65,536 buckets per group; a running sum over that small table finds
-   the bucket holding the k-th row and the rank left inside it;
-2. repeat inside that bucket on the next 4 hex chars;
-3. the rows left (about n / 2^32 per group) are ranked exactly.
+1. count rows per (group, first 6 hex chars): at most 16.7 M buckets per group (a few hundred MB even at 10^12 rows);
+   a running sum over that table finds the bucket holding the k-th row and the rank left inside it;
+2. the rows of that bucket (about n / 2^24 per group: ~20,000 for a group of 3 x 10^11 rows) are ranked exactly.
 
 Each step is a distributed scan + partial aggregate; only bucket counts move. The result is one row per group:
 ``group..., __cut`` where selecting ``hash <= __cut`` keeps exactly the k smallest (hashes are unique per row).
@@ -24,7 +23,7 @@ from skydelay.session import cut_lineage
 
 ALL = "g"   # sorts after every hex digit: keep every row
 NONE = ""   # sorts before every hex string: keep no row
-_LEVELS = ((1, 4), (5, 4))
+_LEVELS = ((1, 6),)
 ONE = "__all"  # constant group key used when there are no group columns
 
 
@@ -34,7 +33,7 @@ def kth_smallest_per_group(df: DataFrame, hash_col: str, groups: Sequence[str],
     size column. Groups with k >= n get ALL, k <= 0 get NONE. Without group columns the result has the constant key
     ``__all`` = 0 (join on it, or use ``.select('__cut').scalar()``).
 
-    The narrow (group, hash) projection is read three times; with ``materialize`` it is checkpointed once so the
+    The narrow (group, hash) projection is read twice; with ``materialize`` it is checkpointed once so the
     input plan (often a multi-way join) runs once."""
     base = df if groups else df.withColumn(ONE, F.lit(0))
     g = list(groups) if groups else [ONE]

@@ -29,11 +29,16 @@ def global_rate(df: DataFrame, target: str = "IS_DELAYED") -> DataFrame:
 
 
 # D2 -----------------------------------------------------------------------------------------------
-def rate_tables(df: DataFrame, target: str = "IS_DELAYED") -> DataFrame:
+GLOBAL_RATE = "GLOBAL_DELAY_RATE"
+
+
+def rate_tables(df: DataFrame, target: str = "IS_DELAYED", include_global: bool = False) -> DataFrame:
     """Mean target by origin, destination, airline, route and airline x weekday in ONE pass (grouping sets).
-    Long form: (rate, key, value, n). Null keys are excluded."""
+    Long form: (rate, key, value, n). Null keys are excluded. ``include_global`` adds the overall mean (key null) from
+    the same pass (an empty grouping set)."""
     keys = list(dict.fromkeys(RATE_KEYS.values()))
-    g = df.groupingSets([[k] for k in keys], *keys).agg(
+    sets = [[k] for k in keys] + ([[]] if include_global else [])
+    g = df.groupingSets(sets, *keys).agg(
         F.avg(target).alias("value"), F.count(F.lit(1)).alias("n"), F.grouping_id().alias("__gid"))
     n = len(keys)
     rows = []
@@ -41,6 +46,9 @@ def rate_tables(df: DataFrame, target: str = "IS_DELAYED") -> DataFrame:
         gid = sum(1 << (n - 1 - j) for j, k in enumerate(keys) if k != key)
         rows.append(g.where((F.col("__gid") == gid) & F.col(key).isNotNull())
                     .select(F.lit(rate).alias("rate"), F.col(key).cast("string").alias("key"), "value", "n"))
+    if include_global:
+        rows.append(g.where(F.col("__gid") == (1 << n) - 1).select(
+            F.lit(GLOBAL_RATE).alias("rate"), F.lit(None).cast("string").alias("key"), "value", "n"))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

@@ -69,9 +69,10 @@ def preprocess(flights: DataFrame, airports: DataFrame, airlines: DataFrame, tes
     test = split.where(~F.col("is_train")).drop("is_train")
     # rate tables have one row per key value (bounded by the dimensions, not the flights) and are read by five
     # lookups in three outputs: materialize them once
-    rates = cut_lineage(D.rate_tables(train))
-    g = cut_lineage(D.global_rate(train))
-    gr = g.first()["global_rate"]  # one-row aggregate
+    all_rates = cut_lineage(D.rate_tables(train, include_global=True))
+    rates = all_rates.where(F.col("rate") != D.GLOBAL_RATE)
+    g = all_rates.where(F.col("rate") == D.GLOBAL_RATE).select(F.col("value").alias("global_rate"))
+    gr = g.first()["global_rate"]  # the one global row
     return Preprocessed(
         flights_processed=J.apply_rates(data, rates, gr),
         train=J.apply_rates(train, rates, gr),

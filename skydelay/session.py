@@ -64,7 +64,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Materialize a DataFrame that later steps read several times, in the shared checkpoint folder (reliable
-    checkpoint: survives executor loss, unlike a local or cached copy)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialize a DataFrame that later steps read several times as a parquet table in the shared checkpoint folder.
+
+    Unlike a cached or local copy it survives executor loss; unlike ``Dataset.checkpoint`` (Java-serialized rows read
+    back as an opaque RDD) the table is columnar and compressed, and reads of it get column pruning and filter
+    pushdown."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
