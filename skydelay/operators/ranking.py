@@ -267,12 +267,19 @@ def union_attempts(parts: Sequence[DataFrame], dedupe: Sequence[Column], order:
 # F7 -----------------------------------------------------------------------------------------------
 def search_callsigns(catalog: DataFrame, queries: DataFrame, n: int = 8, key: str = "callsign",
                      query_id: str = "query_id", query: str = "query") -> DataFrame:
-    """Per query: callsigns starting with the query first, then those containing it (each by callsign), n rows; a
-    blank query lists the first n callsigns. The candidate side is joined on the query's first character class
-    bucket only when the query is non-blank; matching is exact containment."""
+    """Per query: callsigns starting with the query first, then those containing it (each group by callsign), n rows;
+    a blank query lists the first n callsigns. Containment is an equi join on a blocking gram (the query's first 1-3
+    characters against every 1-3 character gram of each callsign) plus the exact residual; blank queries join the
+    global first n on an empty key. No nested-loop join."""
+    from skydelay.operators.geo_text import _grams, _prefix_gram
     q = queries.select(query_id, F.upper(F.trim(F.col(query))).alias("__q"))
-    c = catalog.select(F.col(key).alias("__c")).where(F.col("__c").isNotNull()).distinct()
-    j = q.join(c, (F.col("__q") == "") | F.col("__c").contains(F.col("__q")), "inner")
+    c = catalog.select(F.col(key).alias("__c")).where(F.col("__c").isNotNull() & (F.col("__c") != "")).distinct()
+    grams = c.select("__c", F.explode(_grams(F.col("__c"))).alias("__g"))
+    hits = q.where(F.col("__q") != "").withColumn("__g", _prefix_gram(F.col("__q"))).join(grams, "__g") \
+        .where(F.col("__c").contains(F.col("__q"))).select(query_id, "__q", "__c")
+    first = c.orderBy("__c").limit(n).withColumn("__q", F.lit(""))  # bounded: n rows
+    blanks = q.where(F.col("__q") == "").join(first, "__q").select(query_id, "__q", "__c")
+    j = hits.unionByName(blanks)
     prio = F.when(F.col("__q") == "", 0).when(F.col("__c").startswith(F.col("__q")), 0).otherwise(1)
     w = Window.partitionBy(query_id).orderBy(prio, "__c")
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n) \
