@@ -277,18 +277,40 @@ def partition_counts(df: DataFrame, cols: Sequence[str] = ("year", "month")) ->
 
 
 # D20 ----------------------------------------------------------------------------------------------
-def impute_values(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """(feature, kind, num_value, cat_value): exact median per numeric column, most frequent per categorical
-    (smallest on ties).
+def exact_median(df: DataFrame, c: str, accuracy: int = 1_000_000) -> Column:
+    """Exact median (mean of the two middle values for an even count) as a scalar Column, without holding every
+    distinct value in one task.
+
+    ``percentile_approx`` ranks are within n / accuracy of the requested rank, so the values it returns for
+    0.5 -/+ 2 / accuracy bracket the true median. Only the rows inside that bracket (about 4 n / accuracy) are
+    ranked exactly; the rank offset is the exact count of rows below the bracket."""
+    x = df.select(F.col(c).cast("double").alias("__x")).where(F.col("__x").isNotNull())
+    e = 2.0 / accuracy
+    st = x.agg(F.count(F.lit(1)).alias("n"),
+               F.percentile_approx("__x", F.array(F.lit(max(0.0, 0.5 - e)), F.lit(min(1.0, 0.5 + e))), accuracy).alias("b"))
+    n = st.select("n").scalar()
+    lo = st.select(F.col("b")[0]).scalar()
+    hi = st.select(F.col("b")[1]).scalar()
+    below = x.where(F.col("__x") < lo).agg(F.count(F.lit(1))).scalar()
+    k1 = F.floor((n + 1) / 2)   # lower middle rank (1-based)
+    k2 = F.floor(n / 2) + 1     # upper middle rank
+    inside = x.where((F.col("__x") >= lo) & (F.col("__x") <= hi))
+    ranked = inside.withColumn("__r", F.row_number().over(Window.orderBy("__x")) + below)  # bracket rows only
+    return ranked.where((F.col("__r") == k1) | (F.col("__r") == k2)).agg(F.avg("__x")).scalar()
+
 
-    Medians use ``percentile`` (exact); the most frequent value is a count per (feature, value) then min_by."""
+def impute_values(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """(feature, kind, num_value, cat_value): exact median per numeric column (see ``exact_median``), most frequent
+    value per categorical column (smallest on ties: a count per (feature, value), then min_by)."""
     out = None
+    spark = df.sparkSession
     if numeric:
-        med = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in numeric])
-        long = med.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit("numeric").alias("kind"),
-                                                      F.col(c).cast("double").alias("num_value"),
-                                                      F.lit(None).cast("string").alias("cat_value")) for c in numeric])))
-        out = long
+        rows = [spark.range(1).select(F.lit(c).alias("feature"), F.lit("numeric").alias("kind"),
+                                      exact_median(df, c).cast("double").alias("num_value"),
+                                      F.lit(None).cast("string").alias("cat_value")) for c in numeric]
+        out = rows[0]
+        for r in rows[1:]:
+            out = out.unionByName(r)
     if categorical:
         pairs = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
                                              for c in categorical]))).where(F.col("value").isNotNull())

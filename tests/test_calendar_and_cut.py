@@ -43,3 +43,15 @@ def test_keep_first_nulls_last_and_hot_key(spark):
     df = spark.createDataFrame(rows, "k string, o int, v int")
     got = {r.k: (r.o, r.v) for r in keep_first(df, ["k"], [F.col("o"), F.col("v")]).collect()}
     assert got == {"hot": (0, 50), "cold": (3, -1)}
+
+
+def test_exact_median_matches_brute_force(spark):
+    import statistics
+
+    from skydelay.operators.stats import exact_median
+    for n, hi in ((1, 9), (2, 9), (1000, 50), (1001, 10**6)):
+        rng = random.Random(n)
+        vals = [float(rng.randint(0, hi)) + rng.random() * (hi > 100) for _ in range(n)] + [None]
+        df = spark.createDataFrame([(v,) for v in vals], "v double").repartition(3)
+        got = spark.range(1).select(exact_median(df, "v", accuracy=100)).first()[0]
+        assert got == statistics.median([v for v in vals if v is not None])
