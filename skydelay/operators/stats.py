@@ -305,8 +305,10 @@ def impute_values(df: DataFrame, numeric: Sequence[str], categorical: Sequence[s
     out = None
     spark = df.sparkSession
     if numeric:
+        from skydelay.session import cut_lineage
+        nums = cut_lineage(df.select(*numeric))  # each median reads its column several times: compute the input once
         rows = [spark.range(1).select(F.lit(c).alias("feature"), F.lit("numeric").alias("kind"),
-                                      exact_median(df, c).cast("double").alias("num_value"),
+                                      exact_median(nums, c).cast("double").alias("num_value"),
                                       F.lit(None).cast("string").alias("cat_value")) for c in numeric]
         out = rows[0]
         for r in rows[1:]:
