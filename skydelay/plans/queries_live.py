@@ -220,6 +220,17 @@ def q_j1s(spark, sf):
     return spark.read.parquet(f"{target}/current")
 
 
+@query("J2_expire_positions_stream")
+def q_j2s(spark, sf):
+    src = _live_files(spark, sf)
+    schema = spark.read.parquet(src).schema
+    stream = S.stream_files(spark, src, schema, max_files=1)
+    out = scratch(spark, "j2-out")
+    S.run_available_now(S.expire_positions_stream(stream, 300), None, scratch(spark, "j2-ckpt"),
+                        foreach_batch=_append_to(out))
+    return spark.read.parquet(out)
+
+
 @query("J5_append_messages_stream")
 def q_j5(spark, sf):
     src = scratch(spark, "chat-src")

@@ -77,6 +77,43 @@ def expire_positions(df: DataFrame, as_of_ts: str, ts: str = "last_contact_ts",
     return out.where(F.col("age_seconds") <= ttl_seconds)
 
 
+def expire_positions_stream(stream: DataFrame, ttl_seconds: int = 300, ts: str = "last_contact_ts",
+                            delay: str = "1 minute") -> DataFrame:
+    """J2 as a stream: one state row per aircraft (its newest contact); an event-time timer at last contact + ttl.
+    Each arrival emits the aircraft as 'live'; when the watermark passes the timer the aircraft is emitted once as
+    'gone' and its state is dropped, so state stays bounded by the aircraft currently flying."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    s = with_event_time(stream, ts).withWatermark(ts, delay).select("icao24", ts)
+    out_schema = "icao24 string, last_contact_ts timestamp, status string"
+
+    def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({"icao24": [key[0]], "last_contact_ts": [pd.Timestamp(last)], "status": ["gone"]})
+            return
+        newest = None
+        for pdf in pdfs:
+            m = pdf[ts].max()
+            newest = m if newest is None or m > newest else newest
+        if state.exists and pd.Timestamp(state.get[0]) > newest:
+            newest = pd.Timestamp(state.get[0])  # an older arrival never replaces a newer state
+        expiry = int(newest.timestamp() * 1000) + ttl_seconds * 1000
+        if expiry <= state.getCurrentWatermarkMs():  # already silent for longer than ttl at this watermark
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"icao24": [key[0]], "last_contact_ts": [newest], "status": ["gone"]})
+            return
+        state.update((newest.to_pydatetime(),))
+        state.setTimeoutTimestamp(expiry)
+        yield pd.DataFrame({"icao24": [key[0]], "last_contact_ts": [newest], "status": ["live"]})
+
+    return s.groupBy("icao24").applyInPandasWithState(fn, out_schema, "last timestamp", "append",
+                                                      GroupStateTimeout.EventTimeTimeout)
+
+
 # J5 -----------------------------------------------------------------------------------------------
 def keep_last_messages(stream: DataFrame, n: int = 16, session: str = "session_id", turn: str = "turn") -> DataFrame:
     """Last n messages per session as the stream grows (grouped state via ``applyInPandasWithState``: the state per
@@ -126,5 +163,5 @@ def stream_files(spark, path: str, schema, fmt: str = "parquet", max_files: int
 
 
 __all__: Sequence[str] = ("dedupe_states", "traffic_counts", "traffic_counts_batch", "latest_positions_batch",
-                          "upsert_latest", "expire_positions", "keep_last_messages", "score_stream",
+                          "upsert_latest", "expire_positions", "expire_positions_stream", "keep_last_messages", "score_stream",
                           "run_available_now", "stream_files")

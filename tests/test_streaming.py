@@ -40,3 +40,21 @@ def test_traffic_counts_batch(spark):
     df = FX.view(spark, SF_SMALL, "live_states")
     out = S.traffic_counts_batch(df)
     assert out.agg(F.sum("aircraft")).first()[0] >= df.select("icao24").distinct().count()
+
+
+def test_expire_positions_stream_invariants(spark):
+    src = _live_dir(spark)
+    schema = spark.read.parquet(src).schema
+    out, ck = tempfile.mkdtemp() + "/o", tempfile.mkdtemp() + "/c"
+
+    def write(batch, epoch):
+        batch.write.mode("append").parquet(out)
+    S.run_available_now(S.expire_positions_stream(S.stream_files(spark, src, schema, max_files=1), 300), None, ck,
+                        foreach_batch=write)
+    res = spark.read.parquet(out)
+    latest = {r.icao24: r.m for r in spark.read.parquet(src).groupBy("icao24").agg(F.max("last_contact_ts").alias("m"))
+              .collect()}
+    seen = res.groupBy("icao24").agg(F.max("last_contact_ts").alias("m")).collect()
+    assert {r.icao24: r.m for r in seen} == latest           # every aircraft reported up to its newest contact
+    gone = res.where("status = 'gone'").groupBy("icao24").count().collect()
+    assert all(r["count"] == 1 for r in gone)                # each aircraft expires at most once
