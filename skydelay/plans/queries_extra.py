@@ -108,3 +108,25 @@ def q_j6(spark, sf):
 
 
 __all__ = ["ml"]
+
+
+@query("H1_H7_flight_columns", f"""
+SELECT {KEYS_SQL}, LEAST(GREATEST(CAST(floor(COALESCE(SCHEDULED_DEPARTURE, 0) / 100) AS INTEGER), 0), 23) AS dep_hour,
+  CASE WHEN LEAST(GREATEST(CAST(floor(COALESCE(SCHEDULED_DEPARTURE, 0) / 100) AS INTEGER), 0), 23) BETWEEN 5 AND 11 THEN 'morning'
+       WHEN LEAST(GREATEST(CAST(floor(COALESCE(SCHEDULED_DEPARTURE, 0) / 100) AS INTEGER), 0), 23) BETWEEN 12 AND 16 THEN 'afternoon'
+       WHEN LEAST(GREATEST(CAST(floor(COALESCE(SCHEDULED_DEPARTURE, 0) / 100) AS INTEGER), 0), 23) BETWEEN 17 AND 21 THEN 'evening'
+       ELSE 'night' END AS time_of_day,
+  CASE WHEN MONTH IN (12, 1, 2) THEN 'winter' WHEN MONTH IN (3, 4, 5) THEN 'spring' WHEN MONTH IN (6, 7, 8) THEN 'summer'
+       ELSE 'fall' END AS season,
+  strftime(make_date(YEAR, MONTH, DAY), '%Y-%m-%d') AS flight_date,
+  ORIGIN_AIRPORT || '-' || DESTINATION_AIRPORT AS route, AIRLINE || '_' || CAST(DAY_OF_WEEK AS VARCHAR) AS airline_dow,
+  CAST(CASE WHEN ARRIVAL_DELAY > 15 THEN 1 ELSE 0 END AS INTEGER) AS is_delayed
+FROM flights""", ("flights",))
+def q_h1_h7(spark, sf):
+    f = V(spark, sf, "flights")
+    h = X.dep_hour("SCHEDULED_DEPARTURE")
+    return f.select(*KEYS, h.alias("dep_hour"), X.time_of_day(h).alias("time_of_day"), X.season("MONTH").alias("season"),
+                    F.date_format(X.flight_date(f.columns), "yyyy-MM-dd").alias("flight_date"),
+                    X.route_key("ORIGIN_AIRPORT", "DESTINATION_AIRPORT").alias("route"),
+                    X.airline_dow("AIRLINE", "DAY_OF_WEEK").alias("airline_dow"),
+                    X.is_delayed("ARRIVAL_DELAY").alias("is_delayed"))
