@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skydelay.functions import exprs as X
 from skydelay.operators import joins as J
 from skydelay.operators import ranking as R
 from skydelay.operators import rows as B

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from skydelay.functions import exprs as X
 from skydelay.operators import geo_text as G
 from skydelay.operators import ranking as R
-from skydelay.plans import ml
 from skydelay.plans.queries import KEYS, KEYS_SQL, V, pre, query
 from skydelay.plans.queries_live import scratch
 from skydelay.plans.queries_schedule import fmt_hhmm_sql
@@ -107,8 +106,6 @@ def q_j6(spark, sf):
     return spark.read.parquet(out)
 
 
-__all__ = ["ml"]
-
 
 @query("H1_H7_flight_columns", f"""
 SELECT {KEYS_SQL}, LEAST(GREATEST(CAST(floor(COALESCE(SCHEDULED_DEPARTURE, 0) / 100) AS INTEGER), 0), 23) AS dep_hour,

@@ -263,4 +263,4 @@ def q_k1(spark, sf):
       risk_level(delay_probability) AS risk_level FROM scored""")
 
 
-__all__ = ["scratch", "KEYS"]
+__all__ = ["scratch"]

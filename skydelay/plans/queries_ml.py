@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skydelay.plans import ml
 from skydelay.plans import weekly as W
 from skydelay.plans.fixtures import AS_OF_FUTURE
-from skydelay.plans.queries import KEYS, KEYS_SQL, V, pre, query
+from skydelay.plans.queries import KEYS, V, pre, query
 from skydelay.plans.queries_live import scratch
 
 _MODELS: dict = {}
