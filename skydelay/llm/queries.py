@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skydelay.llm import packing, quality_classifier, secrets, sharding, simhash
+from skydelay.llm import packing, quality_classifier, quality_rules, secrets, sharding, simhash
 from skydelay.llm.common import read_table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op8(read_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.op9(read_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op10(read_table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op5_best_fit_packing": (op5_best_fit_packing, None),
     "op6_quality_classifier": (op6_quality_classifier, None),
     "op8_sharding": (op8_sharding, None),
+    "op9_quality_rules": (op9_quality_rules, None),
     "op10_secret_scans": (op10_secret_scans, None),
 }
