@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skydelay.llm import packing, quality_classifier, quality_rules, secrets, sharding, simhash
+from skydelay.llm import fingerprints, language_id, packing, quality_classifier, quality_rules, secrets, sharding, simhash
 from skydelay.llm.common import read_table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op1(read_table(spark, sf_dir, "documents"))
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.op3(read_table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op5(read_table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
@@ -25,6 +29,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.op6(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op7(read_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op8(read_table(spark, sf_dir, "documents"))
 
@@ -40,8 +48,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_simhash_dedup": (op1_simhash_dedup, None),
+    "op3_document_fingerprints": (op3_document_fingerprints, None),
     "op5_best_fit_packing": (op5_best_fit_packing, None),
     "op6_quality_classifier": (op6_quality_classifier, None),
+    "op7_language_id": (op7_language_id, None),
     "op8_sharding": (op8_sharding, None),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_secret_scans": (op10_secret_scans, None),
