@@ -147,3 +147,11 @@ def rules(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def op9(docs: DataFrame) -> DataFrame:
     return rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                               "base_failed", "kept", "char_distance", "word_distance")
+
+
+def filtered(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The ``columns`` of the rows that are kept. The texts are not written along with the counts: rows are numbered as
+    read, and only the numbers of the kept rows come back."""
+    numbered = docs.select(*columns, F.monotonically_increasing_id().alias("row_no"))
+    kept = cut_lineage(rules(numbered, ("row_no",)).where("kept").select("row_no"))
+    return numbered.join(kept, "row_no", "left_semi").select(*columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skydelay.llm import fingerprints, language_id, packing, quality_classifier, quality_rules, secrets, sharding, simhash
+from skydelay.llm import fingerprints, language_id, lm_scoring, packing, quality_classifier, quality_rules, secrets, sharding, simhash
 from skydelay.llm.common import read_table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.op3(read_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.op4(read_table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op5(read_table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
@@ -49,6 +53,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_simhash_dedup": (op1_simhash_dedup, None),
     "op3_document_fingerprints": (op3_document_fingerprints, None),
+    "op4_lm_scoring": (op4_lm_scoring, None),
     "op5_best_fit_packing": (op5_best_fit_packing, None),
     "op6_quality_classifier": (op6_quality_classifier, None),
     "op7_language_id": (op7_language_id, None),
