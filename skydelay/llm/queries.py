@@ -7,16 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skydelay.llm import fingerprints, language_id, lm_scoring, packing, quality_classifier, quality_rules, secrets, sharding, simhash
+from skydelay.llm import fingerprints, language_id, lm_scoring, packing, quality_classifier, quality_rules, secrets, sentencepiece_fst, sharding, simhash
 from skydelay.llm.common import read_table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op1(read_table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.op2(read_table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.op3(read_table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_simhash_dedup": (op1_simhash_dedup, None),
+    "op2_sentencepiece": (op2_sentencepiece, None),
     "op3_document_fingerprints": (op3_document_fingerprints, None),
     "op4_lm_scoring": (op4_lm_scoring, None),
     "op5_best_fit_packing": (op5_best_fit_packing, None),
