@@ -1,12 +1,12 @@
-"""H5: US federal holidays, observed dates, generated as a small Spark DataFrame.
+"""H5: US federal holidays on their observed dates, as a column expression.
 
-The calendar is built from rules (no date list): one row per (year, holiday) for a fixed year range, so its size is
-proven (years x 11 rows) and it can be broadcast into any join. Only the observed day counts.
+The rules are evaluated for the date's own year (and for New Year's Day also the next year's, observed on 31 December
+when 1 January is a Saturday), so any year a date can have is covered and nothing is joined.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The federal holiday rules (month, day-or-rule, first year in force).
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 #   Juneteenth 19 Jun observed, from 2021; Independence Day 4 Jul observed; Labor Day 1st Monday of September;
 #   Columbus Day 2nd Monday of October; Veterans Day 11 Nov observed; Thanksgiving 4th Thursday of November;
 #   Christmas Day 25 Dec observed. Observed: Saturday -> Friday before, Sunday -> Monday after.
-FIRST_YEAR = 1950
-LAST_YEAR = 2150
 
 
 def _observed(d: Column) -> Column:
@@ -24,46 +22,24 @@ def _observed(d: Column) -> Column:
     return F.when(dow == 7, F.date_sub(d, 1)).when(dow == 1, F.date_add(d, 1)).otherwise(d)
 
 
-def _nth_weekday(y: Column, month: int, weekday: str, n: int) -> Column:
-    first = F.make_date(y, F.lit(month), F.lit(1))
-    first_match = F.next_day(F.date_sub(first, 1), weekday)
-    return F.date_add(first_match, 7 * (n - 1))
+def is_holiday(date: Column | str) -> Column:
+    """1 on an observed federal holiday, else 0 (null date -> 0)."""
+    d = F.col(date) if isinstance(date, str) else date
+    y = F.year(d)
 
+    def on(month: int, day: int, year: Column = y) -> Column:
+        return d == _observed(F.make_date(year, F.lit(month), F.lit(day)))
 
-def holiday_calendar(spark: SparkSession, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
-    """(holiday_date DATE, holiday STRING) observed dates. Years first_year-1 .. last_year+1 are generated so a
-    1 Jan falling on Saturday (observed 31 Dec of the year before) is present."""
-    years = spark.range(first_year - 1, last_year + 2).select(F.col("id").cast("int").alias("y"))
-    y = F.col("y")
-    md = lambda m, d: F.make_date(y, F.lit(m), F.lit(d))
-    rules = [
-        ("new_year", _observed(md(1, 1)), None),
-        ("mlk", _nth_weekday(y, 1, "Mon", 3), 1986),
-        ("washington", _nth_weekday(y, 2, "Mon", 3), None),
-        ("memorial", F.next_day(F.date_sub(md(5, 31), 7), "Mon"), None),
-        ("juneteenth", _observed(md(6, 19)), 2021),
-        ("independence", _observed(md(7, 4)), None),
-        ("labor", _nth_weekday(y, 9, "Mon", 1), None),
-        ("columbus", _nth_weekday(y, 10, "Mon", 2), None),
-        ("veterans", _observed(md(11, 11)), None),
-        ("thanksgiving", _nth_weekday(y, 11, "Thu", 4), None),
-        ("christmas", _observed(md(12, 25)), None),
-    ]
-    entries = F.array(*[
-        F.struct(F.lit(name).alias("holiday"), d.alias("holiday_date"),
-                 ((y >= F.lit(start)) if start is not None else F.lit(True)).alias("active"))
-        for name, d, start in rules
-    ])
-    out = years.select(F.inline(entries))
-    return (out.where("active").select("holiday_date", "holiday")
-            .where(F.year("holiday_date").between(first_year, last_year)))
+    def nth_monday(month: int, n: int) -> Column:
+        return (F.month(d) == month) & (F.dayofweek(d) == 2) & F.dayofmonth(d).between(7 * n - 6, 7 * n)
 
+    fourth_thursday = (F.month(d) == 11) & (F.dayofweek(d) == 5) & F.dayofmonth(d).between(22, 28)
+    last_monday_of_may = (F.month(d) == 5) & (F.dayofweek(d) == 2) & (F.dayofmonth(d) >= 25)
+    any_of = on(1, 1) | on(1, 1, y + 1) | (nth_monday(1, 3) & (y >= 1986)) | nth_monday(2, 3) | last_monday_of_may \
+        | (on(6, 19) & (y >= 2021)) | on(7, 4) | nth_monday(9, 1) | nth_monday(10, 2) | on(11, 11) | fourth_thursday \
+        | on(12, 25)
+    return F.coalesce(any_of, F.lit(False)).cast("int")
 
-def with_is_holiday(df: DataFrame, date_col: str, out: str = "IS_HOLIDAY", calendar: DataFrame | None = None) -> DataFrame:
-    """Add ``out`` = 1 when ``date_col`` is an observed holiday, else 0 (null date -> 0). Broadcast join against
-    the generated calendar (size bounded by the year range)."""
-    spark = df.sparkSession
-    cal = calendar if calendar is not None else holiday_calendar(spark)
-    days = cal.select(F.col("holiday_date").alias("__hd")).distinct()
-    joined = df.join(F.broadcast(days), df[date_col] == F.col("__hd"), "left")
-    return joined.withColumn(out, F.when(F.col("__hd").isNotNull(), 1).otherwise(0).cast("int")).drop("__hd")
+
+def with_is_holiday(df: DataFrame, date_col: str, out: str = "IS_HOLIDAY") -> DataFrame:
+    return df.withColumn(out, is_holiday(date_col))

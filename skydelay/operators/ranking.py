@@ -141,8 +141,9 @@ def delay_by_airline(df: DataFrame, n: int = 20) -> DataFrame:
     return per.orderBy(F.col("avg_delay").desc_nulls_last(), "airline").limit(n)
 
 
-def clamp_limit(limit: int, lo: int = 1, hi: int = 500) -> int:
-    return max(lo, min(int(limit), hi))
+def _first(df: DataFrame, limit: int | None) -> DataFrame:
+    """The caller's limit; None returns all rows (ranges of request parameters are B14's to check)."""
+    return df if limit is None else df.limit(int(limit))
 
 
 def _formatted(df: DataFrame, airport: str | None = None) -> list[Column]:
@@ -155,12 +156,12 @@ def _formatted(df: DataFrame, airport: str | None = None) -> list[Column]:
 
 
 # F2 -----------------------------------------------------------------------------------------------
-def upcoming_flights(df: DataFrame, as_of: str, limit: int = 50) -> DataFrame:
-    """B8 window, ordered by date, limit clamped 1..500, formatted records plus matched count."""
+def upcoming_flights(df: DataFrame, as_of: str, limit: int | None = 50) -> DataFrame:
+    """B8 window ordered by date, the first ``limit`` (None: all), formatted records plus the count matched."""
     from skydelay.operators.rows import upcoming_window
     w = upcoming_window(df, as_of)
     matched = w.agg(F.count(F.lit(1))).scalar()
-    rows = w.orderBy(*_schedule_order(w)).limit(clamp_limit(limit))
+    rows = _first(w.orderBy(*_schedule_order(w)), limit)
     base = _formatted(rows)
     origin, dest = F.col("origin_airport"), F.col("destination_airport")
     return rows.select(*base, X.format_hhmm("SCHEDULED_DEPARTURE").alias("scheduled_departure"),
@@ -177,14 +178,14 @@ def _schedule_order(df: DataFrame) -> list[Column]:
 
 
 # F3 -----------------------------------------------------------------------------------------------
-def airport_departures(df: DataFrame, airport: str, as_of: str, limit: int = 50) -> DataFrame:
+def airport_departures(df: DataFrame, airport: str, as_of: str, limit: int | None = 50) -> DataFrame:
     """Departures of one airport (trim/upper match), B8 window, order by date then departure key, formatted."""
     from skydelay.operators.rows import upcoming_window
     code = airport.strip().upper()
     f = df.where(X.code_text("ORIGIN_AIRPORT") == code)
     w = upcoming_window(f, as_of).withColumn("__dep", X.departure_sort_key("SCHEDULED_DEPARTURE"))
     matched = w.agg(F.count(F.lit(1))).scalar()
-    rows = w.orderBy(*_schedule_order(w.drop("ORIGIN_AIRPORT"))).limit(clamp_limit(limit))
+    rows = _first(w.orderBy(*_schedule_order(w.drop("ORIGIN_AIRPORT"))), limit)
     fn = X.flight_number_text("FLIGHT_NUMBER")
     airline = F.upper(X.blank_to_null("AIRLINE"))
     return rows.select(F.date_format("_flight_date", "yyyy-MM-dd").alias("flight_date"),
@@ -196,12 +197,11 @@ def airport_departures(df: DataFrame, airport: str, as_of: str, limit: int = 50)
 
 
 # F4 -----------------------------------------------------------------------------------------------
-def airports_of_country(airports: DataFrame, country: str, limit: int = 5000) -> DataFrame:
-    """Airports of one country (case-folded), ordered by city, name, code with nulls last; limit 1..5000."""
+def airports_of_country(airports: DataFrame, country: str, limit: int | None = None) -> DataFrame:
+    """Airports of one country (case-folded), ordered by city, name, code with nulls last."""
     target = country.strip().lower()
     f = airports.where(F.lower(F.trim(F.col("country"))) == target)
-    return f.orderBy(*[F.col(c).asc_nulls_last() for c in ("city", "airport_name", "iata_code")]) \
-        .limit(clamp_limit(limit, 1, 5000))
+    return _first(f.orderBy(*[F.col(c).asc_nulls_last() for c in ("city", "airport_name", "iata_code")]), limit)
 
 
 # F5 / F6 ------------------------------------------------------------------------------------------

@@ -11,10 +11,9 @@ from skydelay.plans.queries_live import scratch
 from skydelay.sources import io as IO
 
 
-@query("A1_read_tabular", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45")
+@query("A1_read_tabular", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem")
 def q_a1(spark, sf):
-    return IO.read_tabular(spark, f"{sf}/lineitem.parquet").where("l_quantity > 45") \
-        .select("l_orderkey", "l_linenumber", "l_quantity")
+    return IO.read_tabular(spark, f"{sf}/lineitem.parquet").select(*KEYS, "l_quantity")
 
 
 @query("A1_read_tabular_csv", f"SELECT {KEYS_SQL}, ARRIVAL_DELAY FROM flights", ("flights",))
@@ -77,24 +76,43 @@ def q_a6(spark, sf):
                                                 F.sum("arrival_delay").cast("double").alias("total_delay"))
 
 
-@query("A8_convert_csv_tree", "SELECT 'orders' AS name, count(*) AS rows_in, count(*) AS rows_out FROM orders "
-                              "UNION ALL SELECT 'customer', count(*), count(*) FROM customer")
-def q_a8(spark, sf):
+def _csv_tree(spark, sf) -> str:
+    """orders.csv, sub/customer.csv and sub/deep/nation.csv: three headers at three depths, one file each."""
     src = scratch(spark, "csv-tree")
-    for t in ("orders", "customer"):
-        spark.read.parquet(f"{sf}/{t}.parquet").coalesce(1).write.option("header", True).csv(f"{src}/{t}.dir")
-    # a tree of .csv files named after their table
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for t in ("orders", "customer"):
-        d = jvm.org.apache.hadoop.fs.Path(f"{src}/{t}.dir")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    for table, cols, target in (("orders", ["o_orderkey", "o_custkey"], "orders"), ("customer", ["c_custkey", "c_name"], "sub/customer"),
+                                ("nation", ["n_nationkey", "n_name"], "sub/deep/nation")):
+        # one file per table is what the operator is given here: the writer of a single CSV file is one task
+        spark.read.parquet(f"{sf}/{table}.parquet").select(*cols).coalesce(1).write.option("header", True).csv(f"{src}-parts/{table}")
+        d = path(f"{src}-parts/{table}")
         fs = d.getFileSystem(conf)
         part = [s.getPath() for s in fs.listStatus(d) if s.getPath().getName().endswith(".csv")][0]
-        fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{src}/{t}.csv"))
-    out = IO.convert_csv_tree(spark, src, scratch(spark, "csv-tree-out"))
+        fs.mkdirs(path(f"{src}/{target}").getParent())
+        fs.rename(part, path(f"{src}/{target}.csv"))
+    return src
+
+
+@query("A8_convert_csv_tree", "SELECT 'orders' AS name, count(*) AS rows_in, count(*) AS rows_out FROM orders "
+                              "UNION ALL SELECT 'sub/customer', count(*), count(*) FROM customer "
+                              "UNION ALL SELECT 'sub/deep/nation', count(*), count(*) FROM nation")
+def q_a8(spark, sf):
+    out = IO.convert_csv_tree(spark, _csv_tree(spark, sf), scratch(spark, "csv-tree-out"))
     return out.select("name", F.col("rows_in").cast("long").alias("rows_in"), F.col("rows_out").cast("long").alias("rows_out"))
 
 
+@query("A8_convert_csv_tree_values", """
+SELECT 'orders' AS name, CAST(o_orderkey AS VARCHAR) AS a, CAST(o_custkey AS VARCHAR) AS b FROM orders
+UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), c_name FROM customer
+UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR), n_name FROM nation""")
+def q_a8v(spark, sf):
+    dst = scratch(spark, "csv-tree-out")
+    IO.convert_csv_tree(spark, _csv_tree(spark, sf), dst)
+    read = lambda p, n, a, b: spark.read.parquet(f"{dst}/{p}.parquet").select(F.lit(n).alias("name"), F.col(a).alias("a"), F.col(b).alias("b"))
+    return read("orders", "orders", "o_orderkey", "o_custkey").unionByName(read("sub/customer", "customer", "c_custkey", "c_name")) \
+        .unionByName(read("sub/deep/nation", "nation", "n_nationkey", "n_name"))
+
+
 @query("A10_write_partitioned", """
 SELECT year, month, count(*) AS rows FROM slim GROUP BY 1, 2""", ("slim",))
 def q_a10(spark, sf):
@@ -114,31 +132,61 @@ def q_a11(spark, sf):
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A12_create_tables")
-def q_a12(spark, sf):
+def _catalog(spark, sf) -> str:
+    """A database of its own below the shared scratch folder, with the external table flights_slim; returns its name."""
     path = scratch(spark, "catalog")
+    database = "skydelay_" + path.rsplit("-", 1)[-1]
     IO.write_partitioned(slim(spark, sf), f"{path}/flights", ("year", "month"))
     defs = [{"name": "flights_slim", "columns": [("day", "INT"), ("arrival_delay", "DOUBLE"), ("is_delayed", "INT"),
                                                   ("airline_name", "STRING"), ("airline", "STRING"),
                                                   ("origin_state", "STRING")],
              "partitions": [("year", "INT"), ("month", "INT")], "location": f"{path}/flights"}]
-    return IO.create_tables(spark, "skydelay_check", defs, drop=True)
+    IO.create_tables(spark, database, defs, drop=True, location=f"{path}/database")
+    return database
+
+
+@query("A12_create_tables", """
+SELECT * FROM (VALUES ('day', 'int'), ('arrival_delay', 'double'), ('is_delayed', 'int'), ('airline_name', 'string'),
+  ('airline', 'string'), ('origin_state', 'string'), ('year', 'int'), ('month', 'int')) v(column_name, column_type),
+  (SELECT count(*) AS partition_rows FROM slim)""", ("slim",))
+def q_a12(spark, sf):
+    table = f"{_catalog(spark, sf)}.flights_slim"
+    IO.sync_partitions(spark, table)
+    types = spark.createDataFrame(spark.table(table).dtypes, "column_name string, column_type string")
+    return types.withColumn("partition_rows", spark.table(table).agg(F.count(F.lit(1))).scalar())
 
 
-@query("A13_sync_partitions", "SELECT count(*) AS n FROM slim", ("slim",))
+@query("A13_sync_partitions", "SELECT year, month, count(*) AS n FROM slim GROUP BY 1, 2", ("slim",))
 def q_a13(spark, sf):
-    q_a12(spark, sf)
-    IO.sync_partitions(spark, "skydelay_check.flights_slim", slim(spark, sf))
-    return spark.sql("SELECT count(*) AS n FROM skydelay_check.flights_slim")
+    table = f"{_catalog(spark, sf)}.flights_slim"
+    IO.sync_partitions(spark, table, slim(spark, sf))
+    return spark.table(table).groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("A15_numeric_convertible", """
+SELECT 'DISTANCE' AS column, bool_and(TRY_CAST(DISTANCE AS DOUBLE) IS NOT NULL) AS convertible FROM flights WHERE DISTANCE IS NOT NULL
+UNION ALL SELECT 'AIRLINE', bool_and(TRY_CAST(AIRLINE AS DOUBLE) IS NOT NULL) FROM flights WHERE AIRLINE IS NOT NULL
+UNION ALL SELECT 'DESTINATION_AIRPORT', bool_and(TRY_CAST(DESTINATION_AIRPORT AS DOUBLE) IS NOT NULL) FROM flights
+  WHERE DESTINATION_AIRPORT IS NOT NULL
+UNION ALL SELECT 'SCHEDULED_DEPARTURE', bool_and(TRY_CAST(SCHEDULED_DEPARTURE AS DOUBLE) IS NOT NULL) FROM flights
+  WHERE SCHEDULED_DEPARTURE IS NOT NULL""", ("flights",))
+def q_a15c(spark, sf):
+    return IO.numeric_convertible(_as_text(spark, sf))
+
+
+def _as_text(spark, sf):
+    return V(spark, sf, "flights").select(*KEYS, *[F.col(c).cast("string").alias(c) for c in
+                                                   ("DISTANCE", "AIRLINE", "DESTINATION_AIRPORT", "SCHEDULED_DEPARTURE")])
 
 
-@query("A15_infer_numeric_columns", """
-SELECT 'DISTANCE' AS column, true AS convertible UNION ALL SELECT 'AIRLINE', false
-UNION ALL SELECT 'DESTINATION_AIRPORT', false UNION ALL SELECT 'SCHEDULED_DEPARTURE', true""")
+@query("A15_infer_numeric_columns", f"""
+SELECT {KEYS_SQL}, CAST(DISTANCE AS DOUBLE) * 2 AS twice_distance, AIRLINE, DESTINATION_AIRPORT,
+  CAST(SCHEDULED_DEPARTURE AS DOUBLE) AS SCHEDULED_DEPARTURE FROM flights""", ("flights",))
 def q_a15(spark, sf):
-    f = V(spark, sf, "flights").select(*[F.col(c).cast("string").alias(c) for c in
-                                         ("DISTANCE", "AIRLINE", "DESTINATION_AIRPORT", "SCHEDULED_DEPARTURE")])
-    return IO.numeric_convertible(f)
+    typed = IO.infer_numeric_columns(_as_text(spark, sf))
+    numbers = [c for c, t in typed.dtypes if t == "double"]
+    assert numbers == ["DISTANCE", "SCHEDULED_DEPARTURE"], numbers
+    return typed.select(*KEYS, (F.col("DISTANCE") * 2).alias("twice_distance"), "AIRLINE", "DESTINATION_AIRPORT", "SCHEDULED_DEPARTURE")
 
 
 @query("A16_write_run_metadata")

@@ -190,57 +190,92 @@ def q_j4(spark, sf):
                       F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "origin_country", "aircraft")
 
 
-def _live_files(spark, sf, parts: int = 4):
-    """The live feed as a folder of parquet files, written in shuffled order so late rows occur."""
-    src = scratch(spark, "live-src")
-    V(spark, sf, "live_states").withColumn("last_contact_ts", F.col("last_contact_ts").cast("timestamp")) \
-        .repartition(parts, F.col("event_id") % parts).write.parquet(src)
-    return src
+def _feed(spark, df, order: str, path: str, parts: int = 4) -> str:
+    """A table as a feed: files that arrive one after another in the order of a column, as a source delivers them. Each
+    also repeats some of its rows. A file holds 250,000 rows at most and is one micro-batch."""
+    parts = max(parts, -(-df.count() // 250_000))
+    bounds = df.select(F.percentile_approx(F.unix_micros(order) if dict(df.dtypes)[order] == "timestamp" else F.col(order),
+                                           [i / parts for i in range(1, parts)], 10_000).alias("b")).first()["b"]
+    key = F.unix_micros(order) if dict(df.dtypes)[order] == "timestamp" else F.col(order)
+    for lo, hi in zip([None, *bounds], [*bounds, None]):
+        part = df.where((F.lit(True) if lo is None else key > lo) & (F.lit(True) if hi is None else key <= hi))
+        part.unionByName(part.where(F.pmod(F.xxhash64(order), F.lit(10)) == 0)).coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
-@query("J3_dedupe_states_stream")
+def _live_stream(spark, sf):
+    live = V(spark, sf, "live_states").withColumn("last_contact_ts", F.col("last_contact_ts").cast("timestamp"))
+    src = _feed(spark, live, "last_contact_ts", scratch(spark, "live-src"))
+    return S.stream_files(spark, src, live.schema, max_files=1)
+
+
+LIVE_TS = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+def _ts_text(c: str = "last_contact_ts"):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+@query("J3_dedupe_states_stream", f"SELECT event_id, icao24, {LIVE_TS.format('last_contact_ts')} AS last_contact FROM live_states",
+       ("live_states",))
 def q_j3(spark, sf):
-    src = _live_files(spark, sf)
-    schema = spark.read.parquet(src).schema
-    stream = S.stream_files(spark, src, schema, max_files=1)
     out = scratch(spark, "j3-out")
-    S.run_available_now(S.dedupe_states(stream).select("event_id", "icao24", "last_contact_ts"), out,
+    S.run_available_now(S.dedupe_states(_live_stream(spark, sf)).select("event_id", "icao24", "last_contact_ts"), out,
                         scratch(spark, "j3-ckpt"))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("event_id", "icao24", _ts_text().alias("last_contact"))
 
 
-@query("J1_latest_positions_stream")
+@query("J1_latest_positions_stream", f"""
+SELECT icao24, arg_max(event_id, (last_contact_ts, event_id)) AS event_id, {LIVE_TS.format('max(last_contact_ts)')} AS last_contact
+FROM live_states GROUP BY icao24""", ("live_states",))
 def q_j1s(spark, sf):
-    src = _live_files(spark, sf)
-    schema = spark.read.parquet(src).schema
-    stream = S.stream_files(spark, src, schema, max_files=1).select("event_id", "icao24", "last_contact_ts", "latitude",
-                                                                     "longitude")
+    stream = _live_stream(spark, sf).select("event_id", "icao24", "last_contact_ts", "latitude", "longitude")
     target = scratch(spark, "j1-state")
     S.run_available_now(stream, None, scratch(spark, "j1-ckpt"), foreach_batch=S.upsert_latest(target))
-    return spark.read.parquet(f"{target}/current")
+    return S.VersionedTable(spark, target).read().select("icao24", "event_id", _ts_text().alias("last_contact"))
 
 
-@query("J2_expire_positions_stream")
+@query("J2_expire_positions_stream", f"""
+WITH t AS (SELECT icao24, event_id, last_contact_ts, lead(last_contact_ts) OVER (PARTITION BY icao24 ORDER BY last_contact_ts, event_id) AS next,
+  max(last_contact_ts) OVER () AS newest FROM live_states)
+SELECT icao24, event_id, {LIVE_TS.format('last_contact_ts')} AS last_contact, 'live' AS status FROM t
+UNION ALL SELECT icao24, event_id, {LIVE_TS.format('last_contact_ts')}, 'gone' FROM t
+WHERE next - last_contact_ts > INTERVAL 300 SECOND OR (next IS NULL AND
+  date_trunc('milliseconds', last_contact_ts) + INTERVAL 300 SECOND <= date_trunc('milliseconds', newest) - INTERVAL 60 SECOND)""",
+       ("live_states",))
 def q_j2s(spark, sf):
-    src = _live_files(spark, sf)
-    schema = spark.read.parquet(src).schema
-    stream = S.stream_files(spark, src, schema, max_files=1)
     out = scratch(spark, "j2-out")
-    S.run_available_now(S.expire_positions_stream(stream, 300), None, scratch(spark, "j2-ckpt"),
-                        foreach_batch=_append_to(out))
-    return spark.read.parquet(out)
-
-
-@query("J5_append_messages_stream")
+    once = S.dedupe_states(_live_stream(spark, sf), delay="1 minute")
+    once_dir = scratch(spark, "j2-once")
+    S.run_available_now(once, once_dir, scratch(spark, "j2-once-ckpt"))
+    stream = S.stream_files(spark, once_dir, spark.read.parquet(once_dir).schema)
+    S.run_available_now(S.expire_positions_stream(stream, 300), None, scratch(spark, "j2-ckpt"), foreach_batch=_append_to(out))
+    return spark.read.parquet(out).select("icao24", "event_id", _ts_text().alias("last_contact"), "status")
+
+
+@query("J4_traffic_counts_stream", """
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(w + INTERVAL 1 hour, '%Y-%m-%d %H:%M:%S') AS window_end,
+  origin_country, count(DISTINCT icao24) AS aircraft
+FROM (SELECT time_bucket(INTERVAL 1 hour, last_contact_ts) AS w, origin_country, icao24, max(last_contact_ts) OVER () AS newest FROM live_states) t
+WHERE w + INTERVAL 1 hour <= date_trunc('milliseconds', newest) - INTERVAL 10 MINUTE GROUP BY w, origin_country""", ("live_states",))
+def q_j4s(spark, sf):
+    out = scratch(spark, "j4-out")
+    S.run_available_now(S.traffic_counts(_live_stream(spark, sf)), out, scratch(spark, "j4-ckpt"))
+    return spark.read.parquet(out).select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+        F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "origin_country", "aircraft")
+
+
+@query("J5_append_messages_stream", """
+SELECT session_id, turn, role, content FROM (SELECT session_id, turn, role, content,
+  row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS k FROM history) t WHERE k <= 4""", ("history",))
 def q_j5(spark, sf):
-    src = scratch(spark, "chat-src")
-    V(spark, sf, "history").select("session_id", "turn", "role", "content").repartition(3, "turn").write.parquet(src)
-    schema = spark.read.parquet(src).schema
-    stream = S.stream_files(spark, src, schema, max_files=1)
-    out = scratch(spark, "j5-out")
-    kept = S.keep_last_messages(stream, 4)
-    S.run_available_now(kept, out, scratch(spark, "j5-ckpt"), mode="update", foreach_batch=_append_to(out))
-    return spark.read.parquet(out)
+    history = V(spark, sf, "history").select("session_id", "turn", "role", "content")
+    src = _feed(spark, history, "turn", scratch(spark, "chat-src"), 3)
+    target = scratch(spark, "j5-out")
+    S.run_available_now(S.stream_files(spark, src, history.schema, max_files=1), None, scratch(spark, "j5-ckpt"),
+                        foreach_batch=S.append_messages(target, 4))
+    return S.VersionedTable(spark, target).read().select("session_id", "turn", "role", "content")
 
 
 def _append_to(path):

@@ -15,7 +15,7 @@ STOP_SQL = "[" + ", ".join(f"'{w}'" for w in G.STOP_WORDS) + "]"
 
 
 def key_sql(x: str) -> str:
-    return f"trim(regexp_replace(strip_accents(lower(trim({x}))), '[^a-z0-9]+', ' ', 'g'))"
+    return f"trim(regexp_replace(strip_accents(replace(lower(trim({x})), 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g'))"
 
 
 def fragment_sql(x: str) -> str:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -20,7 +21,8 @@ _DEFAULTS = {
     # Runtime broadcast of a join side only once AQE has measured it (the size check); larger sides
     # stay sort-merge joins.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # rows handed to a Python worker at a time: documents can be long
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
@@ -58,7 +60,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return existing
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
-        configured = tempfile.mkdtemp(prefix="skydelay-ckpt-")  # local runs only: the setting was unset
+        if not sc.master.startswith("local"):  # local[..] and local-cluster[..] run on one machine
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="skydelay-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -73,4 +77,25 @@ def cut_lineage(df):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    for scope in _SCOPES:
+        scope.append(path)
     return spark.read.parquet(path)
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def lineage_scope(spark: SparkSession):
+    """Owns the tables that ``cut_lineage`` writes inside the block and deletes them at its end, when the job's own
+    output has been written: ``with lineage_scope(spark): build(...).write.parquet(target)``."""
+    own: list[str] = []
+    _SCOPES.append(own)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(own)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in own:
+            hpath = jvm.org.apache.hadoop.fs.Path(path)
+            hpath.getFileSystem(conf).delete(hpath, True)

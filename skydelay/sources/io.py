@@ -92,14 +92,17 @@ def read_airports_dat(spark: SparkSession, path: str) -> DataFrame:
 
 
 # A5 -----------------------------------------------------------------------------------------------
-COMPACT_TYPES = {  # fixed values: known flight columns -> compact storage type
+COMPACT_TYPES = {  # fixed values: known flight columns -> compact storage type (text columns stay as they are)
     "YEAR": "short", "MONTH": "byte", "DAY": "byte", "DAY_OF_WEEK": "byte", "FLIGHT_NUMBER": "int",
-    "SCHEDULED_DEPARTURE": "short", "SCHEDULED_ARRIVAL": "short", "DIVERTED": "byte", "CANCELLED": "byte",
-    "DEPARTURE_TIME": "float", "DEPARTURE_DELAY": "float", "TAXI_OUT": "float", "WHEELS_OFF": "float",
-    "SCHEDULED_TIME": "float", "ELAPSED_TIME": "float", "AIR_TIME": "float", "DISTANCE": "float",
-    "WHEELS_ON": "float", "TAXI_IN": "float", "ARRIVAL_TIME": "float", "ARRIVAL_DELAY": "float",
-    "AIR_SYSTEM_DELAY": "float", "SECURITY_DELAY": "float", "AIRLINE_DELAY": "float", "LATE_AIRCRAFT_DELAY": "float",
-    "WEATHER_DELAY": "float", "IS_DELAYED": "byte",
+    "SCHEDULED_DEPARTURE": "int", "DEPARTURE_TIME": "float", "DEPARTURE_DELAY": "float", "TAXI_OUT": "float",
+    "WHEELS_OFF": "float", "SCHEDULED_TIME": "float", "ELAPSED_TIME": "float", "AIR_TIME": "float", "DISTANCE": "float",
+    "WHEELS_ON": "float", "TAXI_IN": "float", "SCHEDULED_ARRIVAL": "int", "ARRIVAL_TIME": "float",
+    "ARRIVAL_DELAY": "float", "DIVERTED": "byte", "CANCELLED": "byte", "AIR_SYSTEM_DELAY": "float",
+    "SECURITY_DELAY": "float", "AIRLINE_DELAY": "float", "LATE_AIRCRAFT_DELAY": "float", "WEATHER_DELAY": "float",
+    "ORIGIN_LATITUDE": "float", "ORIGIN_LONGITUDE": "float", "DESTINATION_LATITUDE": "float",
+    "DESTINATION_LONGITUDE": "float", "IS_HOLIDAY": "byte", "IS_DELAYED": "byte", "ORIGIN_DELAY_RATE": "float",
+    "DEST_DELAY_RATE": "float", "CARRIER_DELAY_RATE": "float", "ROUTE_DELAY_RATE": "float",
+    "CARRIER_DELAY_RATE_DOW": "float",
 }
 
 
@@ -134,16 +137,68 @@ def scan_partitioned(spark: SparkSession, path: str, filters: dict[str, Sequence
 
 
 # A8 -----------------------------------------------------------------------------------------------
+def _csv_files(spark: SparkSession, src: str) -> list[tuple[str, str, str]]:
+    """(path, path below ``src`` without suffix, header line) of every CSV file under ``src``: one line per file is read
+    on the driver, nothing of the data."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(src)
+    fs = root.getFileSystem(conf)
+    base = fs.makeQualified(root).toString().rstrip("/") + "/"
+    found, walk = [], fs.listFiles(root, True)
+    while walk.hasNext():
+        path = walk.next().getPath()
+        name = path.toString()
+        if name.lower().endswith(".csv"):
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(path), "UTF-8"))
+            header = reader.readLine()
+            reader.close()
+            found.append((name, name.removeprefix(base)[:-len(".csv")], (header or "").lstrip("\ufeff")))
+    return sorted(found)
+
+
 def convert_csv_tree(spark: SparkSession, src: str, dst: str) -> DataFrame:
-    """Every ``*.csv`` under ``src`` -> same-named parquet under ``dst``; returns (name, rows_in, rows_out) so a caller
-    can check counts before any (separate, opt-in) source deletion. All files are read in one job."""
-    df = spark.read.option("header", True).option("recursiveFileLookup", True).csv(f"{src}/*.csv") \
-        .withColumn("__file", F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))
-    df.write.mode("overwrite").partitionBy("__file").parquet(f"{dst}/_staging")
-    counts_in = df.groupBy("__file").agg(F.count(F.lit(1)).alias("rows_in"))
-    written = spark.read.parquet(f"{dst}/_staging")
-    counts_out = written.groupBy("__file").agg(F.count(F.lit(1)).alias("rows_out"))
-    return counts_in.join(counts_out, "__file", "full_outer").withColumnRenamed("__file", "name")
+    """Every ``*.csv`` under ``src`` -> parquet of the same name at the same place under ``dst``; returns (name,
+    rows_in, rows_out) so a caller can check counts before any (separate, opt-in) source deletion.
+
+    Files are grouped by header and each group is converted in one job with its own columns; within a job the rows of a
+    file go to a folder of their own, which is then renamed to the target. An empty file becomes nothing."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to_path = jvm.org.apache.hadoop.fs.Path
+    fs = to_path(dst).getFileSystem(conf)
+    groups: dict[str, list[tuple[str, str]]] = {}
+    for path, name, header in _csv_files(spark, src):
+        if header:
+            groups.setdefault(header, []).append((path, name))
+    counts = None
+    for k, files in enumerate(groups.values()):
+        names = spark.createDataFrame([(p.split("://")[-1].split(":", 1)[-1].lstrip("/"), n) for p, n in files],
+                                      "__key string, __file string")
+        rows = spark.read.option("header", True).csv([p for p, _ in files])
+        key = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9+.-]+:/*", "")
+        rows = rows.withColumn("__key", F.url_decode(key)).join(F.broadcast(names), "__key").drop("__key")
+        staging = f"{dst}/_staging-{k}"
+        rows.write.mode("overwrite").partitionBy("__file").parquet(staging)
+        for status in fs.listStatus(to_path(staging)):
+            folder = status.getPath().getName()
+            if folder.startswith("__file="):
+                name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder[len("__file="):])
+                target = to_path(f"{dst}/{name}.parquet")
+                fs.mkdirs(target.getParent())
+                fs.delete(target, True)
+                fs.rename(status.getPath(), target)
+        fs.delete(to_path(staging), True)
+        per = rows.groupBy(F.col("__file").alias("name")).agg(F.count(F.lit(1)).alias("rows_in"))
+        counts = per if counts is None else counts.unionByName(per)
+    if counts is None:
+        return spark.createDataFrame([], "name string, rows_in long, rows_out long")
+    written = None
+    for files in groups.values():
+        for _, name in files:
+            if fs.exists(to_path(f"{dst}/{name}.parquet")):
+                out = spark.read.parquet(f"{dst}/{name}.parquet").agg(F.count(F.lit(1)).alias("rows_out")) \
+                    .select(F.lit(name).alias("name"), "rows_out")
+                written = out if written is None else written.unionByName(out)
+    return counts.join(written, "name", "full_outer") if written is not None else counts.withColumn("rows_out", F.lit(0))
 
 
 # A9 -----------------------------------------------------------------------------------------------
@@ -166,30 +221,26 @@ def write_partitioned(df: DataFrame, path: str, cols: Sequence[str] = ("YEAR", "
                       mode: str = "replace_matching") -> DataFrame:
     """Snappy parquet in hive layout. Partition columns are lower-cased (only those); a missing partition column is an
     error. ``replace_matching`` rewrites only the partitions present in ``df`` (dynamic overwrite); ``append`` keeps
-    everything. Rows are clustered by the partition keys so each task writes few files."""
+    everything. The rebalance hint brings the rows of a partition together so few files are written, and adaptive
+    execution splits a partition that is too large for one task."""
     lower = {c: c.lower() for c in cols}
     missing = [c for c in cols if c not in df.columns and c.lower() not in df.columns]
     if missing:
         raise ValueError(f"Missing partition columns: {', '.join(missing)}")
     out = df.select(*[F.col(c).alias(lower[c]) if c in lower else F.col(c) for c in df.columns])
     parts = [lower[c] for c in cols]
-    w = out.repartition(*parts).write.option("compression", "snappy").partitionBy(*parts)
+    w = out.hint("rebalance", *parts).write.option("compression", "snappy").partitionBy(*parts)
     if mode == "append":
         w.mode("append").parquet(path)
     else:
-        df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        w.mode("overwrite").parquet(path)
+        w.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     return out
 
 
 # A11 ----------------------------------------------------------------------------------------------
 def replace_dataset(df: DataFrame, path: str) -> str:
     """Empty the target folder and write one dataset (static overwrite)."""
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
-    try:
-        df.write.mode("overwrite").parquet(path)
-    finally:
-        df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
     return path
 
 
@@ -206,10 +257,11 @@ def table_ddl(database: str, name: str, columns: Sequence[tuple[str, str]], loca
 
 
 def create_tables(spark: SparkSession, database: str, defs: Sequence[dict], drop: bool = False,
-                  dry_run: bool = False) -> DataFrame:
-    """Create the database and one external table per definition (name, columns, location, partitions, format).
+                  dry_run: bool = False, location: str | None = None) -> DataFrame:
+    """Create the database (at ``location`` if given) and one external table per definition (name, columns, location, partitions, format).
     ``drop`` drops first; ``dry_run`` returns the statements without running them. Result: (statement) rows."""
-    stmts = [f"CREATE DATABASE IF NOT EXISTS `{database}`"]
+    at = f" LOCATION '{location}'" if location else ""
+    stmts = [f"CREATE DATABASE IF NOT EXISTS `{database}`{at}"]
     for d in defs:
         if drop:
             stmts.append(f"DROP TABLE IF EXISTS `{database}`.`{d['name']}`")
@@ -231,8 +283,9 @@ def sync_partitions(spark: SparkSession, table: str, df: DataFrame | None = None
         return spark.sql(f"SHOW PARTITIONS {table}")
     pairs = df.where(F.col(cols[0]).isNotNull() & F.col(cols[1]).isNotNull()).select(*cols).distinct()
     specs = [", ".join(f"{c}={int(r[c])}" for c in cols) for r in pairs.collect()]  # one row per partition
-    for s in specs:
-        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({s})")
+    for k in range(0, len(specs), 500):
+        parts = " ".join(f"PARTITION ({s})" for s in specs[k:k + 500])
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {parts}")
     return spark.createDataFrame([(s,) for s in specs], "partition string")
 
 

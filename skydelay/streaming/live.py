@@ -23,25 +23,29 @@ def with_event_time(df: DataFrame, ts: str = "last_contact_ts") -> DataFrame:
 
 # J3 -----------------------------------------------------------------------------------------------
 def dedupe_states(stream: DataFrame, ts: str = "last_contact_ts", delay: str = "10 minutes") -> DataFrame:
-    """One row per (icao24, last_contact); duplicates arriving within the watermark delay are dropped."""
+    """One row per (icao24, last_contact). ``delay`` is how late a source may deliver: rows that come later than that
+    behind the newest event are dropped by the watermark, so it must cover the source's lateness."""
     return with_event_time(stream, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["icao24", ts])
 
 
 # J4 -----------------------------------------------------------------------------------------------
 def traffic_counts(stream: DataFrame, window: str = "1 hour", ts: str = "last_contact_ts", delay: str = "10 minutes",
-                   region: str = "origin_country", exact: bool = False) -> DataFrame:
-    """Aircraft per region per tumbling event-time window (approximate distinct in a stream; exact in batch)."""
+                   region: str = "origin_country") -> DataFrame:
+    """Distinct aircraft per region per tumbling event-time window. In a stream a window is emitted once, when the
+    watermark passes its end: aircraft are de-duplicated within the window, then counted."""
     s = with_event_time(stream, ts)
-    if s.isStreaming:
-        s = s.withWatermark(ts, delay)
-    n = F.count_distinct("icao24") if exact else F.approx_count_distinct("icao24")
-    return s.groupBy(F.window(ts, window).alias("w"), region).agg(n.alias("aircraft")) \
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), region, "aircraft")
+    if not s.isStreaming:
+        counted = s.groupBy(F.window(ts, window).alias("w"), region).agg(F.count_distinct("icao24").alias("aircraft"))
+    else:
+        once = s.withWatermark(ts, delay).select(F.window(ts, window).alias("w"), region, "icao24") \
+            .dropDuplicates(["w", region, "icao24"])
+        counted = once.groupBy("w", region).agg(F.count(F.lit(1)).alias("aircraft"))
+    return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), region, "aircraft")
 
 
 def traffic_counts_batch(df: DataFrame, window: str = "1 hour", ts: str = "last_contact_ts",
                          region: str = "origin_country") -> DataFrame:
-    return traffic_counts(df, window, ts, region=region, exact=True)
+    return traffic_counts(df, window, ts, region=region)
 
 
 # J1 / J2 ------------------------------------------------------------------------------------------
@@ -52,21 +56,45 @@ def latest_positions_batch(df: DataFrame, ts: str = "last_contact_ts", order: st
     return agg.select("icao24", *[F.col("r")[c].alias(c) for c in others])
 
 
+class VersionedTable:
+    """A small state table kept as whole parquet versions, one folder per micro-batch. The current version is the newest
+    folder that Spark has committed (it holds ``_SUCCESS``): a crash while writing leaves the one before it in force, a
+    repeated batch rewrites its own folder, and a failed read is an error, never an empty table."""
+
+    def __init__(self, spark, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self, before: int | None = None) -> list[int]:
+        if not self._fs.exists(self._path(self.path)):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
+        found = sorted(int(n.split("=")[1]) for n in names if n.startswith("epoch="))
+        return [v for v in found if (before is None or v < before) and self._fs.exists(self._path(f"{self._at(v)}/_SUCCESS"))]
+
+    def _at(self, version: int) -> str:
+        return f"{self.path}/epoch={version:09d}"
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        versions = self._versions(before)
+        return self.spark.read.parquet(self._at(versions[-1])) if versions else None
+
+    def write(self, df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(self._at(epoch))
+        for old in self._versions(epoch)[:-1]:  # the version before stays for readers that have opened it
+            self._fs.delete(self._path(self._at(old)), True)
+
+
 def upsert_latest(target_dir: str, ts: str = "last_contact_ts", order: str = "event_id"):
-    """J1 as ``foreachBatch``: merge each micro-batch into the latest-state table at ``target_dir`` (parquet,
-    replaced atomically per batch). Older arrivals never replace a newer state."""
+    """J1 as ``foreachBatch``: merge each micro-batch into the latest-state table at ``target_dir`` (a
+    ``VersionedTable``). Older arrivals never replace a newer state."""
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        newest = latest_positions_batch(batch, ts, order)
-        try:
-            current = spark.read.parquet(f"{target_dir}/current")
-            both = current.unionByName(newest.select(*current.columns))
-        except Exception:  # first batch: no table yet  # noqa: BLE001
-            both = newest
-        merged = latest_positions_batch(both, ts, order)
-        out = f"{target_dir}/epoch={epoch:09d}"
-        merged.write.mode("overwrite").parquet(out)
-        spark.read.parquet(out).write.mode("overwrite").parquet(f"{target_dir}/current")
+        table = VersionedTable(batch.sparkSession, target_dir)
+        current = table.read(before=epoch)
+        rows = batch if current is None else current.unionByName(batch.select(*current.columns))
+        table.write(latest_positions_batch(rows, ts, order), epoch)
     return merge
 
 
@@ -78,63 +106,65 @@ def expire_positions(df: DataFrame, as_of_ts: str, ts: str = "last_contact_ts",
 
 
 def expire_positions_stream(stream: DataFrame, ttl_seconds: int = 300, ts: str = "last_contact_ts",
-                            delay: str = "1 minute") -> DataFrame:
-    """J2 as a stream: one state row per aircraft (its newest contact); an event-time timer at last contact + ttl.
-    Each arrival emits the aircraft as 'live'; when the watermark passes the timer the aircraft is emitted once as
-    'gone' and its state is dropped, so state stays bounded by the aircraft currently flying."""
+                            delay: str = "1 minute", order: str = "event_id") -> DataFrame:
+    """J2 as a stream: every arrival is emitted as 'live', and an aircraft is emitted as 'gone' (with its last contact)
+    once for each silence longer than ``ttl_seconds``: between two of its contacts, or when the watermark passes its
+    last one by that much. State is one row per aircraft now flying; what is emitted does not depend on how the arrivals
+    are cut into micro-batches. ``delay`` must cover the source's lateness."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    s = with_event_time(stream, ts).withWatermark(ts, delay).select("icao24", ts)
-    out_schema = "icao24 string, last_contact_ts timestamp, status string"
+    s = with_event_time(stream, ts).withWatermark(ts, delay).select("icao24", order, ts)
+    out_schema = f"icao24 string, {order} long, {ts} timestamp, status string"
+    ttl = pd.Timedelta(seconds=ttl_seconds)
 
     def fn(key, pdfs, state):
+        def rows(items, status):
+            return pd.DataFrame({"icao24": [key[0]] * len(items), order: [i for _, i in items], ts: [t for t, _ in items],
+                                 "status": [status] * len(items)})
         if state.hasTimedOut:
-            (last,) = state.get
+            last, number = state.get
             state.remove()
-            yield pd.DataFrame({"icao24": [key[0]], "last_contact_ts": [pd.Timestamp(last)], "status": ["gone"]})
+            yield rows([(pd.Timestamp(last), number)], "gone")
             return
-        newest = None
-        for pdf in pdfs:
-            m = pdf[ts].max()
-            newest = m if newest is None or m > newest else newest
-        if state.exists and pd.Timestamp(state.get[0]) > newest:
-            newest = pd.Timestamp(state.get[0])  # an older arrival never replaces a newer state
-        expiry = int(newest.timestamp() * 1000) + ttl_seconds * 1000
-        if expiry <= state.getCurrentWatermarkMs():  # already silent for longer than ttl at this watermark
+        arrived = sorted((t, int(i)) for pdf in pdfs for t, i in zip(pdf[ts], pdf[order]))
+        yield rows(arrived, "live")
+        seen = ([(pd.Timestamp(state.get[0]), state.get[1])] if state.exists else []) + arrived
+        seen.sort()
+        if silent := [a for a, b in zip(seen, seen[1:]) if b[0] - a[0] > ttl]:
+            yield rows(silent, "gone")
+        newest = seen[-1]
+        expiry = int(newest[0].timestamp() * 1000) + ttl_seconds * 1000
+        if expiry <= state.getCurrentWatermarkMs():  # already silent for longer than ttl
             if state.exists:
                 state.remove()
-            yield pd.DataFrame({"icao24": [key[0]], "last_contact_ts": [newest], "status": ["gone"]})
+            yield rows([newest], "gone")
             return
-        state.update((newest.to_pydatetime(),))
+        state.update((newest[0].to_pydatetime(), newest[1]))
         state.setTimeoutTimestamp(expiry)
-        yield pd.DataFrame({"icao24": [key[0]], "last_contact_ts": [newest], "status": ["live"]})
 
-    return s.groupBy("icao24").applyInPandasWithState(fn, out_schema, "last timestamp", "append",
+    return s.groupBy("icao24").applyInPandasWithState(fn, out_schema, "last timestamp, number long", "append",
                                                       GroupStateTimeout.EventTimeTimeout)
 
 
 # J5 -----------------------------------------------------------------------------------------------
-def keep_last_messages(stream: DataFrame, n: int = 16, session: str = "session_id", turn: str = "turn") -> DataFrame:
-    """Last n messages per session as the stream grows (grouped state via ``applyInPandasWithState``: the state per
-    session is bounded by n rows)."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
+def append_messages(target_dir: str, n: int = 16, session: str = "session_id", turn: str = "turn"):
+    """J5 as ``foreachBatch``: the last n messages of every session, as a ``VersionedTable``. A message that comes again
+    replaces its turn; a session's rows never exceed n."""
+    from pyspark.sql import Window
 
-    schema = stream.schema
-    cols = [f.name for f in schema.fields]
-    state_schema = "turns string"
-
-    def fn(key, pdfs, state):
-        import json
-        kept = pd.DataFrame(json.loads(state.get[0]), columns=cols) if state.exists else pd.DataFrame(columns=cols)
-        for pdf in pdfs:
-            kept = pd.concat([kept, pdf[cols]], ignore_index=True)
-        kept = kept.sort_values(turn).drop_duplicates(subset=[turn], keep="last").tail(n)
-        state.update((kept.to_json(orient="values", date_format="iso"),))
-        yield kept
-
-    return stream.groupBy(session).applyInPandasWithState(fn, schema, state_schema, "update", GroupStateTimeout.NoTimeout)
+    def merge(batch: DataFrame, epoch: int) -> None:
+        table = VersionedTable(batch.sparkSession, target_dir)
+        current = table.read(before=epoch)
+        rows = batch.withColumn("__new", F.lit(1))
+        if current is not None:
+            rows = rows.unionByName(current.withColumn("__new", F.lit(0)).select(*rows.columns))
+        others = [c for c in batch.columns if c not in (session, turn)]
+        newest = rows.groupBy(session, turn).agg(F.max_by(F.struct(*others), F.struct("__new", *others)).alias("r"))
+        newest = newest.select(session, turn, *[F.col("r")[c].alias(c) for c in others])
+        last = F.row_number().over(Window.partitionBy(session).orderBy(F.col(turn).desc()))
+        table.write(newest.withColumn("__k", last).where(F.col("__k") <= n).drop("__k"), epoch)
+    return merge
 
 
 # J6 -----------------------------------------------------------------------------------------------
@@ -163,5 +193,5 @@ def stream_files(spark, path: str, schema, fmt: str = "parquet", max_files: int
 
 
 __all__: Sequence[str] = ("dedupe_states", "traffic_counts", "traffic_counts_batch", "latest_positions_batch",
-                          "upsert_latest", "expire_positions", "expire_positions_stream", "keep_last_messages", "score_stream",
+                          "VersionedTable", "upsert_latest", "expire_positions", "expire_positions_stream", "append_messages", "score_stream",
                           "run_available_now", "stream_files")

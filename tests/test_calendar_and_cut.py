@@ -3,7 +3,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skydelay.functions.calendar import holiday_calendar
+from skydelay.functions.calendar import is_holiday
 from skydelay.operators.cut import kth_smallest_per_group
 from skydelay.operators.ranking import keep_first, stratified_split
 
@@ -11,9 +11,14 @@ from skydelay.operators.ranking import keep_first, stratified_split
 def test_holidays_match_pandas_calendar(spark):
     from pandas.tseries.holiday import USFederalHolidayCalendar
     expected = {d.date() for d in USFederalHolidayCalendar().holidays(start="1990-01-01", end="2035-12-31")}
-    got = {r.holiday_date for r in holiday_calendar(spark).where(F.year("holiday_date").between(1990, 2035)).collect()}
-    got = {d for d in got if d.year >= 1990 and (d.year < 2035 or d.month < 12 or d.day <= 31)}
-    assert got == expected
+    days = spark.sql("SELECT explode(sequence(DATE '1990-01-01', DATE '2035-12-31')) AS d")
+    assert {r.d for r in days.where(is_holiday("d") == 1).collect()} == expected
+
+
+def test_holidays_of_any_year(spark):
+    days = [("1949-07-04", 1), ("1776-07-04", 1), ("2151-12-24", 1), ("2301-01-01", 1), ("2301-01-02", 0), ("1985-01-21", 0), (None, 0)]
+    got = spark.createDataFrame(days, "d string, e int").select(is_holiday(F.to_date("d")).alias("h"), "e").collect()
+    assert [r.h for r in got] == [r.e for r in got]
 
 
 def test_kth_smallest_matches_brute_force(spark):
