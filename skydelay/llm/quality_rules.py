@@ -146,7 +146,61 @@ def rules(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def op9(docs: DataFrame) -> DataFrame:
     return rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                              "base_failed", "kept", "char_distance", "word_distance")
+                              "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"),
+                              F.round("word_distance", 6).alias("word_distance"))
+
+
+def oracle_sql() -> str:
+    """The same result in DuckDB SQL over ``documents``."""
+    n_classes, space = len(CHAR_CLASSES) + 1, "[\\x20\\x09-\\x0D]+"
+    rest = ["text"]
+    for pattern in CHAR_CLASSES.values():
+        rest.append(f"regexp_replace({rest[-1]}, '{pattern}', '', 'g')")
+    lengths = [f"length({r})" for r in rest] + ["0"]
+    chars = ", ".join(f"{a} - {b} AS c{i}" for i, (a, b) in enumerate(zip(lengths, lengths[1:])))
+    lists = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in ws)}]" for k, ws in COMMON_WORDS.items())
+    own = ", ".join(f"len(list_filter(words, lambda x: x = list[{i + 1}])) AS w{i}" for i in range(TOP))
+    total = " + ".join(f"c{i}" for i in range(n_classes))
+    cells = [f"c{i}" for i in range(n_classes)] + [f"w{i}" for i in range(TOP)]
+    sums = ", ".join(f"CAST(sum({c}) AS DOUBLE) AS r{c}" for c in cells)
+
+    def distance(pairs: list[tuple[str, str]]) -> str:
+        half = "(CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END)"
+        terms = " + ".join(half.format(x=f"({a})", y=f"({b})") + " + " + half.format(x=f"({b})", y=f"({a})") for a, b in pairs)
+        return f"sqrt(greatest(({terms}) / 2, 0.0))"
+
+    ref_total = " + ".join(f"rc{i}" for i in range(n_classes))
+    by_char = distance([(f"c{i} / n_all", f"rc{i} / ref_all") for i in range(n_classes)])
+    by_word = distance([(f"w{i} / n_words", f"rw{i} / ref_n") for i in range(TOP)] + [
+        (f"(n_words - ({' + '.join(f'w{i}' for i in range(TOP))})) / n_words",
+         f"(ref_n - ({' + '.join(f'rw{i}' for i in range(TOP))})) / ref_n")])
+
+    def compare(rows: str, among: str) -> str:
+        return f"""SELECT s.*, CASE WHEN n_all >= {CHARS_FROM} AND ref_n > 0 THEN {by_char} END AS char_distance,
+    CASE WHEN n_words >= {WORDS_FROM} AND ref_n > 0 AND list IS NOT NULL THEN {by_word} END AS word_distance
+  FROM {rows} s LEFT JOIN (SELECT *, {ref_total} AS ref_all FROM (
+    SELECT ref, CAST(sum(n_words) AS DOUBLE) AS ref_n, {sums} FROM {rows} WHERE {among} GROUP BY ref) x) r ON s.ref = r.ref"""
+
+    near = f"(NOT base_failed AND COALESCE(char_distance, 0) <= {MAX_CHAR_DISTANCE} AND COALESCE(word_distance, 0) <= {MAX_WORD_DISTANCE})"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, COALESCE(text, '') AS text FROM documents),
+t AS (SELECT rid, doc_id, lang, {chars}, list_filter(regexp_split_to_array(text, '{space}'), lambda x: x <> '') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, CASE lang {lists} END AS list FROM d),
+win AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS win FROM (
+  SELECT rid, words, unnest(range(1, greatest(len(words) - 1, 1))) AS i FROM t) x),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM win) x WHERE c > 1),
+cov AS (SELECT rid, count(DISTINCT i + k) AS n_repeat FROM rep, (VALUES (0), (1), (2)) v(k) GROUP BY rid),
+s0 AS (SELECT rid, doc_id, list, CASE WHEN list IS NULL THEN '' ELSE lang END AS ref, len(words) AS n_words, {total} AS n_all,
+  {", ".join(f"c{i}" for i in range(n_classes))}, {own}, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+  COALESCE(n_repeat, 0) AS n_repeat_words FROM t LEFT JOIN cov USING (rid)),
+s1 AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s0),
+f AS ({compare("s1", "NOT base_failed")}),
+s2 AS (SELECT * EXCLUDE (char_distance, word_distance), {near} AS near FROM f),
+g AS ({compare("s2", "near")})
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_all - c{list(CHAR_CLASSES).index("space")} AS BIGINT) AS word_chars,
+  CAST(c{list(CHAR_CLASSES).index("symbol")} AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, {near} AS kept, round(char_distance, 6) AS char_distance,
+  round(word_distance, 6) AS word_distance FROM g"""
 
 
 def filtered(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -64,6 +64,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op6_quality_classifier": (op6_quality_classifier, None),
     "op7_language_id": (op7_language_id, None),
     "op8_sharding": (op8_sharding, None),
-    "op9_quality_rules": (op9_quality_rules, None),
+    "op9_quality_rules": (op9_quality_rules, quality_rules.oracle_sql()),
     "op10_secret_scans": (op10_secret_scans, None),
 }
