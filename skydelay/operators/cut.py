@@ -4,9 +4,10 @@ Used by the deterministic split (E1) and sampling (B21): rows are ordered by an
 of each group are wanted. Instead of ``row_number`` over the whole group (one task per group: a third of the data for
 a hot class) the cut value is found by histogram refinement:
 
-1. count rows per (group, first 6 hex chars): at most 16.7 M buckets per group (a few hundred MB even at 10^12 rows);
-   a running sum over that table finds the bucket holding the k-th row and the rank left inside it;
-2. the rows of that bucket (about n / 2^24 per group: ~20,000 for a group of 3 x 10^11 rows) are ranked exactly.
+1. count rows per (group, first 3 hex chars): 4,096 buckets per group; a running sum over that table finds the bucket
+   holding the k-th row and the rank left inside it;
+2. the same over the next 3 hex chars of that bucket's rows;
+3. the rows of the bucket found (about n / 2^24 per group: ~20,000 for a group of 3 x 10^11 rows) are ranked exactly.
 
 Each step is a distributed scan + partial aggregate; only bucket counts move. The result is one row per group:
 ``group..., __cut`` where selecting ``hash <= __cut`` keeps exactly the k smallest (hashes are unique per row).
@@ -23,7 +24,7 @@ from skydelay.session import cut_lineage
 
 ALL = "g"   # sorts after every hex digit: keep every row
 NONE = ""   # sorts before every hex string: keep no row
-_LEVELS = ((1, 6),)
+_LEVELS = ((1, 3), (4, 3))
 ONE = "__all"  # constant group key used when there are no group columns
 
 

@@ -167,22 +167,23 @@ def classification_report(df: DataFrame, actual: str = "actual_is_delayed", pred
 
 # D12 ----------------------------------------------------------------------------------------------
 def roc_auc(df: DataFrame, label: str = "actual_is_delayed", score: str = "delay_probability",
-            buckets: int = 4096) -> DataFrame:
+            buckets: int = 256) -> DataFrame:
     """Rank-based ROC AUC with tied scores averaged; null when only one class is present.
 
     AUC = sum over positives of (#negatives scored lower + half the negatives tied) / (P * N). Computed from a per-score
-    histogram; the running count of negatives is a two-level prefix sum (score buckets, then within a bucket), so no
-    window runs over all rows in one task. All sums are integers; one final division."""
+    histogram; the running count of negatives is a two-level prefix sum (score ranges with about as many distinct scores
+    each, then within a range), so no window runs over all rows in one task, however the scores cluster. All sums are
+    integers; one final division."""
     y = F.col(label).cast("int")
     hist = df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
     # one row per distinct score, read four times below: materialize it once
     from skydelay.session import cut_lineage
     hist = cut_lineage(hist)
-    lo = hist.agg(F.min("s")).scalar()
-    hi = hist.agg(F.max("s")).scalar()
-    width = F.when(hi > lo, (hi - lo) / buckets).otherwise(F.lit(1.0))
-    hist = hist.withColumn("b", F.least(F.floor((F.col("s") - lo) / width), F.lit(buckets - 1)).cast("int"))
+    shares = [i / buckets for i in range(1, buckets)]
+    bounds = hist.agg(F.percentile_approx("s", F.array(*map(F.lit, shares)), 20 * buckets).alias("v")).first()["v"] or []
+    edges = F.array(*[F.lit(float(x)) for x in sorted(set(bounds))]).cast("array<double>")
+    hist = hist.withColumn("b", F.size(F.filter(edges, lambda x: x < F.col("s"))))  # bounds below the score
     per_bucket = hist.groupBy("b").agg(F.sum("neg").alias("bneg"))
     wb = Window.partitionBy().orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # <= ``buckets`` rows
     per_bucket = per_bucket.withColumn("neg_before_bucket", F.coalesce(F.sum("bneg").over(wb), F.lit(0)))
@@ -282,8 +283,9 @@ def exact_median(df: DataFrame, c: str, accuracy: int = 1_000_000) -> Column:
     distinct value in one task.
 
     ``percentile_approx`` ranks are within n / accuracy of the requested rank, so the values it returns for
-    0.5 -/+ 2 / accuracy bracket the true median. Only the rows inside that bracket (about 4 n / accuracy) are
-    ranked exactly; the rank offset is the exact count of rows below the bracket."""
+    0.5 -/+ 2 / accuracy bracket the true median. The rows inside that bracket are counted by value, so ties are one row,
+    and the counts are summed up over the distinct values, of which the bracket holds at most about 4 n / accuracy; the
+    rank offset is the exact count of rows below the bracket."""
     x = df.select(F.col(c).cast("double").alias("__x")).where(F.col("__x").isNotNull())
     e = 2.0 / accuracy
     st = x.agg(F.count(F.lit(1)).alias("n"),
@@ -294,9 +296,12 @@ def exact_median(df: DataFrame, c: str, accuracy: int = 1_000_000) -> Column:
     below = x.where(F.col("__x") < lo).agg(F.count(F.lit(1))).scalar()
     k1 = F.floor((n + 1) / 2)   # lower middle rank (1-based)
     k2 = F.floor(n / 2) + 1     # upper middle rank
-    inside = x.where((F.col("__x") >= lo) & (F.col("__x") <= hi))
-    ranked = inside.withColumn("__r", F.row_number().over(Window.orderBy("__x")) + below)  # bracket rows only
-    return ranked.where((F.col("__r") == k1) | (F.col("__r") == k2)).agg(F.avg("__x")).scalar()
+    values = x.where((F.col("__x") >= lo) & (F.col("__x") <= hi)).groupBy("__x").agg(F.count(F.lit(1)).alias("__n"))
+    last = below + F.sum("__n").over(Window.orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = values.withColumn("__last", last).withColumn("__first", F.col("__last") - F.col("__n") + 1)
+    holds = lambda k: F.col("__first").__le__(k) & F.col("__last").__ge__(k)
+    low, high = F.max(F.when(holds(k1), F.col("__x"))), F.max(F.when(holds(k2), F.col("__x")))
+    return ranked.agg(((low + high) / 2).alias("m")).scalar()
 
 
 def impute_values(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:

@@ -81,6 +81,8 @@ SELECT o_orderkey AS request_id, 'N' || lpad(CAST(c_nationkey AS VARCHAR(3)), 2,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'Brand#' || CAST(1 + o_orderkey % 25 AS VARCHAR(3)) END AS airline,
   CAST(CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE (o_orderkey % 30) * 100 + o_orderkey % 70 END AS INT) AS scheduled_departure,
   CAST(CASE WHEN o_orderkey % 7 = 0 THEN month(o_orderdate) END AS INT) AS month,
+  CAST(CASE WHEN o_orderkey % 13 = 0 THEN year(o_orderdate) END AS INT) AS year,
+  CAST(CASE WHEN o_orderkey % 10 = 0 THEN 1 + o_orderkey % 28 END AS INT) AS day,
   CAST(CASE WHEN o_orderkey % 11 = 0 THEN 1 + o_orderkey % 7 END AS INT) AS day_of_week,
   CASE WHEN o_orderkey % 6 = 1 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) END AS flight_date,
   CASE WHEN o_orderkey % 9 = 0 THEN CAST(o_orderkey % 3000 AS DOUBLE) END AS distance

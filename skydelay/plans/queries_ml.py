@@ -10,23 +10,18 @@ from skydelay.plans import ml
 from skydelay.plans import weekly as W
 from skydelay.plans.fixtures import AS_OF_FUTURE
 from skydelay.plans.queries import KEYS, V, pre, query
+from skydelay.plans.queries_schedule import D11_SQL, D12_SQL, matched
 from skydelay.plans.queries_live import scratch
 
 _MODELS: dict = {}
 
 
-# Boosting rounds of the registered GBT check: rounds run one after another, so the check uses 100 (the library
-# default stays 300); the other learners use the library defaults.
-GBT_CHECK_ROUNDS = 100
-
-
 def fitted(spark, sf, model_type: str = "rf"):
     """(model, features, preprocessed) trained once per session and scale factor."""
     key = (id(spark._jsparkSession), sf, model_type)
     if key not in _MODELS:
         p = pre(spark, sf)
-        params = {"n_estimators": GBT_CHECK_ROUNDS} if model_type == "gbt" else {}
-        model, fs = ml.train(p.train, model_type, **params)
+        model, fs = ml.train(p.train, model_type)
         _MODELS[key] = (model, fs, p)
     return _MODELS[key]
 
@@ -68,39 +63,41 @@ def q_i5(spark, sf):
     return ml.score(p.test, model, 0.5, fs).select(*KEYS, "delay_probability", "delay_prediction")
 
 
-@query("I6_evaluate")
+@query("I6_evaluate", f"""
+WITH d11 AS ({D11_SQL}), d12 AS ({D12_SQL})
+SELECT total_matched, accuracy, precision, recall, f1_score, brier_score, true_positives, true_negatives, false_positives, false_negatives,
+  actual_delay_rate, pred_delay_rate, roc_auc FROM d11, d12""", ("predictions", "actuals"))
 def q_i6(spark, sf):
-    return _eval(spark, sf, "rf")
+    """The evaluation itself, over stored scores whose metrics SQL can state (the fitted models' are I2-I4)."""
+    return ml.evaluate(matched(spark, sf).withColumn("IS_DELAYED", F.col("actual_is_delayed")))
 
 
 @query("I7_save_load")
 def q_i7(spark, sf):
     model, fs, p = fitted(spark, sf)
-    path = ml.save(model, scratch(spark, "model"))
-    again = ml.load(path)
+    record = ml.run_record(spark, ml.score(p.test, model), p.train.count(), fs, 0.5, AS_OF_FUTURE)
+    path = ml.save(model, scratch(spark, "model"), record)
+    again, meta = ml.load(path), ml.load_metadata(spark, path).first()
     a = ml.score(p.test, model).select(*KEYS, F.col("delay_probability").alias("p1"))
-    b = ml.score(p.test, again).select(*KEYS, F.col("delay_probability").alias("p2"))
-    return a.join(b, KEYS).where(F.col("p1") == F.col("p2")).select(*KEYS)
-
-
-def _schedule(spark, sf, n=2000):
-    from skydelay.operators.rows import generate_future_schedule
-    return generate_future_schedule(V(spark, sf, "flights"), n, 42, KEYS, days=7, as_of=AS_OF_FUTURE)
+    b = ml.score(p.test, again, meta["threshold"]).select(*KEYS, F.col("delay_probability").alias("p2"), "delay_prediction")
+    same = a.join(b, KEYS).where(F.col("p1") == F.col("p2"))
+    return same.select(*KEYS, "delay_prediction", F.lit(meta["features"]).alias("features"), F.lit(meta["rows"]).alias("rows"))
 
 
 @query("I8_weekly_predict")
 def q_i8(spark, sf):
+    from skydelay.operators.rows import assign_future_dates
     model, fs, p = fitted(spark, sf)
     g = p.global_rate.first()["global_rate"]
-    return W.weekly_predict(_schedule(spark, sf), model, p.rates, g, "2001-10-08", 7, 0.5, AS_OF_FUTURE,
-                            out_path=scratch(spark, "predictions"))
+    schedule = assign_future_dates(V(spark, sf, "flights"), None, 7, 42, KEYS, AS_OF_FUTURE)
+    return W.weekly_predict(schedule, model, p.rates, g, "2001-10-08", 7, 0.5, AS_OF_FUTURE, out_path=scratch(spark, "predictions"))
 
 
 @query("I10_weekly_pipeline")
 def q_i10(spark, sf):
     model, fs, p = fitted(spark, sf)
     g = p.global_rate.first()["global_rate"]
-    return W.weekly_pipeline(V(spark, sf, "flights"), model, p.rates, g, 2000, 42, KEYS, AS_OF_FUTURE)
+    return W.weekly_pipeline(V(spark, sf, "flights"), model, p.rates, g, W.SCHEDULE_ROWS, 42, KEYS, AS_OF_FUTURE)
 
 
 LINEAR = {"MONTH": 0.02, "DAY_OF_WEEK": -0.015, "DISTANCE": 0.0004, "YEAR": 0.05}
@@ -130,6 +127,8 @@ def q_i11(spark, sf):
 
 @query("I11_explain_rows")
 def q_i11b(spark, sf):
+    """The report explains the 200 flights with the highest delay probability."""
     model, fs, p = fitted(spark, sf)
     t = p.test.withColumn("__row", F.concat_ws("|", *[F.col(k).cast("string") for k in KEYS]))
-    return ml.explain_rows(t, model, "__row", p.train, fs, permutations=8, max_rows=200)
+    top = ml.score(t, model).orderBy(F.desc("delay_probability"), "__row").limit(200).drop("delay_probability", "delay_prediction")
+    return ml.explain_rows(top, model, "__row", p.train, fs, permutations=8)

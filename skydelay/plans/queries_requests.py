@@ -128,8 +128,29 @@ def q_i12(spark, sf):
                     "distance_source", F.array_join(F.transform("advisor_factors", lambda x: x["feature"]), ",").alias("factors"))
 
 
-@query("I13_weekly_route_estimate")
+TODAY_SQL = f"CAST('{AS_OF_FUTURE}' AS DATE)"
+
+
+@query("I13_weekly_route_estimate", f"""
+WITH r AS (SELECT request_id, upper(trim(origin_airport)) AS o, upper(trim(destination_airport)) AS d, upper(NULLIF(trim(airline), '')) AS a,
+    scheduled_departure AS dep, year AS y, month AS m, day AS dd, day_of_week AS w, TRY_CAST(flight_date AS DATE) AS fd, flight_date IS NOT NULL AS dated
+  FROM requests WHERE NULLIF(trim(origin_airport), '') IS NOT NULL AND NULLIF(trim(destination_airport), '') IS NOT NULL),
+s AS (SELECT make_date(YEAR, MONTH, DAY) AS f, YEAR AS sy, MONTH AS sm, DAY AS sd, DAY_OF_WEEK AS sw, upper(trim(AIRLINE)) AS sa,
+    CAST(SCHEDULED_DEPARTURE AS DOUBLE) AS sdep, upper(trim(ORIGIN_AIRPORT)) AS so, upper(trim(DESTINATION_AIRPORT)) AS sdst, delay_probability AS p FROM scored),
+j AS (SELECT r.*, s.f, s.p, bool_or(s.f >= {TODAY_SQL}) OVER (PARTITION BY request_id) AS future FROM r JOIN s ON so = o AND sdst = d
+  WHERE (a IS NULL OR sa = a) AND (dep IS NULL OR sdep = dep) AND (y IS NULL OR sy = y) AND (m IS NULL OR sm = m) AND (dd IS NULL OR sd = dd)
+    AND (w IS NULL OR sw = w) AND (NOT dated OR f = fd)),
+k AS (SELECT *, bool_or(f <= {TODAY_SQL} + 6) OVER (PARTITION BY request_id) AS capped FROM j WHERE NOT future OR f >= {TODAY_SQL})
+SELECT request_id, round(avg(p), 6) AS mean_probability, count(*) AS flights FROM k
+WHERE y IS NOT NULL OR m IS NOT NULL OR dd IS NOT NULL OR w IS NOT NULL OR dated OR NOT capped OR f <= {TODAY_SQL} + 6
+GROUP BY request_id""", ("requests", "scored"))
 def q_i13(spark, sf):
+    summary, _ = _weekly(spark, sf)
+    return summary.select("request_id", F.round("mean_probability", 6).alias("mean_probability"), "flights")
+
+
+@query("I13_weekly_route_best")
+def q_i13c(spark, sf):
     summary, _ = _weekly(spark, sf)
     return summary.withColumn("lowest_risk_day", F.date_format("lowest_risk_day", "yyyy-MM-dd"))
 

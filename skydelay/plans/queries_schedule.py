@@ -215,7 +215,7 @@ def q_c7(spark, sf):
 
 
 # ---------------------------------------------------------------------------------------------- D
-@query("D11_classification_report", f"""
+D11_SQL = f"""
 WITH m AS ({MATCH_SQL}), c AS (
   SELECT count(*) AS n, count(*) FILTER (WHERE delay_prediction = 1 AND actual_is_delayed = 1) AS tp,
     count(*) FILTER (WHERE delay_prediction = 0 AND actual_is_delayed = 0) AS tn,
@@ -229,20 +229,25 @@ SELECT n AS total_matched, round_even(CASE WHEN n > 0 THEN (tp + tn) / n ELSE 0.
   round_even(prec, 4) AS precision, round_even(rec, 4) AS recall,
   round_even(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0E0 END, 4) AS f1_score,
   round_even(brier, 4) AS brier_score, tp AS true_positives, tn AS true_negatives, fp AS false_positives,
-  fn AS false_negatives, round_even(ay, 4) AS actual_delay_rate, round_even(ap, 4) AS pred_delay_rate FROM r""",
-       ("predictions", "actuals"))
+  fn AS false_negatives, round_even(ay, 4) AS actual_delay_rate, round_even(ap, 4) AS pred_delay_rate FROM r"""
+
+
+@query("D11_classification_report", D11_SQL, ("predictions", "actuals"))
 def q_d11(spark, sf):
     return D.classification_report(matched(spark, sf))
 
 
-@query("D12_roc_auc", f"""
+D12_SQL = f"""
 WITH m AS ({MATCH_SQL}), h AS (
   SELECT delay_probability AS s, count(*) FILTER (WHERE actual_is_delayed = 1) AS pos,
     count(*) FILTER (WHERE actual_is_delayed = 0) AS neg FROM m GROUP BY 1),
 c AS (SELECT *, COALESCE(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM h)
 SELECT CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN CAST(sum(pos * (2 * below + neg)) AS DOUBLE)
   / (2 * CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) END AS roc_auc,
-  CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives FROM c""", ("predictions", "actuals"))
+  CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives FROM c"""
+
+
+@query("D12_roc_auc", D12_SQL, ("predictions", "actuals"))
 def q_d12(spark, sf):
     return D.roc_auc(matched(spark, sf))
 
