@@ -7,8 +7,8 @@ indexed under its one-wildcard variants (the half with bit i left out, for every
 share a variant; an equality join on (half, i, variant) therefore finds every pair, and the whole fingerprints are then
 verified. The index is over distinct fingerprints: exact copies never multiply.
 
-Bucket sizes. A bucket with two members is settled from its minimum and maximum; only larger ones are read again. A
-bucket of more than ``dense`` members is cut again by the one-wildcard variants of its *other* half's halves (16 bits,
+Bucket sizes. The index is shuffled once, and only buckets with two or more members are written. Two members are settled
+by comparing them; a bucket of more than ``dense`` members is cut again by the one-wildcard variants of its *other* half's halves (16 bits,
 then 8 bits), where the same argument holds: members of a sub-bucket agree on all but at most one bit of each part
 already cut, so after the last cut at most 2*2*2*2^8 = 2048 distinct fingerprints can meet. That proven bound is what one
 task holds at a time. A settled bucket returns a spanning set of its links (at most members - 1), never all pairs:
@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,8 +70,17 @@ def hex_column(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _half_variants(fps: DataFrame) -> DataFrame:
+    """(fp, key): both 32-bit halves under each of their one-wildcard variants. The key is the wildcard's place (0-31 low
+    half, 32-63 high half) above the remaining bits; rows are dealt by it, but only the fingerprint and the place move."""
+    places = F.explode(F.array(*[F.lit(i).cast("byte") for i in range(64)])).alias("at")
+    half = "if(at < 32, fp & 4294967295L, shiftrightunsigned(fp, 32))"
+    key = F.expr(f"shiftleft(cast(at AS bigint), 32) | ({half} & ~shiftleft(1L, cast(at % 32 AS int)))")
+    return fps.select("fp", places).repartition(key).select("fp", key.alias("key"))
+
+
 def _variants(fp: Column, low: int, bits: int) -> Column:
-    """Array of (position of the wildcard, remaining bits) of the ``bits``-bit part of ``fp`` that starts at ``low``."""
+    """Array of (place of the wildcard, remaining bits) of the ``bits``-bit part of ``fp`` that starts at ``low``."""
     part = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1))
     return F.array(*[F.struct(F.lit(low * 64 + i).alias("at"),
                               part.bitwiseAND(F.lit(((1 << bits) - 1) & ~(1 << i))).alias("rest")) for i in range(bits)])
@@ -105,38 +114,27 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE) -> DataF
         return pd.Series([_spanning_links(np.asarray(m, dtype=np.int64), max_bits) for m in members])
 
     near = F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= max_bits
-    # level 1: both 32-bit halves; key names every part already cut
-    rows = fps.select("fp", F.inline(F.concat(_variants(F.col("fp"), 0, 32), _variants(F.col("fp"), 32, 32)))) \
-        .select("fp", F.struct("at", "rest").alias("key"), (F.col("at") >= 32 * 64).cast("int").alias("side"))
+    rows = _half_variants(fps).withColumn("side", (F.col("key") >= F.lit(32 << 32)).cast("int"))
     out = None
-    parts = [(32, 16), (16, 8), (8, 0)]  # size of the part still whole, size of the pieces it is cut into
-    for part, piece in parts:
-        size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-        size = cut_lineage(size.where("n > 1"))
-        pairs = size.where((F.col("n") == 2) & near).select(F.col("hi").alias("a"), F.col("lo").alias("b"))
-        out = pairs if out is None else out.unionByName(pairs)
+    for part, piece in ((32, 16), (16, 8), (8, 0)):  # size of the part still whole, size of the pieces it is cut into
+        size = F.count(F.lit(1)).over(Window.partitionBy("key"))
+        shared = cut_lineage(rows.withColumn("n", size).where("n > 1"))
+        pairs = shared.where("n = 2").groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where(near)
+        # many keys hold the same members (all wildcards of an equal half), so equal member lists are settled once
         bound = dense if piece else 1 << 31
-        some = size.where(F.col("n") > 2).groupBy().agg(
-            F.max("n").alias("most"), F.sum((F.col("n") <= bound).cast("long")).alias("small")).first()
-        if some["most"] is None:
-            break
-        again = cut_lineage(rows.join(size.where(F.col("n") > 2).select("key", "n"), "key"))
-        if some["small"]:
-            # many keys hold the same members (all wildcards of an equal half), so equal member lists are settled once
-            lists = again.where(F.col("n") <= bound).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("m")) \
-                .select("m").distinct()
-            out = out.unionByName(lists.select(F.inline(span("m"))))
-        if some["most"] <= bound:
+        lists = shared.where((F.col("n") > 2) & (F.col("n") <= bound)).groupBy("key") \
+            .agg(F.sort_array(F.collect_list("fp")).alias("m")).select("m").distinct()
+        found = pairs.select(F.col("hi").alias("a"), F.col("lo").alias("b")).unionByName(lists.select(F.inline(span("m"))))
+        out = found if out is None else out.unionByName(found)
+        dense_rows = shared.where(F.col("n") > bound)
+        if dense_rows.isEmpty():
             break
-        # cut the part that is still whole: `side` tells where it starts
-        dense_rows = again.where(F.col("n") > bound)
-        base = _whole_part(part)
+        # cut the part that is still whole; `side` tells where it starts
         rows = None
-        for code, low in base.items():
+        for code, low in _whole_part(part).items():
             here = dense_rows.where(F.col("side") == code)
             for half in (0, 1):
-                at = low + half * piece
-                more = here.select("fp", "key", F.inline(_variants(F.col("fp"), at, piece))) \
+                more = here.select("fp", "key", F.inline(_variants(F.col("fp"), low + half * piece, piece))) \
                     .select("fp", F.struct("key", "at", "rest").alias("key"), F.lit(code * 2 + half).alias("side"))
                 rows = more if rows is None else rows.unionByName(more)
     return out.distinct()
