@@ -198,46 +198,9 @@ def round_half_up(c, digits: int) -> Column:
     return F.round(col(c).cast("decimal(38,9)"), digits).cast("double")
 
 
-def callsign_clean(c) -> Column:
-    return blank_to_null(c)
-
-
 def kmh(ms) -> Column:
     return F.round(col(ms).cast("decimal(38,9)") * F.lit(3.6).cast("decimal(4,1)"), 1).cast("double")
 
 
 def feet(m) -> Column:
     return F.round(col(m).cast("decimal(38,9)") * F.lit("3.28084").cast("decimal(10,5)"), 0).cast("double")
-
-
-# H19 ----------------------------------------------------------------------------------------------
-def flight_phase(fpm) -> Column:
-    c = col(fpm)
-    return F.when(c > 100, "climbing").when(c < -100, "descending").otherwise("level")
-
-
-def ms_to_fpm(ms) -> Column:
-    return col(ms) * F.lit(196.850394)
-
-
-# H26 ----------------------------------------------------------------------------------------------
-def trim_text(c, n: int) -> Column:
-    """Trim; longer than n -> first n-3 characters, right-trimmed, plus '...'."""
-    t = F.trim(col(c))
-    cut = F.concat(F.rtrim(F.substring(t, 1, n - 3)), F.lit("..."))
-    return F.when(F.length(t) > n, cut).otherwise(t)
-
-
-# H27 ----------------------------------------------------------------------------------------------
-def strip_reasoning(c) -> Column:
-    """Text after the first closing reasoning tag when both tags occur, trimmed; otherwise the trimmed text."""
-    t = col(c)
-    close = F.instr(t, "</think>")
-    after = F.trim(F.substring(t, close + F.lit(len("</think>")), F.lit(1 << 30)))
-    return F.when((F.instr(t, "<think>") > 0) & (close > 0), after).otherwise(F.trim(t))
-
-
-def flatten_parts(parts) -> Column:
-    """List of text parts -> joined by newline, blank parts dropped."""
-    kept = F.filter(F.transform(col(parts), lambda x: F.trim(x)), lambda x: x != "")
-    return F.array_join(kept, "\n")

@@ -8,6 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+# text that is a number, as a whole number, and clamped to a time of day
+_NUMBER = "try_cast(trim(v) AS DOUBLE) IS NOT NULL"
+_WHOLE = "CAST(try_cast(trim(v) AS DOUBLE) AS BIGINT)"
+_CLAMPED = f"LEAST(GREATEST({_WHOLE}, 0), 2359)"
+
 # name -> (parameters, SQL body)
 SQL_FUNCTIONS = {
     "dep_hour": ("hhmm INT", "CAST(LEAST(GREATEST(FLOOR(COALESCE(hhmm, 0) / 100), 0), 23) AS INT)"),
@@ -21,10 +26,12 @@ SQL_FUNCTIONS = {
     "clamp_hhmm": ("v DOUBLE", "CAST(LEAST(GREATEST(FLOOR(LEAST(GREATEST(COALESCE(CAST(v AS BIGINT), 1200), 0), 2359) "
                                "/ 100), 0), 23) * 100 + LEAST(GREATEST(pmod(LEAST(GREATEST(COALESCE(CAST(v AS BIGINT), "
                                "1200), 0), 2359), 100), 0), 59) AS INT)"),
-    "format_hhmm": ("v BIGINT", "CASE WHEN v IS NULL THEN NULL ELSE format_string('%02d:%02d', "
-                                "CAST(FLOOR(LEAST(GREATEST(v, 0), 2359) / 100) AS INT), "
-                                "CAST(LEAST(pmod(LEAST(GREATEST(v, 0), 2359), 100), 59) AS INT)) END"),
-    "departure_sort_key": ("v BIGINT", "COALESCE(v, 9999)"),
+    "format_hhmm": ("v STRING", f"CASE WHEN {_NUMBER} THEN format_string('%02d:%02d', "
+                                f"CAST(FLOOR({_CLAMPED} / 100) AS INT), CAST(LEAST(pmod({_CLAMPED}, 100), 59) AS INT)) "
+                                "WHEN trim(v) <> '' THEN trim(v) END"),
+    "departure_sort_key": ("v STRING", f"CASE WHEN {_NUMBER} THEN {_WHOLE} WHEN trim(v) RLIKE '^[0-9]{{1,9}}:[0-9]{{1,9}}$' "
+                                       "THEN CAST(split_part(trim(v), ':', 1) AS BIGINT) * 100 "
+                                       "+ CAST(split_part(trim(v), ':', 2) AS BIGINT) ELSE 9999 END"),
     "risk_level": ("p DOUBLE", "CASE WHEN p >= 0.7 THEN 'HIGH' WHEN p >= 0.4 THEN 'MEDIUM' "
                                "WHEN p IS NOT NULL THEN 'LOW' END"),
     "delay_prediction": ("p DOUBLE, t DOUBLE", "CASE WHEN p IS NOT NULL THEN CAST(p >= LEAST(GREATEST(t, 0.0), 1.0) "

@@ -287,15 +287,32 @@ def _append_to(path):
 # ---------------------------------------------------------------------------------------------- K1
 @query("K1_register_functions", f"""
 SELECT {KEYS_SQL}, LEAST(GREATEST(CAST(floor(COALESCE(SCHEDULED_DEPARTURE, 0) / 100) AS INTEGER), 0), 23) AS dep_hour,
-  ORIGIN_AIRPORT || '-' || DESTINATION_AIRPORT AS route, {fmt_hhmm_sql('SCHEDULED_DEPARTURE')} AS departure_text,
+  CASE WHEN DAY BETWEEN 5 AND 11 THEN 'morning' WHEN DAY BETWEEN 12 AND 16 THEN 'afternoon' WHEN DAY BETWEEN 17 AND 21 THEN 'evening'
+    ELSE 'night' END AS time_of_day,
+  CASE WHEN MONTH IN (12, 1, 2) THEN 'winter' WHEN MONTH IN (3, 4, 5) THEN 'spring' WHEN MONTH IN (6, 7, 8) THEN 'summer' ELSE 'fall' END AS season,
+  ORIGIN_AIRPORT || '-' || DESTINATION_AIRPORT AS route, AIRLINE || '_' || CAST(DAY AS VARCHAR) AS airline_day,
+  CAST(CASE WHEN delay_probability * 100 > 15 THEN 1 ELSE 0 END AS INTEGER) AS is_delayed,
+  CAST(LEAST(GREATEST(COALESCE(SCHEDULED_DEPARTURE, 1200), 0), 2359) // 100 * 100
+    + LEAST(LEAST(GREATEST(COALESCE(SCHEDULED_DEPARTURE, 1200), 0), 2359) % 100, 59) AS INTEGER) AS clamped,
+  {fmt_hhmm_sql('SCHEDULED_DEPARTURE')} AS departure_text, COALESCE(CAST(SCHEDULED_DEPARTURE AS BIGINT), 9999) AS departure_key,
+  {fmt_hhmm_sql('SCHEDULED_DEPARTURE')} AS clock_text,
+  CASE WHEN SCHEDULED_DEPARTURE IS NULL THEN 9999 ELSE CAST(LEAST(GREATEST(SCHEDULED_DEPARTURE, 0), 2359) // 100 * 100
+    + LEAST(LEAST(GREATEST(SCHEDULED_DEPARTURE, 0), 2359) % 100, 59) AS BIGINT) END AS clock_key,
   CASE WHEN delay_probability >= 0.7 THEN 'HIGH' WHEN delay_probability >= 0.4 THEN 'MEDIUM'
-    WHEN delay_probability IS NOT NULL THEN 'LOW' END AS risk_level FROM scored""", ("scored",))
+    WHEN delay_probability IS NOT NULL THEN 'LOW' END AS risk_level,
+  CAST(delay_probability >= 0.35 AS INTEGER) AS delay_prediction,
+  CAST(round(CAST(DAY AS DECIMAL(20,6)) * CAST(3.6 AS DECIMAL(2,1)), 1) AS DOUBLE) AS speed_kmh,
+  CAST(round(CAST(DAY AS DECIMAL(20,6)) * CAST(3.28084 AS DECIMAL(6,5)), 0) AS DOUBLE) AS altitude_ft FROM scored""", ("scored",))
 def q_k1(spark, sf):
     register_functions(spark)
     V(spark, sf, "scored")
     return spark.sql("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, dep_hour(SCHEDULED_DEPARTURE) AS dep_hour,
-      route_key(ORIGIN_AIRPORT, DESTINATION_AIRPORT) AS route, format_hhmm(SCHEDULED_DEPARTURE) AS departure_text,
-      risk_level(delay_probability) AS risk_level FROM scored""")
+      time_of_day(DAY) AS time_of_day, season(MONTH) AS season, route_key(ORIGIN_AIRPORT, DESTINATION_AIRPORT) AS route,
+      airline_dow(AIRLINE, DAY) AS airline_day, is_delayed(delay_probability * 100) AS is_delayed, clamp_hhmm(SCHEDULED_DEPARTURE) AS clamped,
+      format_hhmm(SCHEDULED_DEPARTURE) AS departure_text, departure_sort_key(SCHEDULED_DEPARTURE) AS departure_key,
+      format_hhmm(format_hhmm(SCHEDULED_DEPARTURE)) AS clock_text, departure_sort_key(format_hhmm(SCHEDULED_DEPARTURE)) AS clock_key,
+      risk_level(delay_probability) AS risk_level, delay_prediction(delay_probability, 0.35) AS delay_prediction,
+      speed_kmh(DAY) AS speed_kmh, altitude_ft(DAY) AS altitude_ft FROM scored""")
 
 
 __all__ = ["scratch"]
