@@ -19,6 +19,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -27,12 +28,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skydelay.llm.common import as_text, offsets_of
+from skydelay.llm.common import as_text, batches_of, offsets_of
 from skydelay.session import cut_lineage
 
 CAPACITY = 2048
 CLOSING_ID = 0
-CACHE_PARTS = 700_000  # encoded parts a Python worker remembers
+CACHE_PARTS = 500_000  # encoded parts a task remembers
 
 
 # Texts of the characters below (no controls, combining marks or other scripts) are split here by the vocabulary's own
@@ -87,6 +88,16 @@ def _encoder(path: str) -> PartEncoder:
     return PartEncoder(path)
 
 
+@contextmanager
+def _tokenizer(path: str) -> Iterator[PartEncoder]:
+    """The worker's encoder for one task; what it remembers goes with the task, as idle workers keep their memory."""
+    encoder = _encoder(path)
+    try:
+        yield encoder
+    finally:
+        encoder.clear()
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closing_id: int = CLOSING_ID,
            with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): one row per piece of a document."""
@@ -94,10 +105,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closi
     closing = closing_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+        with _tokenizer(tokenizer_path) as encoder:
+            for batch in batches_of(batches, 512):
                 ids, piece, start, length, crc, values = [], [], [], [], [], []
                 for doc_id, text in zip(batch.column(0).to_pylist(), as_text(batch.column(1))):
                     found = encoder.encode(text) + closing

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from skydelay.llm.common import as_text, batches_of, offsets_of
 
 SPACE = "▁"
-CACHE = 800_000  # cuts a Python worker remembers
+CACHE = 500_000  # cuts a Python worker remembers
 INFINITE = float("inf")
 # Piece types and model types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -236,6 +236,10 @@ class Transducer:
             known[cut] = self.shortest_path(cut)
         return b"".join(map(known.__getitem__, cuts))
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.weights.clear()
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.output.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
@@ -294,6 +298,7 @@ def op2(docs: DataFrame, path: str) -> DataFrame:
                 [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([int(is_byte[x].sum()) for x in ids], pa.int64()),
                  pa.array([zlib.crc32(x) for x in encoded], pa.int64()), pa.array(decoded, pa.string()), _lists(encoded)],
                 ["doc_id", "n_ids", "n_byte_ids", "ids_crc32", "decoded_sha256", "ids"])
+        coder.forget()  # idle workers keep their memory
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         code, "doc_id long, n_ids long, n_byte_ids long, ids_crc32 long, decoded_sha256 string, ids array<int>")
