@@ -40,7 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays = groups.groupBy(F.coalesce("component_id", F.lit((1 << 63) - 1)).alias("component_id"),
                            F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")) \
         .agg(F.min(key).alias("first")).select("first.row_no")
-    return numbered.join(cut_lineage(stays), "row_no", "left_semi").select(*COLUMNS)
+    # a sort-merge join at every size: the rows that stay are no bounded table
+    return numbered.join(cut_lineage(stays).hint("merge"), "row_no", "left_semi").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,4 +208,5 @@ def filtered(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     read, and only the numbers of the kept rows come back."""
     numbered = docs.select(*columns, F.monotonically_increasing_id().alias("row_no"))
     kept = cut_lineage(rules(numbered, ("row_no",)).where("kept").select("row_no"))
-    return numbered.join(kept, "row_no", "left_semi").select(*columns)
+    # a sort-merge join at every size: the rows that stay are no bounded table
+    return numbered.join(kept.hint("merge"), "row_no", "left_semi").select(*columns)
