@@ -25,6 +25,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from skydelay.llm.common import as_bytes, batches_of, fold, offsets_of, segment_
 from skydelay.session import cut_lineage
 
 UNIT_WORDS, SHAPES, CLASSES = 1024, 512, 64
-HEAD = 1 << 17          # most frequent words whose counts go to every task
+HEAD = 1 << 16          # most frequent words whose counts go to every task
 PRIOR = 10.0            # weight of the class frequencies in a transition
 PASSES = 8              # of the exchange
 KNOWN_WORDS = 500_000   # distinct words a Python worker remembers
@@ -206,22 +207,22 @@ class _Vocabulary(dict):
         return self.tables
 
 
-def _partial_scores(docs: DataFrame, model: ClassModel) -> DataFrame:
+def _partial_scores(docs: DataFrame, shared: Broadcast[ClassModel]) -> DataFrame:
     """Per row what needs no further counts, and its rarer words: (word, class, times)."""
     kinds = ("doc_id long, n_tokens long, n_known long, base double, score double, "
              "rare array<struct<word: binary, class: int, times: long>>")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _Vocabulary(model)
+        vocabulary = _Vocabulary(shared.value)
         for batch in batches_of(batches, 512):
             if len(vocabulary.new) > KNOWN_WORDS:
-                vocabulary = _Vocabulary(model)
+                vocabulary = _Vocabulary(shared.value)
             words = [tokens(t) + [END] for t in as_bytes(batch.column(1))]
             offsets = offsets_of([len(w) for w in words])
             numbers = np.fromiter(map(vocabulary.__getitem__, chain.from_iterable(words)), np.int64, int(offsets[-1]))
             classes, base, emission, known = (t[numbers] for t in vocabulary.grown())
             previous = np.concatenate([[0], classes[:-1]])  # a document follows an END, whose class is 0
-            values = np.column_stack([known, base, emission + model.transition[previous, classes]])
+            values = np.column_stack([known, base, emission + vocabulary.model.transition[previous, classes]])
             sums = segment_sums(values, offsets)
             # rarer words, once per document
             owner = np.repeat(np.arange(len(words)), np.diff(offsets))
@@ -252,14 +253,18 @@ def score(docs: DataFrame) -> DataFrame:
                      F.sum((is_word & (F.col("n") == 2)).cast("long")).alias("twice")).first()
     total, distinct = row["n"] or 0, row["v"]
     discount = row["once"] / (row["once"] + 2 * row["twice"]) if row["once"] else 0.5
-    head = [(bytes(w), n) for w, n in counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()]  # HEAD rows at most
+    # Arrow tables: rows of Python objects would take the driver a hundred times the memory
+    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()  # HEAD rows at most
+    head = list(zip(top["word"].to_pylist(), top["n"].to_pylist()))
     bigrams = np.zeros(UNITS * UNITS)
-    found = unit_bigrams(train, [w for w, _ in head if w != END]).toPandas()  # UNITS^2 rows at most
+    found = unit_bigrams(train, [w for w, _ in head[:UNIT_WORDS + 1] if w != END]).toArrow()  # UNITS^2 rows at most
     bigrams[found["code"].to_numpy()] = found["n"].to_numpy()
     model = ClassModel(head, bigrams.reshape(UNITS, UNITS), min(discount, 0.99))
+    del top, found, bigrams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # HEAD words and CLASSES^2 numbers
 
     def classes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = np.zeros(CLASSES, dtype=np.int64)
+        kinds, model = np.zeros(CLASSES, dtype=np.int64), shared.value
         for batch in batches:
             kinds += np.bincount([model.class_of(w) for w in as_bytes(batch.column(0))], minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(kinds)], ["class", "kinds"])
@@ -270,7 +275,7 @@ def score(docs: DataFrame) -> DataFrame:
         kinds[c] = k
     unseen = np.where(kinds > 0, np.log10(np.maximum(model.discount * kinds, 1e-300)), 0.0)
 
-    partial = cut_lineage(_partial_scores(docs, model).withColumn("row_no", F.monotonically_increasing_id()))
+    partial = cut_lineage(_partial_scores(docs, shared).withColumn("row_no", F.monotonically_increasing_id()))
     rare = partial.select("row_no", F.inline("rare")).join(counts, "word", "left")
     some = F.col("n").isNotNull()
     unseen_part = F.get(F.array(*[F.lit(float(x)) for x in unseen]), F.col("class"))
