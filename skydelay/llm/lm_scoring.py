@@ -2,15 +2,21 @@
 
 * Counts: every word of the training documents is counted (map-side first), whatever its frequency.
 * Classes: the ``UNIT_WORDS`` most frequent words and ``SHAPES`` groups of all other words (by a hash of their last
-  three bytes, so unseen words have a group as well) are the units. All bigrams of units are counted over all training
-  documents; this matrix has a size fixed by the two parameters, and exchange clustering moves its units between
-  ``CLASSES`` classes, each to the class that raises the likelihood of the class bigrams most, until few still move.
+  three bytes) are the units. All bigrams of units are counted over all training documents; this matrix has a size fixed
+  by the two parameters, and exchange clustering moves its units between ``CLASSES`` classes, each to the class that
+  raises the likelihood of the class bigrams most, until few still move. That is where every other word starts: all
+  pairs of neighbouring words are then kept as a table, each word's counts by class of what precedes and follows it are
+  summed from it, and every word outside the units moves to the class of the largest gain in the same likelihood: first
+  all at once, then half of them in turn, for at most ``WIDE_PASSES`` rounds or until few move; a round that lowers the
+  likelihood is undone. Words that no training document holds take the class that most words seen once have in their
+  shape group.
 * Model: log10 P(text) sums, over words and the end, the class transition (Dirichlet-smoothed with the class
   frequencies) and the word's emission from its class. Emissions are discounted by d = n1 / (n1 + 2 n2), and what is
   taken off the words of a class is the probability of meeting an unseen word of that class, so each context's
   probabilities over known words and unseen-word events add up to 1 (the same event space as the base score's).
 * Scoring: the ``HEAD`` most frequent words go to every task (a bounded table) and are looked up there; what is left of a
-  document, its rarer words, is joined with the whole count table by word and summed per document.
+  document, its rarer words and the transitions next to them, is joined with the whole table of words by word and summed
+  per document.
 
 Nulls are empty texts (their one token is the end). Repeated rows count and are scored each on its own; null ids fold
 like the empty text. Without training documents both scores are 0.
@@ -25,9 +31,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skydelay.llm.common import as_bytes, batches_of, fold, offsets_of, segment_sums
 from skydelay.session import cut_lineage
@@ -35,7 +43,9 @@ from skydelay.session import cut_lineage
 UNIT_WORDS, SHAPES, CLASSES = 1024, 512, 64
 HEAD = 1 << 16          # most frequent words whose counts go to every task
 PRIOR = 10.0            # weight of the class frequencies in a transition
-PASSES = 8              # of the exchange
+PASSES = 8              # of the exchange of the units
+WIDE_PASSES = 3         # of the exchange of all other words
+PAIRS = 4_000_000       # neighbouring words that a task holds before it counts them
 KNOWN_WORDS = 500_000   # distinct words a Python worker remembers
 END = b"\n"             # never a word
 END_UNIT = UNIT_WORDS + SHAPES
@@ -156,6 +166,203 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
     return assigned
 
 
+class _Ids(dict):
+    """Number of a word: its rank among the most frequent words, HEAD for END, and a negative 63-bit hash of all others
+    (as ``rare_id`` has it)."""
+
+    def __init__(self, head: list[bytes]) -> None:
+        super().__init__((w, i) for i, w in enumerate(head))
+        self[END] = HEAD
+
+    def __missing__(self, word: bytes) -> int:
+        return (xxhash.xxh64_intdigest(word, 42) | 1 << 63) - (1 << 64)
+
+
+def rare_id(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseOR(F.lit(-(1 << 63)))
+
+
+def word_pairs(texts: DataFrame, head: list[bytes]) -> DataFrame:
+    """(a, b, n): neighbouring words by number, but for those of two units; counted in each task only."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, local, numbers = _Ids(head), {}, []
+        parts: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            codes, n = np.unique(np.concatenate(parts), return_counts=True)
+            own = np.array(numbers, dtype=np.int64)
+            a, b = own[codes >> 32], own[codes & 0xFFFFFFFF]
+            keep = ~(_is_unit(a) & _is_unit(b))
+            return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(n[keep])], ["a", "b", "n"])
+
+        for batch in batches_of(batches, 512):
+            flat = [END]
+            for text in as_bytes(batch.column(0)):
+                flat += tokens(text)
+                flat.append(END)
+            for w in set(flat).difference(local):
+                local[w] = len(numbers)
+                numbers.append(ids[w])
+            at = np.fromiter(map(local.__getitem__, flat), np.int64, len(flat))
+            parts.append(at[:-1] << 32 | at[1:])
+            held += len(at)
+            if held > PAIRS:
+                yield flush()
+                parts, held = [], 0
+                if len(numbers) > KNOWN_WORDS:
+                    local, numbers = {}, []
+        if parts:
+            yield flush()
+
+    return texts.select("text").mapInArrow(count, "a long, b long, n long")
+
+
+def _is_unit(ids: np.ndarray) -> np.ndarray:
+    return (ids >= 0) & (ids < UNIT_WORDS) | (ids == HEAD)
+
+
+# cells of a word: counts by class of what follows, of what precedes, of which units; itself as neighbour; its class
+AFTER, BEFORE, BEFORE_UNIT, OWN, CLASS = 0, CLASSES, 2 * CLASSES, 3 * CLASSES, 3 * CLASSES + 1
+CELLS = CLASS + 1
+
+
+def contexts(pairs: DataFrame, head_class: np.ndarray, rare: DataFrame) -> DataFrame:
+    """(word, cells array<struct<cell, n>>) of every word outside the units, under the classes of the frequent words and
+    of the ``rare`` ones (id, class)."""
+    spark = pairs.sparkSession
+    some = spark.createDataFrame(pa.table({"id": np.arange(len(head_class), dtype=np.int64), "class": head_class.astype(np.int32)}))
+
+    def unit(c: str) -> Column:
+        return F.col(c).between(0, UNIT_WORDS - 1) | (F.col(c) == HEAD)
+
+    def sides(rows: DataFrame, after: Column, before: Column) -> DataFrame:
+        """Each pair as seen from its words, if their neighbour is among those asked for."""
+        side = "struct<word: long, ctx: long, cell: int, n: long>"
+        seen = F.array(
+            F.when(after & ~unit("a"), F.struct(F.col("a").alias("word"), F.col("b").alias("ctx"), F.lit(AFTER).alias("cell"), "n")).cast(side),
+            F.when(before & ~unit("b"), F.struct(F.col("b").alias("word"), F.col("a").alias("ctx"),
+                                                 F.when(unit("a"), BEFORE_UNIT).otherwise(BEFORE).alias("cell"), "n")).cast(side))
+        return rows.select(F.inline(F.array_compact(seen)))
+
+    near = sides(pairs, F.col("b") >= 0, F.col("a") >= 0).join(F.broadcast(some), F.col("ctx") == F.col("id"))  # HEAD rows
+    far = sides(pairs.where("a < 0 or b < 0"), F.col("b") < 0, F.col("a") < 0).join(rare.hint("shuffle_hash"), F.col("ctx") == F.col("id"))
+    cells = near.unionByName(far).select("word", (F.col("cell") + F.col("class")).alias("cell"), "n") \
+        .unionByName(pairs.where("a = b").select(F.col("a").alias("word"), F.lit(OWN).alias("cell"), "n")) \
+        .unionByName(rare.unionByName(some).where(~unit("id")).select(F.col("id").alias("word"), F.lit(CLASS).alias("cell"),
+                                                                      F.col("class").cast("long").alias("n")))
+    return cells.groupBy("word", "cell").agg(F.sum("n").alias("n")) \
+        .groupBy("word").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))  # at most CELLS of a word
+
+
+def _dense(cells: pa.ListArray) -> np.ndarray:
+    out = np.zeros((len(cells), CELLS))
+    flat = cells.flatten()
+    owner = np.repeat(np.arange(len(cells)), cells.value_lengths().to_numpy(zero_copy_only=False))
+    out[owner, flat.field("cell").to_numpy(zero_copy_only=False)] = flat.field("n").to_numpy(zero_copy_only=False)
+    out[:, CLASS] = np.minimum(out[:, CLASS], CLASSES - 1)  # words of equal number share what they have
+    return out
+
+
+def joint_of(found: DataFrame) -> np.ndarray:
+    """Class bigrams that involve a word outside the units."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((CLASSES, CLASSES))
+        for batch in batches_of(batches, 2000):
+            cells = _dense(batch.column(0))
+            member = np.zeros((len(cells), CLASSES))
+            member[np.arange(len(cells)), cells[:, CLASS].astype(np.int64)] = 1
+            total += member.T @ cells[:, AFTER:BEFORE] + cells[:, BEFORE_UNIT:OWN].T @ member
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES ** 2, dtype=np.int32)), pa.array(total.ravel().astype(np.int64))],
+                                         ["code", "n"])
+
+    out = np.zeros(CLASSES ** 2)
+    for code, n in found.select("cells").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n")).collect():  # CLASSES^2
+        out[code] = n
+    return out.reshape(CLASSES, CLASSES)
+
+
+def gains(cells: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """What the likelihood gains by each class for each word (a row of cells), the word taken out of its own class first:
+    the gain of ``exchange``, summed over the classes that the word has been seen next to."""
+    f, size, diagonal = _xlogx, joint.sum(0), joint.diagonal()
+    rows = np.arange(len(cells))
+    old, own = cells[:, CLASS].astype(np.int64), cells[:, OWN]
+    right, left = cells[:, AFTER:BEFORE].copy(), cells[:, BEFORE:BEFORE_UNIT] + cells[:, BEFORE_UNIT:OWN]
+    n = left.sum(1)[:, None]
+    right[rows, old] -= own
+    left[rows, old] -= own
+
+    def more(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+        return f(x + by) - f(x)
+
+    def summed(part: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Sum over the classes j of ``part`` of what adding part[j] to table[:, j] gives."""
+        owner, j = np.nonzero(part)
+        kinds, which = np.unique(np.column_stack([j, part[owner, j]]), axis=0, return_inverse=True)
+        each = more(table[:, kinds[:, 0].astype(np.int64)].T, kinds[:, 1:])
+        return segment_sums(each[which.ravel()], offsets_of(np.bincount(owner, minlength=len(part))))
+
+    out = summed(right, joint) + summed(left, joint.T) - more(diagonal, right) - more(diagonal, left) \
+        + more(diagonal, right + left + own[:, None]) - 2 * more(size, n)
+    # the cells shared with the old class have lost what the word had there
+    to_old, from_old = joint[:, old].T, joint[old]
+    right_old, left_old = right[rows, old][:, None], left[rows, old][:, None]
+    out += more(to_old - left, right_old) - more(to_old, right_old) + more(from_old - right, left_old) - more(from_old, left_old)
+    lost_right, lost_left = f(from_old) - f(from_old - right), f(to_old) - f(to_old - left)
+    lost_right[rows, old] = lost_left[rows, old] = 0
+    both = (right_old + left_old)[:, 0] + own
+    out[rows, old] = lost_right.sum(1) + lost_left.sum(1) + f(diagonal[old]) - f(diagonal[old] - both) \
+        - 2 * (f(size[old]) - f(size[old] - n[:, 0]))
+    out[:, 0] = -np.inf
+    return out
+
+
+def moved(found: DataFrame, joint: np.ndarray, half: int | None = None) -> DataFrame:
+    """(id, class, moves) of every word of ``contexts``: the class of the largest gain (of odd or even numbers only)."""
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, 2000):
+            cells = _dense(batch.column(1))
+            gain, old = gains(cells, joint), cells[:, CLASS].astype(np.int64)
+            new = gain.argmax(1)
+            stays = gain[np.arange(len(new)), new] <= gain[np.arange(len(new)), old] + 1e-9
+            if half is not None:
+                stays |= batch.column(0).to_numpy() % 2 != half
+            new = np.where(stays, old, new)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new.astype(np.int32)), pa.array(new != old)],
+                                             ["id", "class", "moves"])
+
+    return found.select("word", "cells").mapInArrow(choose, "id long, class int, moves boolean")
+
+
+def _likelihood(joint: np.ndarray) -> float:
+    return float(_xlogx(joint).sum() - _xlogx(joint.sum(0)).sum() - _xlogx(joint.sum(1)).sum())
+
+
+def exchange_wide(pairs: DataFrame, head_class: np.ndarray, rare: DataFrame, of_units: np.ndarray,
+                  passes: int = WIDE_PASSES) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+    """Classes of the frequent words, of the rare ones (id, class) and class bigrams, after the exchange of all words
+    outside the units; ``of_units`` holds the class bigrams of the units."""
+    best = None
+    for k in range(passes + 1):
+        found = cut_lineage(contexts(pairs, head_class, rare))
+        joint = of_units + joint_of(found)
+        if best is not None and _likelihood(joint) <= _likelihood(best[2]):
+            break
+        best = head_class, rare, joint
+        if k == passes:
+            break
+        new = cut_lineage(moved(found, joint, k % 2 if k else None))
+        n, moves = new.agg(F.count(F.lit(1)), F.sum(F.col("moves").cast("long"))).first()
+        if not n or moves < 0.005 * n:
+            break
+        some = new.where("id >= 0").select("id", "class").toArrow()  # HEAD rows at most
+        head_class = head_class.copy()
+        head_class[some["id"].to_numpy()] = some["class"].to_numpy()
+        rare = new.where("id < 0").select("id", "class")
+    return best
+
+
 class ClassModel:
     """Transition and emission tables, and the counts of the most frequent words."""
 
@@ -163,30 +370,37 @@ class ClassModel:
         self.class_of_unit = exchange(bigrams)
         member = np.zeros((UNITS, CLASSES))
         member[np.arange(UNITS), self.class_of_unit] = 1
-        joint = member.T @ bigrams @ member
-        self.size = joint.sum(0)
-        frequency = (self.size + 1) / (self.size.sum() + CLASSES)
-        self.transition = np.log10((joint + PRIOR * frequency) / (joint.sum(1, keepdims=True) + PRIOR))
+        units = [*range(UNIT_WORDS), END_UNIT]
+        self.of_units = member[units].T @ bigrams[np.ix_(units, units)] @ member[units]
         self.discount = discount
         self.head = head
         self.units = _Units([w for w, _ in head if w != END])
+        self.head_class = np.array([self.class_of(w) for w, _ in head], dtype=np.int64)
+        self.settle(member.T @ bigrams @ member)
+
+    def settle(self, joint: np.ndarray) -> None:
+        """Takes the sizes and transitions from the class bigrams."""
+        self.size = joint.sum(0)
+        frequency = (self.size + 1) / (self.size.sum() + CLASSES)
+        self.transition = np.log10((joint + PRIOR * frequency) / (joint.sum(1, keepdims=True) + PRIOR))
 
     def class_of(self, word: bytes) -> int:
+        """Of a unit or of a word not seen in training (all words start from it)."""
         return int(self.class_of_unit[self.units[word]])
 
 
 class _Vocabulary(dict):
-    """Number of a word: the frequent ones first, then new ones as they come. Arrays by number: class, base part,
-    score part (of a rarer word: without the part that needs its count) and whether the word is known here."""
+    """Number of a word: the frequent ones first, then new ones as they come. Arrays by number: class (of a rarer word:
+    the one it has if no training document holds it), base part, score part and whether the word is known here."""
 
     def __init__(self, model: ClassModel) -> None:
         super().__init__((w, i) for i, (w, _) in enumerate(model.head))
         self.model, self.first = model, len(model.head)
         self.new: list[bytes] = []
-        classes = np.array([model.class_of(w) for w, _ in model.head], dtype=np.int64)
+        classes = model.head_class
         counts = np.array([n for _, n in model.head], dtype=np.float64)
-        self.log_size = np.log10(np.maximum(model.size, 1))
-        score = np.log10(np.maximum(counts - model.discount, 1e-9)) - self.log_size[classes] if len(classes) else np.zeros(0)
+        log_size = np.log10(np.maximum(model.size, 1))
+        score = np.log10(np.maximum(counts - model.discount, 1e-9)) - log_size[classes] if len(classes) else np.zeros(0)
         for i, (w, _) in enumerate(model.head):
             if w == END:
                 score[i] = 0.0  # alone in its class
@@ -202,15 +416,16 @@ class _Vocabulary(dict):
         fresh = self.new[len(self.tables[0]) - self.first:]
         if fresh:
             classes = np.array([self.model.class_of(w) for w in fresh], dtype=np.int64)
-            parts = [classes, np.zeros(len(fresh)), np.where(classes > 0, -self.log_size[classes], 0.0), np.zeros(len(fresh))]
-            self.tables = [np.concatenate([a, b]) for a, b in zip(self.tables, parts)]
+            nothing = np.zeros(len(fresh))
+            self.tables = [np.concatenate([a, b]) for a, b in zip(self.tables, [classes, nothing, nothing, nothing])]
         return self.tables
 
 
 def _partial_scores(docs: DataFrame, shared: Broadcast[ClassModel]) -> DataFrame:
-    """Per row what needs no further counts, and its rarer words: (word, class, times)."""
+    """Per row what needs no rarer word; its rarer words: (word, class, place, times), numbered by place; and the
+    transitions next to them, first << 32 | second, each a class or CLASSES + place."""
     kinds = ("doc_id long, n_tokens long, n_known long, base double, score double, "
-             "rare array<struct<word: binary, class: int, times: long>>")
+             "rare array<struct<word: binary, class: int, place: int, times: long>>, steps array<long>")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _Vocabulary(shared.value)
@@ -221,27 +436,109 @@ def _partial_scores(docs: DataFrame, shared: Broadcast[ClassModel]) -> DataFrame
             offsets = offsets_of([len(w) for w in words])
             numbers = np.fromiter(map(vocabulary.__getitem__, chain.from_iterable(words)), np.int64, int(offsets[-1]))
             classes, base, emission, known = (t[numbers] for t in vocabulary.grown())
-            previous = np.concatenate([[0], classes[:-1]])  # a document follows an END, whose class is 0
-            values = np.column_stack([known, base, emission + vocabulary.model.transition[previous, classes]])
-            sums = segment_sums(values, offsets)
-            # rarer words, once per document
             owner = np.repeat(np.arange(len(words)), np.diff(offsets))
+            # rarer words, once per document
             rare = numbers >= vocabulary.first
-            keys, times = np.unique(owner[rare] * (1 << 32) + numbers[rare], return_counts=True)
+            keys, inverse, times = np.unique(owner[rare] << 32 | numbers[rare], return_inverse=True, return_counts=True)
             own, word = keys >> 32, keys & 0xFFFFFFFF
+            starts = offsets_of(np.bincount(own, minlength=len(words)))
+            place = np.arange(len(keys)) - starts[own]
+            codes = classes.copy()
+            codes[rare] = CLASSES + place[inverse]
+            previous = np.concatenate([[0], codes[:-1]])
+            previous[offsets[:-1]] = 0  # a document follows an END, whose class is 0
+            later = (codes >= CLASSES) | (previous >= CLASSES)
+            step = np.where(later, 0.0, vocabulary.model.transition[np.where(later, 0, previous), np.where(later, 0, codes)])
+            sums = segment_sums(np.column_stack([known, base, emission + step]), offsets)
             structs = pa.StructArray.from_arrays(
                 [pa.array([vocabulary.new[i - vocabulary.first] for i in word.tolist()], pa.binary()),
-                 pa.array(vocabulary.tables[0][word].astype(np.int32)), pa.array(times.astype(np.int64))],
-                ["word", "class", "times"])
-            lists = pa.ListArray.from_arrays(
-                pa.array(offsets_of(np.bincount(own, minlength=len(words))).astype(np.int32)), structs)
+                 pa.array(vocabulary.tables[0][word].astype(np.int32)), pa.array(place.astype(np.int32)),
+                 pa.array(times.astype(np.int64))], ["word", "class", "place", "times"])
+            steps = pa.ListArray.from_arrays(
+                pa.array(offsets_of(np.bincount(owner[later], minlength=len(words))).astype(np.int32)),
+                pa.array(previous[later] << 32 | codes[later]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(offsets)), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1]),
-                 pa.array(sums[:, 2]), lists], ["doc_id", "n_tokens", "n_known", "base", "score", "rare"])
+                 pa.array(sums[:, 2]), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), structs), steps],
+                ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "steps"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, kinds)
 
 
+def _late_transitions(steps: Column, classes: Column, transition: np.ndarray) -> Column:
+    """Sum of the transitions of ``steps``, given the classes of the row's rarer words by place."""
+    @F.arrow_udf(T.DoubleType())
+    def total(steps: pa.Array, classes: pa.Array) -> pa.Array:
+        n = steps.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        starts = offsets_of(classes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[:-1]
+        codes = steps.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        known = np.concatenate([classes.flatten().to_numpy(zero_copy_only=False).astype(np.int64), [0]])
+        first = np.repeat(starts, n)
+
+        def class_of(code: np.ndarray) -> np.ndarray:
+            return np.where(code < CLASSES, code, known[np.where(code < CLASSES, -1, first + code - CLASSES)])
+
+        return pa.array(segment_sums(transition[class_of(codes >> 32), class_of(codes & 0xFFFFFFFF)], offsets_of(n)))
+    return total(steps, classes)
+
+
+def _learn(train: DataFrame, counts: DataFrame, head: list[tuple[bytes, int]], discount: float) -> tuple[ClassModel, DataFrame]:
+    """The model, and the rarer words of the training documents (word, n, class)."""
+    words = [w for w, _ in head if w != END]
+    bigrams = np.zeros(UNITS * UNITS)
+    found = unit_bigrams(train, words[:UNIT_WORDS]).toArrow()  # UNITS^2 rows at most
+    bigrams[found["code"].to_numpy()] = found["n"].to_numpy()
+    model = ClassModel(head, bigrams.reshape(UNITS, UNITS), discount)
+    del found, bigrams
+    units = train.sparkSession.sparkContext.broadcast((model.units, model.class_of_unit))
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, class_of = units.value
+        for batch in batches:
+            first = class_of[np.array([unit[w] for w in as_bytes(batch.column(0))], dtype=np.int64)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first.astype(np.int32))], ["word", "n", "id", "class"])
+
+    spot = {w: i for i, w in enumerate(words)}
+    spot[END] = HEAD
+    place = np.array([spot[w] for w, _ in head], dtype=np.int64)
+    last = head[-1] if head else (b"", 0)
+    others = (F.col("n") < last[1]) | ((F.col("n") == last[1]) & (F.col("word") > F.lit(last[0])))
+    rarer = cut_lineage(counts.where(others & (F.col("word") != F.lit(END))).select("word", "n", rare_id(F.col("word")).alias("id"))
+                        .mapInArrow(start, "word binary, n long, id long, class int"))
+    if head:
+        by_place = np.zeros(HEAD + 1, dtype=np.int64)
+        by_place[place] = model.head_class
+        pairs = cut_lineage(word_pairs(train, words))
+        by_place, classes, joint = exchange_wide(pairs, by_place, rarer.select("id", "class"), model.of_units)
+        model.head_class = by_place[place]
+        model.settle(joint)
+        rarer = cut_lineage(rarer.drop("class").join(classes.hint("shuffle_hash"), "id").select("word", "n", "class"))
+        _place_unseen(model, rarer)
+    return model, rarer
+
+
+def _place_unseen(model: ClassModel, rarer: DataFrame) -> None:
+    """Gives every shape group the class that most of its words seen once have (ties: the lowest)."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SHAPES * CLASSES, dtype=np.int64)
+        for batch in batches:
+            shapes = np.array([crc32(w[-3:]) % SHAPES for w in as_bytes(batch.column(0))], dtype=np.int64)
+            total += np.bincount(shapes * CLASSES + batch.column(1).to_numpy(), minlength=len(total))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["code", "n"])
+
+    once = np.zeros(SHAPES * CLASSES)
+    for code, n in rarer.where("n = 1").select("word", "class").mapInArrow(count, "code int, n long") \
+            .groupBy("code").agg(F.sum("n")).collect():  # SHAPES * CLASSES rows at most
+        once[code] = n
+    for (w, n), c in zip(model.head, model.head_class):
+        if n == 1 and w != END:
+            once[crc32(w[-3:]) % SHAPES * CLASSES + c] += 1
+    once = once.reshape(SHAPES, CLASSES)
+    some = np.flatnonzero(once.sum(1))
+    model.class_of_unit[UNIT_WORDS + some] = once[some].argmax(1)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per document."""
     held = fold(F.col("doc_id"), 7) == 2
@@ -256,40 +553,37 @@ def score(docs: DataFrame) -> DataFrame:
     # Arrow tables: rows of Python objects would take the driver a hundred times the memory
     top = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()  # HEAD rows at most
     head = list(zip(top["word"].to_pylist(), top["n"].to_pylist()))
-    bigrams = np.zeros(UNITS * UNITS)
-    found = unit_bigrams(train, [w for w, _ in head[:UNIT_WORDS + 1] if w != END]).toArrow()  # UNITS^2 rows at most
-    bigrams[found["code"].to_numpy()] = found["n"].to_numpy()
-    model = ClassModel(head, bigrams.reshape(UNITS, UNITS), min(discount, 0.99))
-    del top, found, bigrams
+    model, rarer = _learn(train, counts, head, min(discount, 0.99))
+    del top
     shared = docs.sparkSession.sparkContext.broadcast(model)  # HEAD words and CLASSES^2 numbers
 
-    def classes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, model = np.zeros(CLASSES, dtype=np.int64), shared.value
-        for batch in batches:
-            kinds += np.bincount([model.class_of(w) for w in as_bytes(batch.column(0))], minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(kinds)], ["class", "kinds"])
-
-    kinds = np.zeros(CLASSES)
-    for c, k in counts.where(is_word).select("word").mapInArrow(classes_of, "class int, kinds long") \
-            .groupBy("class").agg(F.sum("kinds")).collect():  # CLASSES rows
-        kinds[c] = k
+    kinds = np.bincount(model.head_class[[w != END for w, _ in head]], minlength=CLASSES).astype(np.float64)
+    for c, k in rarer.groupBy("class").count().collect():  # CLASSES rows
+        kinds[c] += k
+    log_size = np.log10(np.maximum(model.size, 1))
     unseen = np.where(kinds > 0, np.log10(np.maximum(model.discount * kinds, 1e-300)), 0.0)
 
+    def by_class(values: np.ndarray) -> Column:
+        return F.get(F.array(*[F.lit(float(x)) for x in values]), F.col("class"))
+
     partial = cut_lineage(_partial_scores(docs, shared).withColumn("row_no", F.monotonically_increasing_id()))
-    rare = partial.select("row_no", F.inline("rare")).join(counts, "word", "left")
+    rare = partial.select("row_no", F.inline("rare")).withColumnRenamed("class", "if_unseen").join(rarer, "word", "left") \
+        .withColumn("class", F.coalesce("class", "if_unseen"))
     some = F.col("n").isNotNull()
-    unseen_part = F.get(F.array(*[F.lit(float(x)) for x in unseen]), F.col("class"))
     sums = rare.groupBy("row_no").agg(
         F.sum(F.when(some, F.col("times")).otherwise(0)).alias("known_rare"),
         F.sum(F.when(some, F.col("times") * F.log10(F.col("n") + 1.0)).otherwise(0.0)).alias("base_rare"),
-        F.sum(F.col("times") * F.when(some, F.log10(F.col("n") - F.lit(model.discount))).otherwise(unseen_part)).alias("score_rare"))
+        F.sum(F.col("times") * (F.when(some, F.log10(F.col("n") - F.lit(model.discount))).otherwise(by_class(unseen))
+                                - by_class(log_size))).alias("score_rare"),
+        F.sort_array(F.collect_list(F.struct("place", "class")))["class"].alias("classes"))  # the row's own words
     per_token = float(np.log10(total + distinct + 1))
-    out = partial.drop("rare").join(sums, "row_no", "left")
+    out = partial.drop("rare").join(sums, "row_no", "left") \
+        .withColumn("late", _late_transitions(F.col("steps"), F.col("classes"), model.transition))
     return out.select(
         "doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("known_rare", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("base_rare", F.lit(0.0)) - F.col("n_tokens") * per_token).alias("base_score"),
-        (F.col("score") + F.coalesce("score_rare", F.lit(0.0))).alias("score") if total else F.lit(0.0).alias("score"))
+        (F.col("score") + F.coalesce("score_rare", F.lit(0.0)) + F.col("late")).alias("score") if total else F.lit(0.0).alias("score"))
 
 
 def op4(docs: DataFrame) -> DataFrame:
