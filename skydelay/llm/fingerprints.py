@@ -5,7 +5,7 @@ paragraphs' vectors, each lane modulo a power of two. So it does not depend on t
 removing a paragraph adds or subtracts its vector without reading the rest. A vector has two parts:
 
 * 8 lanes modulo 2^64 from a 512-bit hash of the whole paragraph: equal multisets of paragraphs, equal lanes;
-* 256 lanes modulo 2^16 into which every three-word window of the paragraph adds +1 or -1 at a hashed place. The squared
+* 256 lanes modulo 2^32 into which every three-word window of the paragraph adds +1 or -1 at a hashed place. The squared
   length of the difference of two such vectors estimates how many windows the documents do not share, which gives a
   likeness of 1 - |a - b|^2 / (|a|^2 + |b|^2), kept within 0 to 1.
 
@@ -39,7 +39,7 @@ LANES, SKETCH = 8, 256
 RUN_ROWS, MOST_RUNS = 2048, 1_000_000  # documents in a run at least, runs at most (their bounds go to every task)
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
-Vector = tuple[np.ndarray, np.ndarray]  # uint64 lanes, uint16 sketch
+Vector = tuple[np.ndarray, np.ndarray]  # uint64 lanes, uint32 sketch (no text has 2^31 windows)
 
 
 def paragraphs(text: str) -> list[bytes]:
@@ -51,7 +51,7 @@ def vector(parts: Counter[bytes]) -> Vector:
     lanes = np.zeros(LANES, np.uint64)
     digests = b"".join(hashlib.blake2b(p, digest_size=8 * LANES).digest() for p in parts)
     if not digests:
-        return lanes, np.zeros(SKETCH, np.uint16)
+        return lanes, np.zeros(SKETCH, np.uint32)
     times = np.fromiter(parts.values(), np.int64, len(parts))
     lanes += (np.frombuffer(digests, "<u8").reshape(-1, LANES) * times.astype(np.uint64)[:, None]).sum(0, dtype=np.uint64)
     words = [p.split() for p in parts]
@@ -71,7 +71,7 @@ def vector(parts: Counter[bytes]) -> Vector:
     mixed, weight = mixed[keep], np.repeat(times, lengths)[keep]
     sign = np.where(mixed & np.uint64(1 << 20), weight, -weight)
     sketch = np.bincount((mixed & np.uint64(SKETCH - 1)).astype(np.int64), sign, SKETCH).astype(np.int64)
-    return lanes, (sketch & 0xFFFF).astype(np.uint16)
+    return lanes, (sketch & 0xFFFFFFFF).astype(np.uint32)
 
 
 def add(a: Vector, b: Vector) -> Vector:
@@ -85,13 +85,13 @@ def subtract(a: Vector, b: Vector) -> Vector:
 def likeness(a: Vector, b: Vector) -> float:
     if np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]):
         return 1.0
-    x, y, d = (v.view(np.int16).astype(np.float64) for v in (a[1], b[1], a[1] - b[1]))
+    x, y, d = (v.view(np.int32).astype(np.float64) for v in (a[1], b[1], a[1] - b[1]))
     size = x @ x + y @ y
     return float(min(1.0, max(0.0, 1 - (d @ d) / size))) if size else 0.0
 
 
 def packed(v: Vector) -> str:
-    return base64.b64encode(v[0].astype("<u8").tobytes() + v[1].astype("<u2").tobytes()).decode()
+    return base64.b64encode(v[0].astype("<u8").tobytes() + v[1].astype("<u4").tobytes()).decode()
 
 
 def fingerprint_column(text: Column) -> Column:

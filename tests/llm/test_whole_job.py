@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from skydelay.llm import lm_scoring
+from skydelay.llm import fingerprints, lm_scoring
 
 
 # --- LM scoring
@@ -54,3 +54,18 @@ def test_gain_is_that_of_the_exchange():
         want = rows.sum(1) - rows[d, d] + columns.sum(0) - columns[d, d] + f(rest[d, d] + right + left + own) - f(rest[d, d]) \
             - 2 * (f(size + times) - f(size))
         assert got[1:] == pytest.approx(want[1:], abs=1e-8)
+
+
+# --- document fingerprints
+
+def test_likeness_of_a_very_repetitive_document(spark):
+    """More than 2^15 hits in a lane: 70,000 times the same window, 46,667 of them left after the edit."""
+    long = "x y z\n" * 70_000
+    docs = spark.createDataFrame([(2, long), (1, "a b c\n" * 70_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprints.op3(docs).collect()}
+    left, new = 46_667, 23_333
+    assert got[2]["near_edited"] == pytest.approx(1 - 2 * new ** 2 / (70_000 ** 2 + left ** 2 + new ** 2), abs=1e-3)
+    assert got[2]["near_next"] == 0.0
+    for times in (1 << 15, 1 << 16, 70_000):
+        v = fingerprints.vector(Counter({b"x y z": times}))
+        assert np.abs(v[1].view(np.int32)).max() == times
