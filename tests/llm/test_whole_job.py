@@ -4,8 +4,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from skydelay.llm import fingerprints, lm_scoring
+from test_operators import planted
+
+from skydelay.llm import fingerprints, lm_scoring, secrets
 
 
 # --- LM scoring
@@ -69,3 +72,23 @@ def test_likeness_of_a_very_repetitive_document(spark):
     for times in (1 << 15, 1 << 16, 70_000):
         v = fingerprints.vector(Counter({b"x y z": times}))
         assert np.abs(v[1].view(np.int32)).max() == times
+
+
+# --- secret scans
+
+def test_a_secret_after_the_first_40_characters_of_a_run_is_found(spark):
+    net = secrets.fit(planted(spark))
+    rng = random.Random(5)
+    path = "/v1/resources/documents/archive/items/key-="
+    runs = [path + "".join(rng.choice("0123456789abcdef") for _ in range(28)) for _ in range(100)]
+    docs = spark.createDataFrame([(f"the of {r} erin",) for r in runs], "text string")
+    found = docs.select(secrets.spans_column(F.col("text"), net).alias("spans")).collect()
+    assert np.mean([any(x["end"] == 7 + len(path) + 28 for x in r["spans"]) for r in found]) > 0.9
+    assert [secrets.pieces(3, e) for e in (11, 43, 44)] == [[(3, 11)], [(3, 43)], [(3, 43), (4, 44)]]
+    for n in (8, 40, 41, 61, 500):
+        assert {i for a, b in secrets.pieces(0, n) for i in range(a, b)} == set(range(n))
+
+
+def test_the_network_sees_what_follows_a_candidate():
+    a, b = (secrets.windows([(f"x 12345678 {w}", 2, 10)]) for w in ("secret", "number"))
+    assert (a != b).any()
