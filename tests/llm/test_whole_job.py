@@ -92,3 +92,11 @@ def test_a_secret_after_the_first_40_characters_of_a_run_is_found(spark):
 def test_the_network_sees_what_follows_a_candidate():
     a, b = (secrets.windows([(f"x 12345678 {w}", 2, 10)]) for w in ("secret", "number"))
     assert (a != b).any()
+
+
+def test_candidates_are_all_runs_and_what_base_spans_leave():
+    letters, hexes = "QwErTyUiOpAsDfGhJkLz", "0123456789abcdef" * 2
+    text = f"to {letters} XYZWVUTSRQ-{hexes}+ZYXWVUTSRQPO short"
+    base = secrets.base_spans(text)
+    assert [text[a:b] for a, b in secrets.candidates(text, base)] == [letters, "XYZWVUTSRQ-", "+ZYXWVUTSRQPO"]
+    assert secrets.base_spans("bcdef" * 7) == [(0, 2, 35)]
