@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -73,13 +74,17 @@ def cut_lineage(df):
     Unlike a cached or local copy it survives executor loss; unlike ``Dataset.checkpoint`` (Java-serialized rows read
     back as an opaque RDD) the table is columnar and compressed, and reads of it get column pruning and filter
     pushdown."""
-    import uuid
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = owned_path(df.sparkSession, "tables")
     df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def owned_path(spark: SparkSession, kind: str) -> str:
+    """A new folder name below the shared checkpoint folder; the open lineage scopes delete it at their end."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
     for scope in _SCOPES:
         scope.append(path)
-    return spark.read.parquet(path)
+    return path
 
 
 _SCOPES: list[list[str]] = []
