@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skydelay.llm import fingerprints, language_id, lm_scoring, packing, quality_classifier, quality_rules, secrets, sentencepiece_fst, sharding, simhash
+from skydelay.llm import (conversation_repair, exact_dedup, fingerprints, language_id, lm_scoring, merkle, packing, quality_classifier,
+                          quality_rules, secrets, sentencepiece_fst, sharding, simhash)
 from skydelay.llm.common import read_table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +55,18 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op10(read_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op11(read_table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.op12(read_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.op13(read_table(spark, sf_dir, "conversations"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_simhash_dedup": (op1_simhash_dedup, None),
@@ -66,4 +79,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_sharding": (op8_sharding, None),
     "op9_quality_rules": (op9_quality_rules, quality_rules.oracle_sql()),
     "op10_secret_scans": (op10_secret_scans, None),
+    "op11_merkle_manifest": (op11_merkle_manifest, merkle.oracle_sql()),
+    "op12_exact_dedup": (op12_exact_dedup, exact_dedup.ORACLE_SQL),
+    "op13_conversation_repair": (op13_conversation_repair, None),
 }
