@@ -195,9 +195,9 @@ def oracle_sql(fanout: int = FANOUT) -> str:
     def leaf(text: str) -> str:
         return f"sha256({' || '.join(written(text if f == 'text' else f) for f in FIELDS)})"
     small = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], (a, z) -> xor(a >> 1, (a & 1) * 3988292384))"
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a & 1) * 3988292384))"
     crc = f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''),
-        d -> ascii(d)::BIGINT)), (c, b) -> {byte}))"""
+        lambda d: ascii(d)::BIGINT)), lambda c, b: {byte}))"""
     sides = f"PARTITION BY tree, lvl, idx // {fanout} ORDER BY idx ROWS BETWEEN"
     raise_ = f"""SELECT tree, lvl + 1, idx // {fanout}, (n + {fanout - 1}) // {fanout}, sha256(string_agg(d, '' ORDER BY idx))
         FROM {{0}} WHERE n > 1 GROUP BY tree, lvl, idx // {fanout}, n"""
