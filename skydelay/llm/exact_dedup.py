@@ -63,7 +63,8 @@ class DigestIndex:
         """What of a delivery (see ``digests``) the index does not hold: one row per new digest, its largest row."""
         # the largest row of a digest by (id, first read); nulls are least in a struct
         best = F.max(F.struct("doc_id", (-F.col("row_no")).alias("late"), "delivery")).alias("best")
-        groups = rows.groupBy("digest").agg(best)
+        # written, or else the anti-join would be moved below the grouping and copies would meet in it
+        groups = cut_lineage(rows.groupBy("digest").agg(best))
         return groups.join(self.frame().select("digest").hint("merge"), "digest", "left_anti") \
             .select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.delivery").alias("delivery"),
                     (-F.col("best.late")).alias("row_no"))
