@@ -87,6 +87,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
+SMALL_ROWS = 100_000  # of a table that may be sent to every task
+
+
+def join_small(rows: DataFrame, small: DataFrame, on: Column | str, most: int = SMALL_ROWS) -> DataFrame:
+    """Inner join with a stored table that is small as a rule: sent to every task if it has at most ``most`` rows
+    (counted), else a sort-merge join."""
+    return rows.join(F.broadcast(small), on) if small.count() <= most else rows.hint("merge").join(small, on)
+
+
 def batches_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):

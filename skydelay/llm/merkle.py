@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skydelay.llm.common import shuffle_width
+from skydelay.llm.common import join_small, shuffle_width
 from skydelay.session import cut_lineage
 
 FANOUT = 8
@@ -58,11 +58,11 @@ def placed(rows: DataFrame, group: str, *order: str) -> DataFrame:
     task = F.shiftright("_at", 33)
     here = ranked.groupBy(F.col(group).alias("_group"), task.alias("_task")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     by_task = Window.partitionBy("_group").orderBy("_task")
-    starts = here.select("_group", "_task", "_first",
+    starts = cut_lineage(here.select("_group", "_task", "_first",
                          (F.sum("_rows").over(by_task) - F.col("_rows")).alias("_before"),
-                         F.sum("_rows").over(Window.partitionBy("_group")).alias("n"))
+                         F.sum("_rows").over(Window.partitionBy("_group")).alias("n")))
     same = ranked[group].eqNullSafe(F.col("_group")) & (task == F.col("_task"))
-    return ranked.join(starts, same).withColumn("idx", F.col("_at") - F.col("_first") + F.col("_before")) \
+    return join_small(ranked, starts, same).withColumn("idx", F.col("_at") - F.col("_first") + F.col("_before")) \
         .drop("_group", "_task", "_first", "_before", "_at")
 
 
@@ -157,7 +157,7 @@ def proofs(records: DataFrame, fanout: int = FANOUT) -> DataFrame:
     none = F.array().cast("array<struct<left: binary, right: binary>>")
     out = out.select("tree", "kid.doc_id", F.col("kid.digest").alias("bytes"), "kid.present",
                      F.concat(F.coalesce(own, none), F.coalesce("way", none)).alias("seg"))
-    out = out.join(subroots.select("tree", F.col("digest").alias("sub")), "tree")
+    out = join_small(out, subroots.select("tree", F.col("digest").alias("sub")), "tree")
     siblings = F.aggregate("seg", F.lit(b""), lambda s, x: F.concat(s, x["left"], x["right"]))
     return out.select("doc_id", hex_of(F.col("bytes")).alias("leaf"), hex_of(F.col("sub")).alias("subroot"), F.lit(root).alias("root"),
                       F.sha2(hex_of(siblings).cast("binary"), 256).alias("proof_sha256"),
