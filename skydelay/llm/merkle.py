@@ -121,7 +121,8 @@ def proofs(records: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Of records (doc_id, lang, leaf: bytes, present: bytes of the leaf as it is now): doc_id, leaf, subroot, root,
     proof_sha256, folded_root (all hex), verified and seg, the proof itself (an array of left and right siblings as bytes)."""
     spark = records.sparkSession
-    leaves = placed(records.withColumn("tree", F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-"))), "lang", "doc_id", "leaf", "present")
+    # sorting by range reads its input twice; the texts are hashed once
+    leaves = placed(cut_lineage(records).withColumn("tree", F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-"))), "lang", "doc_id", "leaf", "present")
     up = F.floor(F.col("idx") / fanout)
     kid = F.struct("idx", F.col("leaf").alias("digest"), "doc_id", "present")
     runs = cut_lineage(
