@@ -133,4 +133,4 @@ def q_i11b(spark, sf):
     again = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*fs.selected))
     t = p.test.withColumn("__n", again).withColumn("__row", F.concat_ws(
         "|", *[F.col(k).cast("string") for k in KEYS], F.when(F.col("__n") > 1, F.col("__n").cast("string"))))
-    return ml.explain_rows(t, model, "__row", p.train, fs, permutations=8)
+    return ml.explain_rows(t, model, "__row", p.train, fs)

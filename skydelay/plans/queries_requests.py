@@ -10,7 +10,7 @@ from skydelay.operators import stats as D
 from skydelay.plans import requests as Q
 from skydelay.plans.fixtures import AS_OF_FUTURE
 from skydelay.plans.queries import KEYS_SQL, V, enriched, pre, query
-from skydelay.plans.queries_schedule import airports_idx, fmt_hhmm_sql
+from skydelay.plans.queries_schedule import _mean6, airports_idx, fmt_hhmm_sql
 
 
 def surrogate_scorer(df):
@@ -131,31 +131,56 @@ def q_i12(spark, sf):
 TODAY_SQL = f"CAST('{AS_OF_FUTURE}' AS DATE)"
 
 
-@query("I13_weekly_route_estimate", f"""
-WITH r AS (SELECT request_id, upper(trim(origin_airport)) AS o, upper(trim(destination_airport)) AS d, upper(NULLIF(trim(airline), '')) AS a,
+WEEK_SQL = f"""
+r AS (SELECT request_id, upper(trim(origin_airport)) AS o, upper(trim(destination_airport)) AS d, upper(NULLIF(trim(airline), '')) AS a,
     scheduled_departure AS dep, year AS y, month AS m, day AS dd, day_of_week AS w, TRY_CAST(flight_date AS DATE) AS fd, flight_date IS NOT NULL AS dated
   FROM requests WHERE NULLIF(trim(origin_airport), '') IS NOT NULL AND NULLIF(trim(destination_airport), '') IS NOT NULL),
 s AS (SELECT make_date(YEAR, MONTH, DAY) AS f, YEAR AS sy, MONTH AS sm, DAY AS sd, DAY_OF_WEEK AS sw, upper(trim(AIRLINE)) AS sa,
-    CAST(SCHEDULED_DEPARTURE AS DOUBLE) AS sdep, upper(trim(ORIGIN_AIRPORT)) AS so, upper(trim(DESTINATION_AIRPORT)) AS sdst, delay_probability AS p FROM scored),
-j AS (SELECT r.*, s.f, s.p, bool_or(s.f >= {TODAY_SQL}) OVER (PARTITION BY request_id) AS future FROM r JOIN s ON so = o AND sdst = d
+    CAST(SCHEDULED_DEPARTURE AS DOUBLE) AS sdep, {fmt_hhmm_sql('SCHEDULED_DEPARTURE')} AS hhmm, SCHEDULED_DEPARTURE AS dk, CAST(FLIGHT_NUMBER AS VARCHAR) AS num,
+    upper(trim(ORIGIN_AIRPORT)) AS so, upper(trim(DESTINATION_AIRPORT)) AS sdst, delay_probability AS p FROM scored),
+j AS (SELECT r.*, s.* EXCLUDE (so, sdst), bool_or(s.f >= {TODAY_SQL}) OVER (PARTITION BY request_id) AS future FROM r JOIN s ON so = o AND sdst = d
   WHERE (a IS NULL OR sa = a) AND (dep IS NULL OR sdep = dep) AND (y IS NULL OR sy = y) AND (m IS NULL OR sm = m) AND (dd IS NULL OR sd = dd)
     AND (w IS NULL OR sw = w) AND (NOT dated OR f = fd)),
-k AS (SELECT *, bool_or(f <= {TODAY_SQL} + 6) OVER (PARTITION BY request_id) AS capped FROM j WHERE NOT future OR f >= {TODAY_SQL})
-SELECT request_id, round(avg(p), 6) AS mean_probability, count(*) AS flights FROM k
-WHERE y IS NOT NULL OR m IS NOT NULL OR dd IS NOT NULL OR w IS NOT NULL OR dated OR NOT capped OR f <= {TODAY_SQL} + 6
-GROUP BY request_id""", ("requests", "scored"))
-def q_i13(spark, sf):
-    summary, _ = _weekly(spark, sf)
-    return summary.select("request_id", F.round("mean_probability", 6).alias("mean_probability"), "flights")
+k AS (SELECT *, bool_or(f <= {TODAY_SQL} + 6) OVER (PARTITION BY request_id) AS capped FROM j WHERE NOT future OR f >= {TODAY_SQL}),
+k2 AS (SELECT *, y IS NOT NULL OR m IS NOT NULL OR dd IS NOT NULL OR w IS NOT NULL OR dated AS named FROM k
+  WHERE y IS NOT NULL OR m IS NOT NULL OR dd IS NOT NULL OR w IS NOT NULL OR dated OR NOT capped OR f <= {TODAY_SQL} + 6),
+total AS (SELECT request_id, {_mean6('p')} AS mean_probability, count(*) AS flights, any_value(named) AS named, any_value(a) IS NULL AS any_airline,
+  any_value(dep) IS NULL AS any_dep, arg_min(hhmm, (p, dk)) FILTER (WHERE dk IS NOT NULL) AS lower_risk_departure FROM k2 GROUP BY 1),
+bday AS (SELECT request_id, arg_min(f, (m, f)) AS lowest_risk_day FROM (SELECT request_id, f, {_mean6('p')} AS m FROM k2 GROUP BY 1, 2) x GROUP BY 1),
+bair AS (SELECT request_id, arg_min(sa, (m, sa)) AS lowest_risk_airline FROM (SELECT request_id, sa, {_mean6('p')} AS m FROM k2 WHERE sa IS NOT NULL
+  GROUP BY 1, 2) x GROUP BY 1)"""
 
 
-@query("I13_weekly_route_best")
-def q_i13c(spark, sf):
-    summary, _ = _weekly(spark, sf)
-    return summary.withColumn("lowest_risk_day", F.date_format("lowest_risk_day", "yyyy-MM-dd"))
+@query("I13_weekly_route_estimate", f"WITH {WEEK_SQL} SELECT request_id, mean_probability, flights FROM total", ("requests", "scored"))
+def q_i13(spark, sf):
+    return _weekly(spark, sf)[0].select("request_id", "mean_probability", "flights")
 
 
-@query("I13_weekly_route_suggestions")
+@query("I13_weekly_route_best", f"""WITH {WEEK_SQL}
+SELECT request_id, mean_probability, flights, CASE WHEN mean_probability >= 0.7 THEN 'HIGH' WHEN mean_probability >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+  strftime(lowest_risk_day, '%Y-%m-%d') AS lowest_risk_day, lowest_risk_airline, lower_risk_departure
+FROM total JOIN bday USING (request_id) JOIN bair USING (request_id)""", ("requests", "scored"))
+def q_i13c(spark, sf):
+    return _weekly(spark, sf)[0].drop("weekly_factors").withColumn("lowest_risk_day", F.date_format("lowest_risk_day", "yyyy-MM-dd"))
+
+
+@query("E3_weekly_factors", f"""WITH {WEEK_SQL}
+SELECT request_id, array_to_string(list_slice(list_filter(['schedule_window=' || flights || ' flights in 7 days',
+  CASE WHEN NOT named THEN 'lowest_risk_day=' || strftime(lowest_risk_day, '%d/%m/%Y') END,
+  CASE WHEN any_airline THEN 'lowest_risk_airline=' || lowest_risk_airline END,
+  CASE WHEN any_dep THEN 'lower_risk_departure=' || lower_risk_departure END], lambda x: x IS NOT NULL), 1, 3), ';') AS factors
+FROM total JOIN bday USING (request_id) JOIN bair USING (request_id)""", ("requests", "scored"))
+def q_e3w(spark, sf):
+    """The schedule's factors of each request (E3)."""
+    text = F.transform("weekly_factors", lambda f: F.concat(f["feature"], F.lit("="), f["impact"]))
+    return _weekly(spark, sf)[0].select("request_id", F.array_join(text, ";").alias("factors"))
+
+
+@query("I13_weekly_route_suggestions", f"""WITH {WEEK_SQL},
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, f, sa, num, hhmm ORDER BY p, dk) AS r1 FROM k2) x WHERE r1 = 1)
+SELECT * FROM (SELECT request_id, strftime(f, '%Y-%m-%d') AS flight_date, sa AS AIRLINE, num AS FLIGHT_NUMBER, p AS delay_probability,
+  CAST(row_number() OVER (PARTITION BY request_id ORDER BY p, f, COALESCE(dk, 9999), sa, num) AS INTEGER) AS rank FROM u) x WHERE rank <= 3""",
+       ("requests", "scored"))
 def q_i13b(spark, sf):
     _, sugg = _weekly(spark, sf)
     return sugg.select("request_id", F.date_format("_flight_date", "yyyy-MM-dd").alias("flight_date"), "AIRLINE",
