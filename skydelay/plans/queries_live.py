@@ -230,9 +230,9 @@ SELECT icao24, arg_max(event_id, (last_contact_ts, event_id)) AS event_id, {LIVE
 FROM live_states GROUP BY icao24""", ("live_states",))
 def q_j1s(spark, sf):
     stream = _live_stream(spark, sf).select("event_id", "icao24", "last_contact_ts", "latitude", "longitude")
-    target = scratch(spark, "j1-state")
-    S.run_available_now(stream, None, scratch(spark, "j1-ckpt"), foreach_batch=S.upsert_latest(target))
-    return S.VersionedTable(spark, target).read().select("icao24", "event_id", _ts_text().alias("last_contact"))
+    log = S.ChangeLog(spark, scratch(spark, "j1-state"), ["icao24"])
+    S.run_changes(S.latest_positions_stream(stream), log, scratch(spark, "j1-ckpt"))
+    return log.read().select("icao24", "event_id", _ts_text().alias("last_contact"))
 
 
 @query("J2_expire_positions_stream", f"""
@@ -272,10 +272,10 @@ SELECT session_id, turn, role, content FROM (SELECT session_id, turn, role, cont
 def q_j5(spark, sf):
     history = V(spark, sf, "history").select("session_id", "turn", "role", "content")
     src = _feed(spark, history, "turn", scratch(spark, "chat-src"), 3)
-    target = scratch(spark, "j5-out")
-    S.run_available_now(S.stream_files(spark, src, history.schema, max_files=1), None, scratch(spark, "j5-ckpt"),
-                        foreach_batch=S.append_messages(target, 4))
-    return S.VersionedTable(spark, target).read().select("session_id", "turn", "role", "content")
+    log = S.ChangeLog(spark, scratch(spark, "j5-out"), ["session_id", "turn"])
+    stream = S.stream_files(spark, src, history.schema, max_files=1)
+    S.run_changes(S.last_messages_stream(stream, 4), log, scratch(spark, "j5-ckpt"))
+    return log.read().select("session_id", "turn", "role", "content")
 
 
 def _append_to(path):

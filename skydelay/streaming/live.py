@@ -8,12 +8,15 @@ Event time is ``last_contact_ts`` (TIMESTAMP); watermarks bound the state.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
 from skydelay.operators import live as L
+from skydelay.session import cut_lineage
 
 
 def with_event_time(df: DataFrame, ts: str = "last_contact_ts") -> DataFrame:
@@ -56,46 +59,128 @@ def latest_positions_batch(df: DataFrame, ts: str = "last_contact_ts", order: st
     return agg.select("icao24", *[F.col("r")[c].alias(c) for c in others])
 
 
-class VersionedTable:
-    """A small state table kept as whole parquet versions, one folder per micro-batch. The current version is the newest
-    folder that Spark has committed (it holds ``_SUCCESS``): a crash while writing leaves the one before it in force, a
-    repeated batch rewrites its own folder, and a failed read is an error, never an empty table."""
+class ChangeLog:
+    """What a stateful stream emits, one folder of changed rows per micro-batch: a batch costs its own rows, whatever the
+    table holds. A row is a key's newest version, or its removal (``removed``). A batch that is repeated after a crash
+    rewrites its own folder; a folder without Spark's commit mark is not read."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]) -> None:
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+
+    def write(self, batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch:09d}")
+
+    def epochs(self) -> list[str]:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = fs.globStatus(path(f"{self.path}/epoch=*/_SUCCESS"))
+        return sorted(s.getPath().getParent().toString() for s in found)
+
+    def changes(self) -> DataFrame | None:
+        folders = self.epochs()
+        return self.spark.read.option("basePath", self.path).parquet(*folders) if folders else None
+
+    def read(self) -> DataFrame | None:
+        """The table now: of each key the newest version, unless it was removed. A partial aggregate."""
+        rows = self.changes()
+        if rows is None:
+            return None
+        others = [c for c in rows.columns if c not in (*self.keys, "epoch")]
+        newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*others), F.col("epoch").cast("long")).alias("r"))
+        return newest.where(~F.col("r.removed")).select(*self.keys, *[F.col("r")[c].alias(c) for c in others if c != "removed"])
+
+    def compact(self) -> None:
+        """Folds all committed folders into the newest of them. Not while the stream runs."""
+        folders = self.epochs()
+        if len(folders) < 2:
+            return
+        folded = cut_lineage(self.read().withColumn("removed", F.lit(False)))
+        folded.write.mode("overwrite").parquet(folders[-1])
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for old in folders[:-1]:
+            path(old).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path(old), True)
+
+
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _packed(stream: DataFrame, columns: Sequence[str]):
+    """The columns as one JSON text, which keeps their nulls and types apart from pandas."""
+    return F.to_json(F.struct(*columns), _EXACT)
+
 
-    def __init__(self, spark, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _unpacked(out: DataFrame, schema: T.StructType, columns: Sequence[str], *others: str) -> DataFrame:
+    wanted = T.StructType([schema[c] for c in columns])
+    return out.select(*others, F.from_json("payload", wanted, _EXACT).alias("r")).select(*others, "r.*")
 
-    def _versions(self, before: int | None = None) -> list[int]:
-        if not self._fs.exists(self._path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        found = sorted(int(n.split("=")[1]) for n in names if n.startswith("epoch="))
-        return [v for v in found if (before is None or v < before) and self._fs.exists(self._path(f"{self._at(v)}/_SUCCESS"))]
 
-    def _at(self, version: int) -> str:
-        return f"{self.path}/epoch={version:09d}"
+@contextmanager
+def state_store(spark: SparkSession):
+    """Keyed state with timers needs the RocksDB store; a query takes the setting when it starts."""
+    key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
-    def read(self, before: int | None = None) -> DataFrame | None:
-        versions = self._versions(before)
-        return self.spark.read.parquet(self._at(versions[-1])) if versions else None
 
-    def write(self, df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(self._at(epoch))
-        for old in self._versions(epoch)[:-1]:  # the version before stays for readers that have opened it
-            self._fs.delete(self._path(self._at(old)), True)
+class _LatestPosition(StatefulProcessor):
+    """Value state: an aircraft's newest contact (time, arrival, row). Timer: when it has been silent for too long."""
+
+    def __init__(self, forget_ms: int | None) -> None:
+        self.forget_ms = forget_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "micros long, number long, payload string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+        found = [(int(m), int(n), p) for pdf in rows for m, n, p in zip(pdf["micros"], pdf["number"], pdf["payload"])]
+        best = max(found)
+        held = self.newest.get() if self.newest.exists() else None
+        if held is not None and tuple(held)[:2] >= best[:2]:
+            return
+        self.newest.update(best)
+        if self.forget_ms is not None:
+            if held is not None:
+                self.handle.deleteTimer(held[0] // 1000 + self.forget_ms)
+            self.handle.registerTimer(best[0] // 1000 + self.forget_ms)
+        yield pd.DataFrame({"icao24": [key[0]], "payload": [best[2]], "removed": [False]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+        held = self.newest.get()
+        self.newest.clear()
+        yield pd.DataFrame({"icao24": [key[0]], "payload": [held[2]], "removed": [True]})
+
+    def close(self) -> None:
+        pass
+
+
+def latest_positions_stream(stream: DataFrame, ts: str = "last_contact_ts", order: str = "event_id",
+                            forget_seconds: int | None = None, delay: str = "1 minute") -> DataFrame:
+    """J1: the changes of the newest state per aircraft (``removed`` false), by ``transformWithState``. Older arrivals never
+    replace a newer state. With ``forget_seconds`` an aircraft is removed when the watermark (``delay``) passes its last contact
+    by that much, which bounds the state to the aircraft now flying; ``delay`` must cover the source's lateness. Write with ``run_changes``."""
+    columns = [c for c in stream.columns if c != "icao24"]
+    s = with_event_time(stream, ts)
+    if forget_seconds is not None:
+        s = s.withWatermark(ts, delay)
+    rows = s.select("icao24", ts, F.coalesce(F.unix_micros(ts), F.lit(-(1 << 62))).alias("micros"),
+                    F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 62))).alias("number"), _packed(s, columns).alias("payload"))
+    out = rows.groupBy("icao24").transformWithStateInPandas(
+        _LatestPosition(None if forget_seconds is None else forget_seconds * 1000), "icao24 string, payload string, removed boolean",
+        "Update", "None" if forget_seconds is None else "EventTime")
+    return _unpacked(out, s.schema, columns, "icao24", "removed")
 
 
-def upsert_latest(target_dir: str, ts: str = "last_contact_ts", order: str = "event_id"):
-    """J1 as ``foreachBatch``: merge each micro-batch into the latest-state table at ``target_dir`` (a
-    ``VersionedTable``). Older arrivals never replace a newer state."""
-    def merge(batch: DataFrame, epoch: int) -> None:
-        table = VersionedTable(batch.sparkSession, target_dir)
-        current = table.read(before=epoch)
-        rows = batch if current is None else current.unionByName(batch.select(*current.columns))
-        table.write(latest_positions_batch(rows, ts, order), epoch)
-    return merge
+def run_changes(changes: DataFrame, log: ChangeLog, checkpoint: str) -> None:
+    """Runs a stream of changes over everything available and appends each micro-batch to the log."""
+    with state_store(changes.sparkSession):
+        run_available_now(changes, None, checkpoint, mode="update", foreach_batch=log.write)
 
 
 def expire_positions(df: DataFrame, as_of_ts: str, ts: str = "last_contact_ts", ttl_seconds: int = 300) -> DataFrame:
@@ -148,23 +233,46 @@ def expire_positions_stream(stream: DataFrame, ttl_seconds: int = 300, ts: str =
 
 
 # J5 -----------------------------------------------------------------------------------------------
-def append_messages(target_dir: str, n: int = 16, session: str = "session_id", turn: str = "turn"):
-    """J5 as ``foreachBatch``: the last n messages of every session, as a ``VersionedTable``. A message that comes again
-    replaces its turn; a session's rows never exceed n."""
-    from pyspark.sql import Window
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        table = VersionedTable(batch.sparkSession, target_dir)
-        current = table.read(before=epoch)
-        rows = batch.withColumn("__new", F.lit(1))
-        if current is not None:
-            rows = rows.unionByName(current.withColumn("__new", F.lit(0)).select(*rows.columns))
-        others = [c for c in batch.columns if c not in (session, turn)]
-        newest = rows.groupBy(session, turn).agg(F.max_by(F.struct(*others), F.struct("__new", *others)).alias("r"))
-        newest = newest.select(session, turn, *[F.col("r")[c].alias(c) for c in others])
-        last = F.row_number().over(Window.partitionBy(session).orderBy(F.col(turn).desc()))
-        table.write(newest.withColumn("__k", last).where(F.col("__k") <= n).drop("__k"), epoch)
-    return merge
+class _LastMessages(StatefulProcessor):
+    """List state: the last n messages of a session as (turn, row)."""
+
+    def __init__(self, n: int, session: str, turn: str) -> None:
+        self.n, self.session, self.turn = n, session, turn
+
+    def init(self, handle) -> None:
+        self.held = handle.getListState("messages", "turn long, payload string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+        before = {int(t): p for t, p in self.held.get()} if self.held.exists() else {}
+        arrived: dict[int, str] = {}
+        for pdf in rows:
+            for t, p in zip(pdf["turn"], pdf["payload"]):
+                arrived[int(t)] = max(p, arrived.get(int(t), ""))
+        both = before | arrived
+        last = sorted(both)[-self.n:]
+        self.held.put([(t, both[t]) for t in last])
+        changed = [(t, both[t], False) for t in last if before.get(t) != both[t]]
+        changed += [(t, before[t], True) for t in before if t not in last]
+        if changed:
+            turns, payloads, removed = zip(*changed)
+            yield pd.DataFrame({self.session: [key[0]] * len(changed), self.turn: turns, "payload": payloads, "removed": removed})
+
+    def close(self) -> None:
+        pass
+
+
+def last_messages_stream(stream: DataFrame, n: int = 16, session: str = "session_id", turn: str = "turn") -> DataFrame:
+    """J5: the changes of the last n messages of every session, by ``transformWithState``: new and replaced messages, and
+    those that fall out (``removed``). A message that comes again replaces its turn (of several in one micro-batch the
+    largest). State is n messages a session. Write with ``run_changes``."""
+    columns = [c for c in stream.columns if c not in (session, turn)]
+    rows = stream.select(session, F.col(turn).cast("long").alias("turn"), _packed(stream, columns).alias("payload"))
+    kind = stream.schema[session].dataType.simpleString()
+    out = rows.groupBy(session).transformWithStateInPandas(
+        _LastMessages(n, session, turn), f"{session} {kind}, {turn} long, payload string, removed boolean", "Update", "None")
+    return _unpacked(out, stream.schema, columns, session, turn, "removed") \
+        .withColumn(turn, F.col(turn).cast(stream.schema[turn].dataType))
 
 
 # J6 -----------------------------------------------------------------------------------------------
@@ -193,5 +301,5 @@ def stream_files(spark, path: str, schema, fmt: str = "parquet", max_files: int
 
 
 __all__: Sequence[str] = ("dedupe_states", "traffic_counts", "traffic_counts_batch", "latest_positions_batch",
-                          "VersionedTable", "upsert_latest", "expire_positions", "expire_positions_stream", "append_messages", "score_stream",
-                          "run_available_now", "stream_files")
+                          "ChangeLog", "latest_positions_stream", "run_changes", "expire_positions", "expire_positions_stream",
+                          "last_messages_stream", "score_stream", "run_available_now", "stream_files")

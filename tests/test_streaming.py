@@ -1,4 +1,7 @@
+import shutil
 import tempfile
+from datetime import datetime
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -25,29 +28,47 @@ def test_dedupe_stream_equals_batch(spark):
     assert got == want
 
 
-def test_latest_positions_stream_equals_batch(spark):
-    src = _live_dir(spark)
+def test_latest_positions_stream_equals_batch_over_a_restart(spark):
+    src = _live_dir(spark, 4)
     schema = spark.read.parquet(src).schema
-    target, ck = tempfile.mkdtemp() + "/t", tempfile.mkdtemp() + "/c"
-    stream = S.stream_files(spark, src, schema, max_files=1).select("event_id", "icao24", "last_contact_ts")
-    S.run_available_now(stream, None, ck, foreach_batch=S.upsert_latest(target))
-    got = {(r.icao24, r.event_id) for r in S.VersionedTable(spark, target).read().collect()}
-    batch = S.latest_positions_batch(spark.read.parquet(src).select("event_id", "icao24", "last_contact_ts"))
-    assert got == {(r.icao24, r.event_id) for r in batch.collect()}
-
-
-def test_a_failed_read_never_resets_the_state(spark):
-    target = tempfile.mkdtemp() + "/t"
-    table = S.VersionedTable(spark, target)
-    assert table.read() is None
-    merge = S.upsert_latest(target)
-    rows = lambda *r: spark.createDataFrame(r, "icao24 string, event_id long, last_contact_ts timestamp_ntz")
-    at = lambda m: __import__("datetime").datetime(2024, 1, 1, 0, m)
-    merge(rows(("a", 1, at(5)), ("b", 2, at(1))), 0)
-    merge(rows(("a", 3, at(2)), ("c", 4, at(3))), 1)   # an older contact of a
-    merge(rows(("a", 3, at(2)), ("c", 4, at(3))), 1)   # the batch again, as after a crash
-    spark.range(1).write.parquet(f"{target}/epoch=000000002/_temporary/0")  # a write that never committed
-    assert {(r.icao24, r.event_id) for r in table.read().collect()} == {("a", 1), ("b", 2), ("c", 4)}
+    files = sorted(Path(src).glob("*.parquet"))
+    now = Path(tempfile.mkdtemp())
+    log, ck = S.ChangeLog(spark, tempfile.mkdtemp() + "/t", ["icao24"]), tempfile.mkdtemp() + "/c"
+    assert log.read() is None
+    arrived = 0
+    for part in (files[:2], files[2:]):  # the second run starts from the first one's checkpoint
+        for f in part:
+            shutil.copy(f, now / f.name)
+        stream = S.stream_files(spark, str(now), schema, max_files=1).select("event_id", "icao24", "last_contact_ts", "latitude")
+        S.run_changes(S.latest_positions_stream(stream), log, ck)
+        whole = spark.read.schema(schema).parquet(str(now)).select("event_id", "icao24", "last_contact_ts", "latitude")
+        got = {(r.icao24, r.event_id, r.last_contact_ts, r.latitude) for r in log.read().collect()}
+        assert got == {(r.icao24, r.event_id, r.last_contact_ts, r.latitude) for r in S.latest_positions_batch(whole).collect()}
+    # a batch writes one row per aircraft that came in it, not the table
+    for epoch, count in log.changes().groupBy("epoch").count().collect():
+        arrived = max(arrived, count)
+    assert arrived <= max(spark.read.parquet(str(f)).select("icao24").distinct().count() for f in files)
+    before = {tuple(r) for r in log.read().collect()}
+    spark.range(1).write.parquet(f"{log.path}/epoch=000000009/_temporary/0")  # a write that never committed
+    log.compact()
+    assert {tuple(r) for r in log.read().collect()} == before and len(log.epochs()) == 1
+
+
+def test_old_contacts_never_replace_new_ones_and_silence_removes(spark):
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    src = Path(tempfile.mkdtemp())
+    schema = "icao24 string, event_id long, last_contact_ts timestamp, altitude double"
+    feeds = ([("a", 1, at(5), None), ("b", 2, at(1), 2.5)], [("a", 3, at(2), 1.0), ("c", 4, at(3), float("nan"))],
+             [("d", 5, at(40), 0.1)], [("d", 6, at(41), 0.1)])
+    log, ck = S.ChangeLog(spark, tempfile.mkdtemp() + "/t", ["icao24"]), tempfile.mkdtemp() + "/c"
+    for i, rows in enumerate(feeds):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+        S.run_changes(S.latest_positions_stream(S.stream_files(spark, str(src), schema), forget_seconds=600, delay="10 minutes"), log, ck)
+        got = {r.icao24: r for r in log.read().collect()}
+        if i == 1:
+            assert {k: r.event_id for k, r in got.items()} == {"a": 1, "b": 2, "c": 4}
+            assert got["a"].altitude is None and got["c"].altitude != got["c"].altitude
+    assert set(got) == {"d"}  # the others have been silent for more than ten minutes
 
 
 def test_traffic_counts_stream_equals_batch(spark):
@@ -79,11 +100,14 @@ def test_expire_positions_does_not_depend_on_batches(spark):
     assert got[0] == got[1] and got[0]
 
 
-def test_append_messages_keeps_the_last_of_each_session(spark):
-    target = tempfile.mkdtemp() + "/t"
-    merge = S.append_messages(target, 2)
-    rows = lambda *r: spark.createDataFrame(r, "session_id string, turn int, content string")
-    merge(rows(("s", 1, "a"), ("s", 2, "b"), ("t", 1, "x")), 0)
-    merge(rows(("s", 3, "c"), ("s", 2, "B")), 1)
-    got = sorted(tuple(r) for r in S.VersionedTable(spark, target).read().select("session_id", "turn", "content").collect())
-    assert got == [("s", 2, "B"), ("s", 3, "c"), ("t", 1, "x")]
+def test_last_messages_of_each_session(spark):
+    src = Path(tempfile.mkdtemp())
+    schema = "session_id string, turn int, content string"
+    log, ck = S.ChangeLog(spark, tempfile.mkdtemp() + "/t", ["session_id", "turn"]), tempfile.mkdtemp() + "/c"
+    for rows in ([("s", 1, "a"), ("s", 2, "b"), ("t", 1, "x")], [("s", 3, "c"), ("s", 2, "B")], [("t", 2, None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+        S.run_changes(S.last_messages_stream(S.stream_files(spark, str(src), schema), 2), log, ck)
+    assert sorted(tuple(r) for r in log.read().select("session_id", "turn", "content").collect()) == \
+        [("s", 2, "B"), ("s", 3, "c"), ("t", 1, "x"), ("t", 2, None)]
+    # the last batch touched one session: it wrote that session's change only
+    assert log.changes().where("epoch = 2").count() == 1
