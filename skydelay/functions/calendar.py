@@ -17,28 +17,24 @@ from pyspark.sql import functions as F
 #   Christmas Day 25 Dec observed. Observed: Saturday -> Friday before, Sunday -> Monday after.
 
 
-def _observed(d: Column) -> Column:
-    dow = F.dayofweek(d)  # Sunday=1, Saturday=7
-    return F.when(dow == 7, F.date_sub(d, 1)).when(dow == 1, F.date_add(d, 1)).otherwise(d)
-
-
 def is_holiday(date: Column | str) -> Column:
-    """1 on an observed federal holiday, else 0 (null date -> 0)."""
+    """1 on an observed federal holiday, else 0 (null date -> 0). Whole numbers only: a fixed holiday is observed on its own
+    date from Monday to Friday, on the Friday before its Saturday and on the Monday after its Sunday."""
     d = F.col(date) if isinstance(date, str) else date
-    y = F.year(d)
+    y, weekday = F.year(d), F.dayofweek(d)  # Sunday=1, Saturday=7
 
-    def on(month: int, day: int, year: Column = y) -> Column:
-        return d == _observed(F.make_date(year, F.lit(month), F.lit(day)))
+    def month_day(x: Column) -> Column:
+        return F.month(x) * 100 + F.dayofmonth(x)
 
-    def nth_monday(month: int, n: int) -> Column:
-        return (F.month(d) == month) & (F.dayofweek(d) == 2) & F.dayofmonth(d).between(7 * n - 6, 7 * n)
+    def fixed(md: Column) -> Column:
+        return md.isin(101, 704, 1111, 1225) | ((md == 619) & (y >= 2021))
 
-    fourth_thursday = (F.month(d) == 11) & (F.dayofweek(d) == 5) & F.dayofmonth(d).between(22, 28)
-    last_monday_of_may = (F.month(d) == 5) & (F.dayofweek(d) == 2) & (F.dayofmonth(d) >= 25)
-    any_of = on(1, 1) | on(1, 1, y + 1) | (nth_monday(1, 3) & (y >= 1986)) | nth_monday(2, 3) | last_monday_of_may \
-        | (on(6, 19) & (y >= 2021)) | on(7, 4) | nth_monday(9, 1) | nth_monday(10, 2) | on(11, 11) | fourth_thursday \
-        | on(12, 25)
-    return F.coalesce(any_of, F.lit(False)).cast("int")
+    md = month_day(d)
+    observed = F.when(weekday.between(2, 6) & fixed(md), True).when(weekday == 6, fixed(month_day(F.date_add(d, 1)))) \
+        .when(weekday == 2, fixed(month_day(F.date_sub(d, 1)))).otherwise(False)
+    nth = lambda month, first: md.between(month * 100 + first, month * 100 + first + 6)
+    monday = (weekday == 2) & ((nth(1, 15) & (y >= 1986)) | nth(2, 15) | nth(5, 25) | nth(9, 1) | nth(10, 8))
+    return F.coalesce(observed | monday | ((weekday == 5) & nth(11, 22)), F.lit(False)).cast("int")
 
 
 def with_is_holiday(df: DataFrame, date_col: str, out: str = "IS_HOLIDAY") -> DataFrame:

@@ -23,6 +23,11 @@ def text_to_double(c) -> Column:
     return F.when(t.rlike(NUMERIC_TEXT), t.try_cast("double"))
 
 
+def whole_number(c) -> Column:
+    """Numeric text -> its whole part as a long; anything else, and numbers beyond a long, -> null."""
+    return text_to_double(c).try_cast("long")
+
+
 def blank_to_null(c) -> Column:
     """Trimmed text, with '' -> null."""
     t = F.trim(col(c).cast("string"))
@@ -37,13 +42,13 @@ def code_text(c) -> Column:
 # H1 -----------------------------------------------------------------------------------------------
 def dep_hour(hhmm) -> Column:
     """Hour of an HHMM departure: null -> 0, then floor(HHMM / 100) clipped to 0..23."""
-    raw = F.floor(F.coalesce(col(hhmm).cast("double").cast("long"), F.lit(0)) / 100)
+    raw = F.floor(F.coalesce(col(hhmm).cast("double").try_cast("long"), F.lit(0)) / 100)
     return F.least(F.greatest(raw, F.lit(0)), F.lit(23)).cast("int")
 
 
 def raw_dep_hour(hhmm) -> Column:
     """Unclipped hour, used by the cleaning report to count hours > 23."""
-    return F.floor(F.coalesce(col(hhmm).cast("double").cast("long"), F.lit(0)) / 100)
+    return F.floor(F.coalesce(col(hhmm).cast("double").try_cast("long"), F.lit(0)) / 100)
 
 
 # H2 -----------------------------------------------------------------------------------------------
@@ -64,8 +69,9 @@ def season(month) -> Column:
 def ymd_date(year, month, day) -> Column:
     """Date from year/month/day parts; any null or invalid part (30 Feb) -> null. ANSI-safe."""
     y, m, d = (col(x).try_cast("int") for x in (year, month, day))
-    text = F.format_string("%04d-%02d-%02d", y, m, d)
-    return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull() & y.between(1, 9999), F.try_to_date(text))
+    leap = (y % 400 == 0) | ((y % 4 == 0) & (y % 100 != 0))
+    days = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    return F.when(y.between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= days), F.make_date(y, m, d))
 
 
 def text_date(c) -> Column:
@@ -102,7 +108,7 @@ def is_delayed(delay, minutes: float = 15) -> Column:
 # H8 -----------------------------------------------------------------------------------------------
 def clamp_hhmm(value, default: int = 1200) -> Column:
     """Parse a number (default when unparseable), clamp to 0..2359, hour 0..23, minutes 0..59."""
-    raw = F.coalesce(text_to_double(value).cast("long"), F.lit(default))
+    raw = F.coalesce(whole_number(value), F.lit(default))
     raw = F.least(F.greatest(raw, F.lit(0)), F.lit(2359))
     hour = F.least(F.greatest(F.floor(raw / 100), F.lit(0)), F.lit(23))
     minute = F.least(F.greatest(F.pmod(raw, F.lit(100)), F.lit(0)), F.lit(59))
@@ -113,7 +119,7 @@ def clamp_hhmm(value, default: int = 1200) -> Column:
 def format_hhmm(value) -> Column:
     """HHMM -> 'HH:MM' (clamped 0..2359, minutes <= 59); non-numeric text passes trimmed; blank -> null."""
     text = F.trim(col(value).cast("string"))
-    num = text_to_double(text).cast("long")
+    num = whole_number(text)
     raw = F.least(F.greatest(num, F.lit(0)), F.lit(2359))
     fmt = F.format_string("%02d:%02d", F.floor(raw / 100).cast("int"), F.least(F.pmod(raw, F.lit(100)), F.lit(59)).cast("int"))
     return F.when(num.isNotNull(), fmt).when(text != "", text)
@@ -123,9 +129,10 @@ def format_hhmm(value) -> Column:
 def departure_sort_key(value) -> Column:
     """Number -> that number; 'H:M' digits -> H*100+M; anything else (or null) -> 9999."""
     text = F.trim(col(value).cast("string"))
-    num = text_to_double(text).cast("long")
-    hh = F.regexp_extract(text, r"^([0-9]+):([0-9]+)$", 1)
-    mm = F.regexp_extract(text, r"^([0-9]+):([0-9]+)$", 2)
+    num = whole_number(text)
+    # digits enough for any clock and few enough for a long
+    hh = F.regexp_extract(text, r"^([0-9]{1,15}):([0-9]{1,15})$", 1)
+    mm = F.regexp_extract(text, r"^([0-9]{1,15}):([0-9]{1,15})$", 2)
     clock = F.when(hh != "", hh.cast("long") * 100 + mm.cast("long"))
     return F.coalesce(num, clock, F.lit(9999)).cast("long")
 
@@ -134,7 +141,7 @@ def departure_sort_key(value) -> Column:
 def flight_number_text(value) -> Column:
     """Integer text of a flight number; non-numeric text trimmed; blank -> null."""
     text = F.trim(col(value).cast("string"))
-    num = text_to_double(text).cast("long")
+    num = whole_number(text)
     return F.when(num.isNotNull(), num.cast("string")).when(text != "", text)
 
 

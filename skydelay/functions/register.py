@@ -6,47 +6,41 @@ Python is involved.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-
-# text that is a number, as a whole number, and clamped to a time of day
-_NUMBER = "try_cast(trim(v) AS DOUBLE) IS NOT NULL"
-_WHOLE = "CAST(try_cast(trim(v) AS DOUBLE) AS BIGINT)"
-_CLAMPED = f"LEAST(GREATEST({_WHOLE}, 0), 2359)"
-
-# name -> (parameters, SQL body)
-SQL_FUNCTIONS = {
-    "dep_hour": ("hhmm INT", "CAST(LEAST(GREATEST(FLOOR(COALESCE(hhmm, 0) / 100), 0), 23) AS INT)"),
-    "time_of_day": ("hour INT", "CASE WHEN hour BETWEEN 5 AND 11 THEN 'morning' WHEN hour BETWEEN 12 AND 16 "
-                                "THEN 'afternoon' WHEN hour BETWEEN 17 AND 21 THEN 'evening' ELSE 'night' END"),
-    "season": ("m INT", "CASE WHEN m IN (12, 1, 2) THEN 'winter' WHEN m IN (3, 4, 5) THEN 'spring' "
-                        "WHEN m IN (6, 7, 8) THEN 'summer' ELSE 'fall' END"),
-    "route_key": ("o STRING, d STRING", "concat(o, '-', d)"),
-    "airline_dow": ("a STRING, w INT", "concat(a, '_', CAST(w AS STRING))"),
-    "is_delayed": ("delay DOUBLE", "CAST(CASE WHEN delay > 15 THEN 1 ELSE 0 END AS INT)"),
-    "clamp_hhmm": ("v DOUBLE", "CAST(LEAST(GREATEST(FLOOR(LEAST(GREATEST(COALESCE(CAST(v AS BIGINT), 1200), 0), 2359) "
-                               "/ 100), 0), 23) * 100 + LEAST(GREATEST(pmod(LEAST(GREATEST(COALESCE(CAST(v AS BIGINT), "
-                               "1200), 0), 2359), 100), 0), 59) AS INT)"),
-    "format_hhmm": ("v STRING", f"CASE WHEN {_NUMBER} THEN format_string('%02d:%02d', "
-                                f"CAST(FLOOR({_CLAMPED} / 100) AS INT), CAST(LEAST(pmod({_CLAMPED}, 100), 59) AS INT)) "
-                                "WHEN trim(v) <> '' THEN trim(v) END"),
-    "departure_sort_key": ("v STRING", f"CASE WHEN {_NUMBER} THEN {_WHOLE} WHEN trim(v) RLIKE '^[0-9]{{1,9}}:[0-9]{{1,9}}$' "
-                                       "THEN CAST(split_part(trim(v), ':', 1) AS BIGINT) * 100 "
-                                       "+ CAST(split_part(trim(v), ':', 2) AS BIGINT) ELSE 9999 END"),
-    "risk_level": ("p DOUBLE", "CASE WHEN p >= 0.7 THEN 'HIGH' WHEN p >= 0.4 THEN 'MEDIUM' "
-                               "WHEN p IS NOT NULL THEN 'LOW' END"),
-    "delay_prediction": ("p DOUBLE, t DOUBLE", "CASE WHEN p IS NOT NULL THEN CAST(p >= LEAST(GREATEST(t, 0.0), 1.0) "
-                                               "AS INT) END"),
-    "speed_kmh": ("ms DECIMAL(20,6)", "CAST(ROUND(ms * 3.6, 1) AS DOUBLE)"),
-    "altitude_ft": ("m DECIMAL(20,6)", "CAST(ROUND(m * 3.28084, 0) AS DOUBLE)"),
+from collections.abc import Callable
+
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+from skydelay.functions import exprs as X
+
+# name -> (parameters, the expression that the column form uses too)
+FUNCTIONS: dict[str, tuple[str, Callable[..., Column]]] = {
+    "dep_hour": ("hhmm INT", X.dep_hour),
+    "time_of_day": ("hour INT", X.time_of_day),
+    "season": ("m INT", X.season),
+    "route_key": ("o STRING, d STRING", X.route_key),
+    "airline_dow": ("a STRING, w INT", X.airline_dow),
+    "is_delayed": ("delay DOUBLE", X.is_delayed),
+    "clamp_hhmm": ("v DOUBLE", X.clamp_hhmm),
+    "format_hhmm": ("v STRING", X.format_hhmm),
+    "departure_sort_key": ("v STRING", X.departure_sort_key),
+    "risk_level": ("p DOUBLE", X.risk_level),
+    "delay_prediction": ("p DOUBLE, t DOUBLE", lambda p, t: F.when(p.isNotNull(), (p >= F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))).cast("int"))),
+    "speed_kmh": ("ms DECIMAL(20,6)", lambda ms: F.expr("CAST(ROUND(ms * 3.6, 1) AS DOUBLE)")),
+    "altitude_ft": ("m DECIMAL(20,6)", lambda m: F.expr("CAST(ROUND(m * 3.28084, 0) AS DOUBLE)")),
 }
 
 
+def sql_body(spark: SparkSession, params: str, build: Callable[..., Column]) -> str:
+    """The SQL text of an expression over parameters: what Spark prints for the resolved expression."""
+    names = [p.split() for p in params.replace("(20,6)", "(20;6)").split(", ")]
+    frame = spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {kind.replace(';', ',')}) AS {name}" for name, kind in names))
+    resolved = frame.select(build(*[F.col(name) for name, _ in names]).alias("r"))._jdf.queryExecution().analyzed()
+    return resolved.expressions().apply(0).child().sql()
+
+
 def register_functions(spark: SparkSession, prefix: str = "") -> list[str]:
     """Create (or replace) every function as a temporary SQL function; returns the names."""
-    names = []
-    for name, (params, body) in SQL_FUNCTIONS.items():
-        full = f"{prefix}{name}"
-        ret = ""
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {full}({params}) RETURN {body}{ret}")
-        names.append(full)
-    return names
+    for name, (params, build) in FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({params}) RETURN {sql_body(spark, params, build)}")
+    return [f"{prefix}{name}" for name in FUNCTIONS]

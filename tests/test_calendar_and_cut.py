@@ -60,3 +60,53 @@ def test_exact_median_matches_brute_force(spark):
         df = spark.createDataFrame([(v,) for v in vals], "v double").repartition(3)
         got = spark.range(1).select(exact_median(df, "v", accuracy=100)).first()[0]
         assert got == statistics.median([v for v in vals if v is not None])
+
+
+ODD_NUMBERS = ["1e300", "-1e300", "NaN", "Infinity", "1" * 24, "1" * 24 + ":30", "1234567890:30", "12:5", " 730 ", "abc", "", " ", "9.9e18",
+               "-5", "2399", "1015.0", None]
+
+
+def test_numbers_beyond_a_long_never_raise_and_both_forms_agree(spark):
+    from skydelay.functions import exprs as X
+    from skydelay.functions.register import register_functions
+    register_functions(spark, "t_")
+    df = spark.createDataFrame([(v,) for v in ODD_NUMBERS], "v string").withColumn("x", F.col("v").try_cast("double"))
+    rows = df.select("v", X.format_hhmm("v").alias("f"), F.expr("t_format_hhmm(v)").alias("f2"), X.departure_sort_key("v").alias("k"),
+                     F.expr("t_departure_sort_key(v)").alias("k2"), X.clamp_hhmm("x").alias("c"), F.expr("t_clamp_hhmm(x)").alias("c2"),
+                     X.clamp_hhmm("v").alias("c3"), X.flight_number_text("v").alias("n"), X.dep_hour("x").alias("h"),
+                     F.expr("t_is_delayed(x)").alias("d")).collect()
+    got = {r["v"]: r for r in rows}
+    assert all(r["f"] == r["f2"] and r["k"] == r["k2"] and r["c"] == r["c2"] for r in rows)
+    assert [got[v]["k"] for v in ("1e300", "NaN", "Infinity", "1" * 24 + ":30", "1234567890:30", "12:5", None)] == \
+        [9999, 9999, 9999, 9999, 123456789030, 1205, 9999]
+    assert (got["1e300"]["f"], got["1e300"]["c3"], got["1e300"]["n"], got[" 730 "]["f"]) == ("1e300", 1200, "1e300", "07:30")
+
+
+def test_dates_from_parts_and_holidays_of_every_day(spark):
+    import datetime as dt
+    from skydelay.functions import exprs as X
+    from skydelay.functions.calendar import is_holiday
+    parts = spark.createDataFrame([(y, m, d) for y in (0, 1, 1900, 2000, 2023, 2024, 9999, 10000) for m in range(0, 14) for d in range(0, 33)],
+                                  "y int, m int, d int")
+    for r in parts.select("*", X.ymd_date("y", "m", "d").alias("got")).collect():
+        try:
+            want = dt.date(r["y"], r["m"], r["d"])
+        except ValueError:
+            want = None
+        assert r["got"] == want
+
+    def observed(day):
+        return day - dt.timedelta(1) if day.weekday() == 5 else day + dt.timedelta(1) if day.weekday() == 6 else day
+
+    def nth(y, m, weekday, n):
+        first = dt.date(y, m, 1)
+        return first + dt.timedelta((weekday - first.weekday()) % 7 + 7 * (n - 1))
+    want = set()
+    for y in range(1979, 2032):
+        want |= {observed(dt.date(y, m, d)) for m, d in ((1, 1), (7, 4), (11, 11), (12, 25))} | ({observed(dt.date(y, 6, 19))} if y >= 2021 else set())
+        want |= {nth(y, 2, 0, 3), nth(y, 9, 0, 1), nth(y, 10, 0, 2), nth(y, 11, 3, 4)} | ({nth(y, 1, 0, 3)} if y >= 1986 else set())
+        may = nth(y, 5, 0, 4)
+        want.add(may + dt.timedelta(7) if (may + dt.timedelta(7)).month == 5 else may)
+    days = spark.sql("SELECT explode(sequence(DATE '1980-01-01', DATE '2030-12-31')) AS d")
+    got = {r["d"] for r in days.where(is_holiday("d") == 1).collect()}
+    assert got == {d for d in want if 1980 <= d.year <= 2030}
