@@ -23,15 +23,10 @@ def is_holiday(date: Column | str) -> Column:
     d = F.col(date) if isinstance(date, str) else date
     y, weekday = F.year(d), F.dayofweek(d)  # Sunday=1, Saturday=7
 
-    def month_day(x: Column) -> Column:
-        return F.month(x) * 100 + F.dayofmonth(x)
-
-    def fixed(md: Column) -> Column:
-        return md.isin(101, 704, 1111, 1225) | ((md == 619) & (y >= 2021))
-
-    md = month_day(d)
-    observed = F.when(weekday.between(2, 6) & fixed(md), True).when(weekday == 6, fixed(month_day(F.date_add(d, 1)))) \
-        .when(weekday == 2, fixed(month_day(F.date_sub(d, 1)))).otherwise(False)
+    md = F.month(d) * 100 + F.dayofmonth(d)
+    observed = ((weekday.between(2, 6) & (md.isin(101, 704, 1111, 1225) | ((md == 619) & (y >= 2021))))
+                | ((weekday == 6) & (md.isin(1231, 703, 1110, 1224) | ((md == 618) & (y >= 2021))))  # the day before
+                | ((weekday == 2) & (md.isin(102, 705, 1112, 1226) | ((md == 620) & (y >= 2021)))))  # the day after
     nth = lambda month, first: md.between(month * 100 + first, month * 100 + first + 6)
     monday = (weekday == 2) & ((nth(1, 15) & (y >= 1986)) | nth(2, 15) | nth(5, 25) | nth(9, 1) | nth(10, 8))
     return F.coalesce(observed | monday | ((weekday == 5) & nth(11, 22)), F.lit(False)).cast("int")
