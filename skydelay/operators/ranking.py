@@ -93,17 +93,27 @@ def last_messages(df: DataFrame, n: int, drop_roles: Sequence[str] = (), session
 # E6 -----------------------------------------------------------------------------------------------
 def carry_route_forward(df: DataFrame, session: str = "session_id", turn: str = "turn") -> DataFrame:
     """Per message: the latest non-empty origin (airport + country travel together) and, independently, destination,
-    up to and including this message (its own value wins)."""
-    w = Window.partitionBy(session).orderBy(turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df
+    up to and including this message (its own value wins).
+
+    A segmented scan: rows sorted by range of (session, turn) lie in pieces, a long session in many tasks; each piece is
+    scanned by itself, and the last value of the pieces before it (one row per piece and session) fills what it leaves open."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = cut_lineage(df.repartitionByRange(width, session, turn).sortWithinPartitions(session, turn)
+                        .withColumn("__at", F.monotonically_increasing_id())).withColumn("__piece", F.shiftright("__at", 33))
+    values = {}
     for side in ("origin", "destination"):
         a, c = F.col(f"{side}_airport"), F.col(f"{side}_country")
         has = X.blank_to_null(a).isNotNull() | X.blank_to_null(c).isNotNull()
-        s = F.when(has, F.struct(a.alias("airport"), c.alias("country")))
-        out = out.withColumn(f"__{side}", F.last(s, ignorenulls=True).over(w))
-        out = out.withColumn(f"carried_{side}_airport", F.col(f"__{side}.airport")) \
-                 .withColumn(f"carried_{side}_country", F.col(f"__{side}.country")).drop(f"__{side}")
-    return out
+        values[side] = F.when(has, F.struct(a.alias("airport"), c.alias("country")))
+    ends = table.groupBy(F.col(session).alias("__s"), F.col("__piece").alias("__p")).agg(
+        *[F.max_by(v, F.when(v.isNotNull(), F.col("__at"))).alias(f"__end_{side}") for side, v in values.items()])
+    before = Window.partitionBy("__s").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a task
+    carries = ends.select("__s", "__p", *[F.last(f"__end_{side}", ignorenulls=True).over(before).alias(f"__carry_{side}") for side in values])
+    here = Window.partitionBy(session, "__piece").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = table.withColumns({f"__{side}": F.last(v, ignorenulls=True).over(here) for side, v in values.items()}) \
+        .join(carries, F.col(session).eqNullSafe(F.col("__s")) & (F.col("__piece") == F.col("__p")))
+    carried = {f"carried_{side}_{part}": F.coalesce(f"__{side}", f"__carry_{side}")[part] for side in values for part in ("airport", "country")}
+    return out.withColumns(carried).select(*df.columns, *carried)
 
 
 # E7 -----------------------------------------------------------------------------------------------
@@ -268,15 +278,12 @@ def union_attempts(parts: Sequence[DataFrame], dedupe: Sequence[Column], order:
 def search_callsigns(catalog: DataFrame, queries: DataFrame, n: int = 8, key: str = "callsign",
                      query_id: str = "query_id", query: str = "query") -> DataFrame:
     """Per query: callsigns starting with the query first, then those containing it (each group by callsign), n rows;
-    a blank query lists the first n callsigns. Containment is an equi join on a blocking gram (the query's first 1-3
-    characters against every 1-3 character gram of each callsign) plus the exact residual; blank queries join the
-    global first n on an empty key. No nested-loop join."""
-    from skydelay.operators.geo_text import _grams, _prefix_gram
+    a blank query lists the first n callsigns. Containment is an equality join on the rarest gram of each distinct query
+    (``containment``); blank queries join the first n callsigns on an empty key. No nested-loop join."""
+    from skydelay.operators.containment import contained
     q = queries.select(query_id, F.upper(F.trim(F.col(query))).alias("__q"))
     c = catalog.select(F.col(key).alias("__c")).where(F.col("__c").isNotNull() & (F.col("__c") != "")).distinct()
-    grams = c.select("__c", F.explode(_grams(F.col("__c"))).alias("__g"))
-    hits = q.where(F.col("__q") != "").withColumn("__g", _prefix_gram(F.col("__q"))).join(grams, "__g") \
-        .where(F.col("__c").contains(F.col("__q"))).select(query_id, "__q", "__c")
+    hits = q.join(contained(q, c, "__q", "__c"), "__q").select(query_id, "__q", "__c")
     first = c.orderBy("__c").limit(n).withColumn("__q", F.lit(""))  # bounded: n rows
     blanks = q.where(F.col("__q") == "").join(first, "__q").select(query_id, "__q", "__c")
     j = hits.unionByName(blanks)

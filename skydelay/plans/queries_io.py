@@ -3,6 +3,8 @@ under the shared checkpoint location and reading the result back."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skydelay.operators import rows as B
@@ -209,3 +211,23 @@ def q_b10(spark, sf):
                                 "arrival_delay": ["ARR_DELAY", "ARRIVAL_DELAY"], "carrier": ["AIRLINE"],
                                 "optional_missing": ["NOPE"]}, required=["arrival_delay", "carrier"])
     return out
+
+
+@query("I8_publish", """
+SELECT YEAR AS year, MONTH AS month, count(*) AS n, CAST(sum(CAST(delay_probability AS DECIMAL(30,6))) AS DOUBLE) AS total FROM scored
+GROUP BY 1, 2""", ("scored",))
+def q_i8p(spark, sf):
+    """Two publications, the second one broken off after its swap and repeated; the table is read back."""
+    from skydelay.operators.rows import prediction_partition_frame
+    rows = prediction_partition_frame(V(spark, sf, "scored").select(*KEYS, "YEAR", "MONTH", "delay_probability"))
+    path, table = scratch(spark, "published"), f"{_catalog(spark, sf)}.published_{uuid.uuid4().hex[:12]}"
+
+    def stop(step):
+        if step == "swap":
+            raise InterruptedError(step)
+    IO.publish(rows.withColumn("delay_probability", F.lit(9.0)).where("month <= 6"), path, table, "first")
+    try:
+        IO.publish(rows, path, table, "second", after=stop)
+    except InterruptedError:
+        IO.publish(rows, path, table, "second")
+    return spark.table(table).groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("delay_probability").cast("decimal(30,6)")).cast("double").alias("total"))

@@ -6,13 +6,16 @@ the same code runs against object stores. Writes are Spark writes: parallel, one
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skydelay.functions import exprs as X
+from skydelay.session import cut_lineage
 
 
 def _fs_exists(spark: SparkSession, path: str) -> bool:
@@ -226,7 +229,7 @@ def write_partitioned(df: DataFrame, path: str, cols: Sequence[str] = ("YEAR", "
     lower = {c: c.lower() for c in cols}
     missing = [c for c in cols if c not in df.columns and c.lower() not in df.columns]
     if missing:
-        raise ValueError(f"Missing partition columns: {', '.join(missing)}")
+        raise ValueError(f"the rows have no column {' and no '.join(missing)} to partition by")
     out = df.select(*[F.col(c).alias(lower[c]) if c in lower else F.col(c) for c in df.columns])
     parts = [lower[c] for c in cols]
     w = out.hint("rebalance", *parts).write.option("compression", "snappy").partitionBy(*parts)
@@ -273,20 +276,76 @@ def create_tables(spark: SparkSession, database: str, defs: Sequence[dict], drop
     return spark.createDataFrame([(s,) for s in stmts], "statement string")
 
 
+STATEMENT, REGISTRARS = 500, 8  # partitions of a statement, statements at a time
+
+
 # A13 ----------------------------------------------------------------------------------------------
 def sync_partitions(spark: SparkSession, table: str, df: DataFrame | None = None,
                     cols: Sequence[str] = ("year", "month")) -> DataFrame:
-    """Register partitions: all found under the table location, or only the (year, month) pairs present in ``df``.
-    The pairs are a distinct aggregate (bounded by the number of partitions)."""
+    """Registers what is missing: all partitions found under the table location, or the (year, month) pairs present in
+    ``df`` that the catalog does not list (an anti-join with its own list). Statements name ``STATEMENT`` partitions each and
+    are sent by several threads; new partitions are streamed to them, never held at once. Returns the partitions added
+    (``df`` given) or all that are registered."""
     if df is None:
         spark.sql(f"MSCK REPAIR TABLE {table}")
         return spark.sql(f"SHOW PARTITIONS {table}")
-    pairs = df.where(F.col(cols[0]).isNotNull() & F.col(cols[1]).isNotNull()).select(*cols).distinct()
-    specs = [", ".join(f"{c}={int(r[c])}" for c in cols) for r in pairs.collect()]  # one row per partition
-    for k in range(0, len(specs), 500):
-        parts = " ".join(f"PARTITION ({s})" for s in specs[k:k + 500])
+    known = spark.sql(f"SHOW PARTITIONS {table}")
+    name = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.col(c).cast("int").cast("string")) for c in cols])
+    pairs = df.where(F.col(cols[0]).isNotNull() & F.col(cols[1]).isNotNull()).select(name.alias("partition")).distinct()
+    new = cut_lineage(pairs.join(known, "partition", "left_anti"))
+
+    def register(batch: list[str]) -> None:
+        parts = " ".join(f"PARTITION ({p.replace('/', ', ')})" for p in batch)
         spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {parts}")
-    return spark.createDataFrame([(s,) for s in specs], "partition string")
+    names = (r["partition"] for r in new.toLocalIterator())
+    with ThreadPoolExecutor(REGISTRARS) as pool:
+        waiting = []
+        while batch := list(islice(names, STATEMENT)):
+            waiting.append(pool.submit(register, batch))
+            if len(waiting) > 2 * REGISTRARS:
+                waiting.pop(0).result()
+        for done in waiting:
+            done.result()
+    return new
+
+
+def publish(df: DataFrame, path: str, table: str | None, run: str, cols: Sequence[str] = ("year", "month"),
+            after: Callable[[str], None] = lambda step: None) -> DataFrame:
+    """Puts the partitions of ``df`` in the place of the table's, in steps that can be repeated after a crash anywhere:
+
+    stage     write ``df`` beside the table, in a folder named by ``run``; a staging that was committed is taken as it is
+    check     the staged rows are counted per partition; without rows nothing is published
+    swap      dynamic overwrite of the staged partitions only: Spark commits them when all are written
+    register  the catalog gets the partitions that it lacks (A13)
+    clear     the staging goes, last
+
+    ``run`` names the content: another content needs another name. ``after`` is called with each step's name when it is
+    done. Returns (partition columns, n) of what was published."""
+    spark = df.sparkSession
+    staging = f"{path.rstrip('/')}__staging/{run}"
+    if not _fs_exists(spark, f"{staging}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(staging)
+    after("stage")
+    staged = spark.read.parquet(staging)
+    counts = cut_lineage(staged.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")))
+    if counts.isEmpty():
+        raise ValueError(f"run {run} has no rows")
+    if not counts.where(" OR ".join(f"{c} IS NULL" for c in cols)).isEmpty():
+        raise ValueError(f"run {run} has rows without {' or '.join(cols)}")
+    after("check")
+    write_partitioned(staged, path, cols)
+    after("swap")
+    if table:
+        if not spark.catalog.tableExists(table):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in staged.schema)
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY ({', '.join(cols)}) LOCATION '{path}'")
+        sync_partitions(spark, table, counts, cols)
+        spark.sql(f"REFRESH TABLE {table}")
+    after("register")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    after("clear")
+    return counts
 
 
 # A15 ----------------------------------------------------------------------------------------------
