@@ -51,16 +51,19 @@ def top_factors(df: DataFrame, global_rate, k: int = 3, rates: Sequence[str] = t
 
 
 # E3 -----------------------------------------------------------------------------------------------
+def merged_factors(first: Column, more: Column, k: int = 3) -> Column:
+    """The first factors, then those of ``more`` whose feature is not among them, cut to k."""
+    fresh = F.filter(more, lambda f: ~F.array_contains(F.transform(first, lambda x: x["feature"]), f["feature"]))
+    return F.slice(F.concat(first, fresh), 1, k)
+
+
 def advisor_factors(df: DataFrame, context_col: str = "context_factors", model_col: str = "top_factors",
                     extra_col: str | None = None, k: int = 3, out: str = "advisor_factors") -> DataFrame:
     """Context factors first, then model factors whose feature is not already present, cut to k; optional extra
     (weekly) factors appended the same way and cut to k again."""
-    def merge(a: Column, b: Column) -> Column:
-        fresh = F.filter(b, lambda f: ~F.array_contains(F.transform(a, lambda x: x["feature"]), f["feature"]))
-        return F.slice(F.concat(a, fresh), 1, k)
-    res = merge(F.col(context_col), F.col(model_col))
+    res = merged_factors(F.col(context_col), F.col(model_col), k)
     if extra_col:
-        res = merge(res, F.col(extra_col))
+        res = merged_factors(res, F.col(extra_col), k)
     return df.withColumn(out, res)
 
 

@@ -11,6 +11,7 @@ from skydelay.plans import requests as Q
 from skydelay.plans.fixtures import AS_OF_FUTURE
 from skydelay.plans.queries import KEYS_SQL, V, enriched, pre, query
 from skydelay.plans.queries_schedule import _mean6, airports_idx, fmt_hhmm_sql
+from skydelay.session import cut_lineage
 
 
 def surrogate_scorer(df):
@@ -187,10 +188,67 @@ def q_i13b(spark, sf):
                        "FLIGHT_NUMBER", "delay_probability", "rank")
 
 
+@query("F5_suggest_for_requests", f"""
+WITH r AS (SELECT request_id, upper(trim(origin_airport)) AS o, upper(trim(destination_airport)) AS d, upper(NULLIF(trim(airline), '')) AS a,
+    CAST(scheduled_departure AS DOUBLE) AS dep, year AS y, month AS m, day AS dd, day_of_week AS w, TRY_CAST(flight_date AS DATE) AS f0, flight_date IS NOT NULL AS dated
+  FROM requests WHERE NULLIF(trim(origin_airport), '') IS NOT NULL AND NULLIF(trim(destination_airport), '') IS NOT NULL),
+s AS (SELECT make_date(YEAR, MONTH, DAY) AS fd, YEAR AS sy, MONTH AS sm, DAY AS sd, DAY_OF_WEEK AS sw, upper(trim(AIRLINE)) AS sa, SCHEDULED_DEPARTURE AS sdep,
+    COALESCE(CAST(SCHEDULED_DEPARTURE AS BIGINT), 9999) AS dk, {fmt_hhmm_sql('SCHEDULED_DEPARTURE')} AS hhmm, CAST(FLIGHT_NUMBER AS VARCHAR) AS num,
+    upper(trim(ORIGIN_AIRPORT)) AS so, upper(trim(DESTINATION_AIRPORT)) AS sdst, delay_probability AS p FROM scored),
+j AS (SELECT r.*, s.*, COALESCE(sa = a, false) AS same, CASE WHEN (y IS NULL OR sy = y) AND (m IS NULL OR sm = m) AND (dd IS NULL OR sd = dd)
+    AND (w IS NULL OR sw = w) AND (NOT dated OR fd = f0) THEN 0 ELSE 1 END AS attempt FROM r JOIN s ON so = o AND sdst = d
+  WHERE NOT COALESCE(sa = a AND sdep = dep, false)),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, fd, sa, num, hhmm ORDER BY attempt, p, dk) AS r1 FROM j) x WHERE r1 = 1)
+SELECT * FROM (SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY attempt, p, fd, same DESC, dk, sa, num) AS INTEGER) AS rank, attempt,
+  strftime(fd, '%Y-%m-%d') AS flight_date, sa AS airline, num AS flight_number, hhmm AS scheduled_departure, p AS delay_probability FROM u) x
+WHERE rank <= 3""", ("requests", "scored"))
+def q_f5r(spark, sf):
+    """Suggestions for every request of the table (F5)."""
+    out = Q.suggest_for_requests(V(spark, sf, "requests"), V(spark, sf, "scored"))
+    return out.select("request_id", "rank", "attempt", F.date_format("_flight_date", "yyyy-MM-dd").alias("flight_date"),
+                      F.col("AIRLINE").alias("airline"), F.col("FLIGHT_NUMBER").alias("flight_number"),
+                      F.col("SCHEDULED_DEPARTURE").alias("scheduled_departure"), "delay_probability")
+
+
+SESSION_SQL = "request_id % 97 AS session_id, CAST(request_id % 9 AS BIGINT) AS turn"
+
+
+def _in_sessions(spark, sf):
+    """The requests as asked in sessions of the history."""
+    return V(spark, sf, "requests").selectExpr("*", *SESSION_SQL.split(", "))
+
+
+@query("I14_enrich_requests", f"""
+WITH h AS (SELECT session_id, turn, NULLIF(trim(origin_airport), '') IS NOT NULL OR NULLIF(trim(origin_country), '') IS NOT NULL AS has_o,
+    NULLIF(trim(destination_airport), '') IS NOT NULL OR NULLIF(trim(destination_country), '') IS NOT NULL AS has_d,
+    origin_airport AS o, destination_airport AS d FROM history),
+r AS (SELECT request_id, NULLIF(trim(origin_airport), '') AS o, NULLIF(trim(destination_airport), '') AS d, {SESSION_SQL} FROM requests),
+c AS (SELECT r.request_id, max(h.turn) FILTER (WHERE has_o) AS ot, arg_max(h.o, h.turn) FILTER (WHERE has_o) AS ho,
+    max(h.turn) FILTER (WHERE has_d) AS dt, arg_max(struct_pack(v := h.d), h.turn) FILTER (WHERE has_d) AS hd FROM r JOIN h ON h.session_id = r.session_id AND h.turn <= r.turn GROUP BY 1)
+SELECT request_id, COALESCE(r.o, ho) AS origin_airport, COALESCE(r.d, hd.v) AS destination_airport,
+  CASE WHEN r.o IS NOT NULL THEN 'request' WHEN ot IS NOT NULL THEN 'history' END AS origin_source,
+  CASE WHEN r.d IS NOT NULL THEN 'request' WHEN dt IS NOT NULL THEN 'history' END AS destination_source
+FROM r LEFT JOIN c USING (request_id)""", ("requests", "history"))
+def q_i14e(spark, sf):
+    """Requests whose empty sides their sessions fill (questions are resolved in I14_answer_requests)."""
+    out = Q.enrich_requests(_in_sessions(spark, sf), V(spark, sf, "history"))
+    return out.select("request_id", "origin_airport", "destination_airport", "origin_source", "destination_source")
+
+
 @query("I14_answer_requests")
 def q_i14(spark, sf):
-    summary, _ = _weekly(spark, sf)
-    req = V(spark, sf, "requests").join(V(spark, sf, "questions"), "request_id", "left")
-    out = Q.answer_requests(req, _snapshot(spark, sf), summary)
-    return out.select("request_id", "mode", "response.source", "response.delay_probability", "response.risk_level",
+    """Whole answers: requests enriched from their question (H24), else from their session, then scored and answered."""
+    from skydelay.operators.geo_text import extract_route_text
+    questions = V(spark, sf, "questions")
+    said = extract_route_text(questions, "request_id", "question", airports_idx(spark, sf))
+    asked = _in_sessions(spark, sf).join(questions, "request_id", "left")
+    req = cut_lineage(Q.enrich_requests(asked, V(spark, sf, "history"), said))
+    p = pre(spark, sf)
+    g = p.global_rate.first()["global_rate"]
+    schedule = V(spark, sf, "scored")
+    snapshot = Q.delay_snapshot(req, p.rates, g, D.route_distance(enriched(spark, sf)), surrogate_scorer, AS_OF_FUTURE)
+    summary, week = Q.weekly_route_estimate(req, schedule, AS_OF_FUTURE)
+    out = Q.answer_requests(req, snapshot, summary, suggestions=Q.suggest_for_requests(req, schedule), weekly_suggestions=week)
+    return out.select("request_id", "mode", "response.source", "response.delay_probability", "response.delay_prediction", "response.risk_level",
+                      F.to_json("response.factors").alias("factors"), F.to_json("response.suggestions").alias("suggestions"),
                       F.array_join("response.missing_fields", ";").alias("missing_fields"), "response.topic")
