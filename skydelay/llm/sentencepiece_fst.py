@@ -26,6 +26,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ from skydelay.llm.common import as_text, batches_of, offsets_of
 
 SPACE = "▁"
 CACHE = 500_000  # cuts a Python worker remembers
+KEPT = 1 << 16  # cuts, and pairs of pieces, that a worker keeps from one task to the next
 INFINITE = float("inf")
 # Piece types and model types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -237,8 +239,10 @@ class Transducer:
         return b"".join(map(known.__getitem__, cuts))
 
     def forget(self) -> None:
-        self.known.clear()
-        self.weights.clear()
+        """Leaves a worker the cuts and weights it learnt first, the frequent ones, at most ``KEPT`` of each."""
+        for table in (self.known, self.weights):
+            for key in list(islice(table, KEPT, None)):
+                del table[key]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.output.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
@@ -298,7 +302,7 @@ def op2(docs: DataFrame, path: str) -> DataFrame:
                 [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([int(is_byte[x].sum()) for x in ids], pa.int64()),
                  pa.array([zlib.crc32(x) for x in encoded], pa.int64()), pa.array(decoded, pa.string()), _lists(encoded)],
                 ["doc_id", "n_ids", "n_byte_ids", "ids_crc32", "decoded_sha256", "ids"])
-        coder.forget()  # idle workers keep their memory
+        coder.forget()  # what a worker holds between tasks is bounded
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         code, "doc_id long, n_ids long, n_byte_ids long, ids_crc32 long, decoded_sha256 string, ids array<int>")
