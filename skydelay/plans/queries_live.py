@@ -135,11 +135,11 @@ def q_c9(spark, sf):
 
 
 @query("C10_stale_keys", """
-SELECT DISTINCT icao24 FROM live_states WHERE last_contact_ts < TIMESTAMP '2024-01-16 00:00:00'
-EXCEPT SELECT icao24 FROM live_states WHERE last_contact_ts >= TIMESTAMP '2024-01-16 00:00:00'""", ("live_states",))
+SELECT DISTINCT icao24 FROM live_states WHERE last_contact_ts < TIMESTAMP '2024-01-30 12:00:00'
+EXCEPT SELECT icao24 FROM live_states WHERE last_contact_ts >= TIMESTAMP '2024-01-30 12:00:00'""", ("live_states",))
 def q_c10(spark, sf):
     ls = V(spark, sf, "live_states")
-    cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    cut = F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")
     return J.stale_keys(ls.where(F.col("last_contact_ts") < cut), ls.where(F.col("last_contact_ts") >= cut))
 
 
