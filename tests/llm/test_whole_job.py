@@ -100,3 +100,59 @@ def test_candidates_are_all_runs_and_what_base_spans_leave():
     base = secrets.base_spans(text)
     assert [text[a:b] for a, b in secrets.candidates(text, base)] == [letters, "XYZWVUTSRQ-", "+ZYXWVUTSRQPO"]
     assert secrets.base_spans("bcdef" * 7) == [(0, 2, 35)]
+
+
+def test_laid_out_texts_give_the_same_candidates_pieces_and_logits():
+    texts = ["", "a key-=" + "x9" * 45 + " then 12345678\u2003é中😀 password=hunter2hunter2\0", "password: abcdefgh", "0123456789abcdef" * 3, "first-candidate at last"]
+    base = [secrets.base_spans(t) for t in texts]
+    codes, begins = secrets.lay_out(texts)
+    starts, ends = secrets.runs_in(codes, [(begins[i] + a, begins[i] + b) for i, x in enumerate(base) for a, _, b in x])
+    runs = [(i, a, b) for i, t in enumerate(texts) for a, b in secrets.candidates(t, base[i])]
+    assert [(begins[i] + a, begins[i] + b) for i, a, b in runs] == list(zip(starts, ends)) and len(runs) > 2
+    parts = [(texts[i], *p) for i, a, b in runs for p in secrets.pieces(a, b)]
+    a, b, offsets = secrets.pieces_of(starts, ends)
+    assert [y - x for _, x, y in parts] == list(b - a) and offsets[-1] == len(parts)
+    rows = secrets.windows(parts)
+    assert (rows == secrets.gather(codes, a, b)).all()
+    net = secrets.Network.fresh()
+    assert np.abs(net.logits_at(codes, a, b) - net.forward(rows)[0]).max() < 1e-5
+    rows[:, :secrets.BEFORE] = rows[:, secrets.BEFORE + secrets.PIECE:] = 0
+    assert np.abs(net.logits_at(codes, a, b, bare=True) - net.forward(rows)[0]).max() < 1e-5
+
+
+def test_the_threshold_recalls_what_it_must_whatever_the_negatives():
+    rng = np.random.default_rng(3)
+    for shift in (-30, -8, -1, 2):  # of the positives from 0; negatives lie about 0 but for the first
+        good, bad = rng.normal(shift + 8 if shift == -30 else shift, 1, 2000), rng.normal(-20 if shift == -30 else 0, 3, 50_000)
+        counts = np.stack([np.bincount(np.floor(x / secrets.BIN + secrets.BINS / 2).astype(int), minlength=secrets.BINS)
+                           for x in (bad, good)]).astype(float)
+        net = secrets.Network.fresh()
+        net.calibrate(counts)
+        assert net.recall >= secrets.RECALL and (good >= net.cut).mean() >= secrets.RECALL
+        assert net.slope > 0 and 0 <= net.threshold <= 1
+
+
+def test_a_table_of_eight_documents_trains_the_network(spark):
+    """No number of findings switches the network off."""
+    rng = random.Random(8)
+
+    def key():
+        return "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(24))
+
+    rows = [(i, f"plain words about everything, telephone {5550000 + i}1 and password={key()} more sentences; somebody@example.org"
+                f" has token: {key()} ordinary numbers 12345678 secret={key()} nothing") for i in range(7)]
+    bare = key()
+    rows.append((7, f"ordinary sentences about {bare} and everything"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    net = secrets.fit(docs)
+    assert np.isfinite(net.cut) and net.recall >= secrets.RECALL
+    found = {r["doc_id"]: r["spans"] for r in secrets.op10(docs).collect()}
+    assert found[7] == "model:25:49" and all("model" not in found[i] for i in range(7))
+
+
+def test_kept_out_findings_are_counted_whole(spark):
+    """The histogram holds every kept-out finding twice: with its context and without it."""
+    docs = planted(spark)
+    found = [secrets._findings([r["text"]]) for r in docs.collect()]
+    n = [sum(int(((label == k) & (rank % secrets.KEPT_OUT == 0)).sum()) for _, label, rank, _, _ in found) for k in (0, 1)]
+    assert secrets.logit_histogram(docs.repartition(5), secrets.Network.fresh()).sum(1).tolist() == [2 * x for x in n]
