@@ -4,14 +4,16 @@ Every document is described by two histograms: its characters over seven classes
 its language plus one cell for all other words. Both are compared with the histograms of the language (summed over the
 documents of the language that pass the base rules) by Jensen-Shannon distance. A document is kept if it passes the base
 rules and neither distance exceeds its limit; a distance only counts from a minimum length on, as short texts stray far
-from any reference by chance.
+from any reference by chance. Every value of ``lang`` has a reference of its own (a row per language); the word histogram
+is compared in the languages whose common words are listed.
 
 Everything about a document is computed from its own row with array functions, so no text is shuffled: repeated
 three-word windows are found by sorting the document's window hashes. Only the per-document counts are written and summed
 per language (partial sums first, so a language holding most rows costs no more).
 
-Nulls are empty texts; a null or unlisted language is compared by characters with the sum of all such documents. Repeated
-rows are judged each on its own. An empty table gives none.
+Nulls are empty texts; a document of null language is compared by characters with the nearest of all languages (with the
+sum of such documents if no language is given anywhere). Repeated rows are judged each on its own. An empty table gives
+none.
 """
 
 from __future__ import annotations
@@ -110,34 +112,53 @@ def _sum(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def _compare(described: DataFrame, among: Column) -> DataFrame:
-    """Adds char_distance and word_distance to the references summed over the rows ``among``."""
-    known = F.col("common_counts").isNotNull()
-    key = F.when(known, F.col("lang")).otherwise(F.lit(""))
-    reference = described.where(among).groupBy(key.alias("ref")).agg(
+def _references(described: DataFrame, among: Column) -> DataFrame:
+    """(ref, ref_chars, ref_words, ref_n): histograms of each language, summed over the rows ``among``."""
+    return described.where(among).groupBy(_key().alias("ref")).agg(
         F.array(*[F.sum(F.get("chars", F.lit(i))) for i in range(len(CHAR_CLASSES) + 1)]).alias("ref_chars"),
         F.array(*[F.sum(F.get("common_counts", F.lit(i))) for i in range(TOP)]).alias("ref_words"),
         F.sum("n_words").alias("ref_n"))
+
+
+def _key() -> Column:
+    """Never equal for a null and an empty language."""
+    return F.when(F.col("lang").isNull(), F.lit("")).otherwise(F.concat(F.lit("l:"), F.col("lang")))
+
+
+def _compare(described: DataFrame, references: DataFrame) -> DataFrame:
+    """Adds char_distance and word_distance to the references."""
+    known = F.col("common_counts").isNotNull()
+    # rows of null language look at the references of all languages: one row holds them (a cell per language)
+    own, languages = (F.collect_list(F.when(c, F.col("ref_chars"))) for c in (F.col("ref") == "", F.col("ref") != ""))
+    nearest = references.agg(languages.alias("many"), own.alias("pool")) \
+        .select(F.lit("").alias("ref"), F.when(F.size("many") > 0, F.col("many")).otherwise(F.col("pool")).alias("ref_any"))
+    table = cut_lineage(references.join(nearest, "ref", "full"))
     with_rest = F.array_append("common_counts", F.col("n_words") - _sum(F.col("common_counts")))
     ref_rest = F.array_append("ref_words", F.col("ref_n") - _sum(F.col("ref_words")))
-    rows = described.withColumn("ref", key).join(cut_lineage(reference), "ref", "left")
-    chars = _distance(_shares(F.col("chars"), F.col("n_chars_all")), _shares(F.col("ref_chars"), _sum(F.col("ref_chars"))))
+    rows = described.withColumn("ref", _key()).join(table, "ref", "left")
+    shares = _shares(F.col("chars"), F.col("n_chars_all"))
+    chars = _distance(shares, _shares(F.col("ref_chars"), _sum(F.col("ref_chars"))))
+    any_chars = F.array_min(F.transform("ref_any", lambda r: _distance(shares, _shares(r, _sum(r)))))
     words = _distance(_shares(with_rest, F.col("n_words")), _shares(ref_rest, F.col("ref_n")))
-    return rows.withColumn("char_distance", F.when((F.col("n_chars_all") >= CHARS_FROM) & (F.col("ref_n") > 0), chars)) \
+    return rows.withColumn("char_distance", F.when(F.col("n_chars_all") >= CHARS_FROM,
+                                                   F.when(F.col("lang").isNull(), any_chars).when(F.col("ref_n") > 0, chars))) \
         .withColumn("word_distance", F.when((F.col("n_words") >= WORDS_FROM) & (F.col("ref_n") > 0) & known, words)) \
-        .drop("ref", "ref_chars", "ref_words", "ref_n")
+        .drop("ref", "ref_chars", "ref_words", "ref_n", "ref_any")
 
 
 def judge(described: DataFrame) -> DataFrame:
     """Adds char_distance, word_distance (null where there is no reference or too short a text) and kept.
 
     The first references are summed over all rows that pass the base rules, the final ones over those of them that are
-    within both limits of the first, so junk that passes the base rules hardly bends what it is measured by."""
+    within both limits of the first, so junk that passes the base rules hardly bends what it is measured by. A language
+    none of whose rows are keeps its first reference."""
     near = ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & \
         (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
-    first = cut_lineage(_compare(described, ~F.col("base_failed")).withColumn("near", near)
-                        .drop("char_distance", "word_distance"))
-    return _compare(first, F.col("near")).withColumn("kept", near).drop("near")
+    all_rows = cut_lineage(_references(described, ~F.col("base_failed")))
+    first = cut_lineage(_compare(described, all_rows).withColumn("near", near).drop("char_distance", "word_distance"))
+    near_rows = cut_lineage(_references(first, F.col("near")))
+    final = near_rows.unionByName(all_rows.join(near_rows, "ref", "left_anti"))
+    return _compare(first, final).withColumn("kept", near).drop("near")
 
 
 def rules(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -175,11 +196,16 @@ def oracle_sql() -> str:
         (f"(n_words - ({' + '.join(f'w{i}' for i in range(TOP))})) / n_words",
          f"(ref_n - ({' + '.join(f'rw{i}' for i in range(TOP))})) / ref_n")])
 
-    def compare(rows: str, among: str) -> str:
-        return f"""SELECT s.*, CASE WHEN n_all >= {CHARS_FROM} AND ref_n > 0 THEN {by_char} END AS char_distance,
+    def references(rows: str, among: str) -> str:
+        return f"""SELECT *, {ref_total} AS ref_all FROM (
+    SELECT ref, CAST(sum(n_words) AS DOUBLE) AS ref_n, {sums} FROM {rows} WHERE {among} GROUP BY ref) x"""
+
+    def compare(rows: str, refs: str) -> str:
+        return f"""SELECT s.*, CASE WHEN n_all < {CHARS_FROM} THEN NULL WHEN s.ref = '' THEN nearest WHEN ref_n > 0 THEN {by_char} END AS char_distance,
     CASE WHEN n_words >= {WORDS_FROM} AND ref_n > 0 AND list IS NOT NULL THEN {by_word} END AS word_distance
-  FROM {rows} s LEFT JOIN (SELECT *, {ref_total} AS ref_all FROM (
-    SELECT ref, CAST(sum(n_words) AS DOUBLE) AS ref_n, {sums} FROM {rows} WHERE {among} GROUP BY ref) x) r ON s.ref = r.ref"""
+  FROM {rows} s LEFT JOIN {refs} r ON s.ref = r.ref LEFT JOIN (
+    SELECT rid AS near_rid, min({by_char}) AS nearest FROM {rows} s JOIN {refs} r ON s.ref = '' AND n_all >= {CHARS_FROM}
+      AND (r.ref <> '' OR NOT EXISTS (SELECT 1 FROM {refs} WHERE ref <> '')) GROUP BY rid) y ON near_rid = rid"""
 
     near = f"(NOT base_failed AND COALESCE(char_distance, 0) <= {MAX_CHAR_DISTANCE} AND COALESCE(word_distance, 0) <= {MAX_WORD_DISTANCE})"
     return f"""
@@ -190,13 +216,16 @@ win AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS
   SELECT rid, words, unnest(range(1, greatest(len(words) - 1, 1))) AS i FROM t) x),
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM win) x WHERE c > 1),
 cov AS (SELECT rid, count(DISTINCT i + k) AS n_repeat FROM rep, (VALUES (0), (1), (2)) v(k) GROUP BY rid),
-s0 AS (SELECT rid, doc_id, list, CASE WHEN list IS NULL THEN '' ELSE lang END AS ref, len(words) AS n_words, {total} AS n_all,
+s0 AS (SELECT rid, doc_id, list, CASE WHEN lang IS NULL THEN '' ELSE 'l:' || lang END AS ref, len(words) AS n_words, {total} AS n_all,
   {", ".join(f"c{i}" for i in range(n_classes))}, {own}, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
   COALESCE(n_repeat, 0) AS n_repeat_words FROM t LEFT JOIN cov USING (rid)),
 s1 AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s0),
-f AS ({compare("s1", "NOT base_failed")}),
+r1 AS ({references("s1", "NOT base_failed")}),
+f AS ({compare("s1", "r1")}),
 s2 AS (SELECT * EXCLUDE (char_distance, word_distance), {near} AS near FROM f),
-g AS ({compare("s2", "near")})
+r2 AS ({references("s2", "near")}),
+r3 AS (SELECT * FROM r2 UNION ALL SELECT * FROM r1 WHERE ref NOT IN (SELECT ref FROM r2)),
+g AS ({compare("s2", "r3")})
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_all - c{list(CHAR_CLASSES).index("space")} AS BIGINT) AS word_chars,
   CAST(c{list(CHAR_CLASSES).index("symbol")} AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, {near} AS kept, round(char_distance, 6) AS char_distance,

@@ -2,13 +2,14 @@
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from test_operators import planted
 
-from skydelay.llm import fingerprints, lm_scoring, secrets
+from skydelay.llm import fingerprints, lm_scoring, quality_rules, secrets
 
 
 # --- LM scoring
@@ -156,3 +157,46 @@ def test_kept_out_findings_are_counted_whole(spark):
     found = [secrets._findings([r["text"]]) for r in docs.collect()]
     n = [sum(int(((label == k) & (rank % secrets.KEPT_OUT == 0)).sum()) for _, label, rank, _, _ in found) for k in (0, 1)]
     assert secrets.logit_histogram(docs.repartition(5), secrets.Network.fresh()).sum(1).tolist() == [2 * x for x in n]
+
+
+# --- quality rules
+
+def languages(spark):
+    """Documents of an unlisted script, of null and of empty language, and one language of junk alone."""
+    rng = random.Random(4)
+    russian, english = "это мир дом река окно слово время город книга жизнь".split(), "stone river window paper garden letter music".split()
+
+    def prose(words, n=120):
+        return " ".join(rng.choice(words) + rng.choice(words) for _ in range(n)) + "."
+
+    rows = [(i, prose(russian), "ru") for i in range(40)]
+    rows += [(100 + i, "the " + prose(english) + " and of the to in a", "xx") for i in range(10)]
+    rows += [(200 + i, prose(russian if i % 2 else english), None) for i in range(10)]
+    rows += [(300 + i, " ".join(str(rng.randrange(10 ** 6)) for _ in range(120)), None) for i in range(3)]
+    rows += [(400 + i, prose(english) if i % 2 else " ".join(f"{rng.randrange(10 ** 6)}" for _ in range(100)), "zz") for i in range(2)]
+    rows += [(500, prose(english), ""), (501, None, None), (502, "", "ru"), (503, "short", None), (500, prose(english), "")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_every_language_has_a_reference_and_null_takes_the_nearest(spark):
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.op9(languages(spark)).collect()}
+    assert all(kept[i] for i in [*range(40), *range(100, 110), *range(200, 210), 500])
+    assert not any(kept[i] for i in [300, 301, 302, 501, 502, 503])
+
+
+def test_no_language_given_anywhere(spark):
+    docs = languages(spark).withColumn("lang", F.lit(None).cast("string"))
+    got = quality_rules.op9(docs.where("doc_id < 40")).collect()
+    assert all(r["kept"] and r["char_distance"] < 0.1 for r in got)
+
+
+@pytest.mark.parametrize("which", ["true", "doc_id >= 200", "doc_id >= 400 and doc_id < 500", "lang is null", "false"])
+def test_quality_rules_against_sql_on_rare_languages(spark, which):
+    docs = languages(spark).where(which)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "int64", "text": "object", "lang": "object"}))
+    con.execute("CREATE VIEW typed AS SELECT doc_id, CAST(text AS VARCHAR) AS text, CAST(lang AS VARCHAR) AS lang FROM documents")
+    want = con.execute(quality_rules.oracle_sql().replace("FROM documents", "FROM typed"))
+    names = [d[0] for d in want.description]
+    got = quality_rules.op9(docs).select(*names).collect()
+    assert Counter(tuple(r) for r in got) == Counter(want.fetchall())
