@@ -132,7 +132,8 @@ def _compare(described: DataFrame, references: DataFrame) -> DataFrame:
     own, languages = (F.collect_list(F.when(c, F.col("ref_chars"))) for c in (F.col("ref") == "", F.col("ref") != ""))
     nearest = references.agg(languages.alias("many"), own.alias("pool")) \
         .select(F.lit("").alias("ref"), F.when(F.size("many") > 0, F.col("many")).otherwise(F.col("pool")).alias("ref_any"))
-    table = cut_lineage(references.join(nearest, "ref", "full"))
+    both = references.unionByName(nearest, allowMissingColumns=True)
+    table = cut_lineage(both.groupBy("ref").agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns if c != "ref"]))
     with_rest = F.array_append("common_counts", F.col("n_words") - _sum(F.col("common_counts")))
     ref_rest = F.array_append("ref_words", F.col("ref_n") - _sum(F.col("ref_words")))
     rows = described.withColumn("ref", _key()).join(table, "ref", "left")
