@@ -4,10 +4,11 @@
 * Classes: the ``UNIT_WORDS`` most frequent words and ``SHAPES`` groups of all other words (by a hash of their last
   three bytes) are the units. All bigrams of units are counted over all training documents; this matrix has a size fixed
   by the two parameters, and exchange clustering moves its units between ``CLASSES`` classes, each to the class that
-  raises the likelihood of the class bigrams most, until few still move. That is where every other word starts: all
-  pairs of neighbouring words are then kept as a table, each word's counts by class of what precedes and follows it are
-  summed from it, and every word outside the units moves to the class of the largest gain in the same likelihood: first
-  all at once, then half of them in turn, for at most ``WIDE_PASSES`` rounds or until few move; a round that lowers the
+  raises the likelihood of the class bigrams most, until few still move. That is where every other word starts. The
+  training texts are kept as word numbers, so a round is a pass over numbers: each task adds up by class what follows and
+  precedes each word, one row per word and task is shuffled, and every frequent word outside the units moves to the class
+  of the largest gain in the same likelihood: first all at once, then half of them in turn, for at most ``WIDE_PASSES``
+  rounds or until few move. Then all words beyond the ``HEAD`` most frequent do the same, once. A round that lowers the
   likelihood is undone. Words that no training document holds take the class that most words seen once have in their
   shape group.
 * Model: log10 P(text) sums, over words and the end, the class transition (Dirichlet-smoothed with the class
@@ -41,11 +42,12 @@ from skydelay.llm.common import as_bytes, batches_of, fold, offsets_of, segment_
 from skydelay.session import cut_lineage
 
 UNIT_WORDS, SHAPES, CLASSES = 1024, 512, 64
-HEAD = 1 << 16          # most frequent words whose counts go to every task
+HEAD = 1 << 18          # most frequent words whose counts go to every task
 PRIOR = 10.0            # weight of the class frequencies in a transition
 PASSES = 8              # of the exchange of the units
 WIDE_PASSES = 3         # of the exchange of all other words
-PAIRS = 4_000_000       # neighbouring words that a task holds before it counts them
+SHAPE_IDS = HEAD + 1    # word numbers of the shape groups
+PAIRS = 4_000_000       # neighbours that a task holds before it counts them
 KNOWN_WORDS = 500_000   # distinct words a Python worker remembers
 END = b"\n"             # never a word
 END_UNIT = UNIT_WORDS + SHAPES
@@ -89,28 +91,6 @@ class _Units(dict):
         return UNIT_WORDS + crc32(word[-3:]) % SHAPES
 
 
-def unit_bigrams(texts: DataFrame, head: list[bytes]) -> DataFrame:
-    """(code = first * UNITS + second, n) over all neighbouring units; END stands before and after each document."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, memory = _Units(head), {}
-        total = np.zeros(UNITS * UNITS, dtype=np.int64)
-        for batch in batches_of(batches, 512):
-            flat = [END]
-            for text in as_bytes(batch.column(0)):
-                flat += tokens(text)
-                flat.append(END)
-            new = set(flat).difference(memory)
-            memory.update((w, unit[w]) for w in new)
-            units = np.fromiter(map(memory.__getitem__, flat), np.int64, len(flat))
-            total += np.bincount(units[:-1] * UNITS + units[1:], minlength=UNITS * UNITS)
-            if len(memory) > KNOWN_WORDS:
-                memory.clear()
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["code", "n"])
-
-    return texts.select("text").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -167,119 +147,163 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
 
 
 class _Ids(dict):
-    """Number of a word: its rank among the most frequent words, HEAD for END, and a negative 63-bit hash of all others
-    (as ``rare_id`` has it)."""
+    """Number of a word: its rank among the most frequent words, HEAD for END; all others by shape group."""
 
     def __init__(self, head: list[bytes]) -> None:
         super().__init__((w, i) for i, w in enumerate(head))
         self[END] = HEAD
 
     def __missing__(self, word: bytes) -> int:
-        return (xxhash.xxh64_intdigest(word, 42) | 1 << 63) - (1 << 64)
+        return SHAPE_IDS + crc32(word[-3:]) % SHAPES
 
 
 def rare_id(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseOR(F.lit(-(1 << 63)))
+    return F.xxhash64(word)
 
 
-def word_pairs(texts: DataFrame, head: list[bytes]) -> DataFrame:
-    """(a, b, n): neighbouring words by number, but for those of two units; counted in each task only."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, local, numbers = _Ids(head), {}, []
-        parts: list[np.ndarray] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            codes, n = np.unique(np.concatenate(parts), return_counts=True)
-            own = np.array(numbers, dtype=np.int64)
-            a, b = own[codes >> 32], own[codes & 0xFFFFFFFF]
-            keep = ~(_is_unit(a) & _is_unit(b))
-            return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(n[keep])], ["a", "b", "n"])
+def numbered(texts: DataFrame, head: list[bytes]) -> DataFrame:
+    """The texts as word numbers, END before and after each: rows (low, high, rare) hold runs of documents, the lower 16
+    and the upper 8 bits of each number and the 64-bit hash (``rare_id``) of each word outside the head, as bytes."""
+    shared = texts.sparkSession.sparkContext.broadcast(head)  # HEAD words at most
 
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, hashes = _Ids(shared.value), {}
         for batch in batches_of(batches, 512):
             flat = [END]
             for text in as_bytes(batch.column(0)):
                 flat += tokens(text)
                 flat.append(END)
-            for w in set(flat).difference(local):
-                local[w] = len(numbers)
-                numbers.append(ids[w])
-            at = np.fromiter(map(local.__getitem__, flat), np.int64, len(flat))
-            parts.append(at[:-1] << 32 | at[1:])
-            held += len(at)
-            if held > PAIRS:
-                yield flush()
-                parts, held = [], 0
-                if len(numbers) > KNOWN_WORDS:
-                    local, numbers = {}, []
-        if parts:
-            yield flush()
-
-    return texts.select("text").mapInArrow(count, "a long, b long, n long")
-
+            at = np.fromiter(map(ids.__getitem__, flat), np.uint32, len(flat))
+            outside = [flat[i] for i in np.flatnonzero(at >= SHAPE_IDS)]
+            hashes.update((w, xxhash.xxh64_intdigest(w, 42)) for w in set(outside).difference(hashes))
+            rare = np.fromiter(map(hashes.__getitem__, outside), np.uint64, len(outside))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in
+                                              (at.astype("<u2"), (at >> 16).astype(np.uint8), rare.astype("<u8"))],
+                                             ["low", "high", "rare"])
+            if len(hashes) > KNOWN_WORDS:
+                hashes.clear()
+
+    return texts.select("text").mapInArrow(number, "low binary, high binary, rare binary")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], rare: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The numbers of a row of ``numbered``, and on request the hashes of its words outside the head in their places."""
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            at = np.frombuffer(row[0], "<u2") + (np.frombuffer(row[1], np.uint8).astype(np.int64) << 16)
+            words = at
+            if rare:
+                words = at.copy()
+                words[at >= SHAPE_IDS] = np.frombuffer(row[2], "<i8")
+            yield at, words
+
+
+def pair_counts(runs: DataFrame, kinds: np.ndarray, n_kinds: int, frequent: bool = False) -> np.ndarray:
+    """How often a kind follows a kind, over all neighbouring words (of the head only); ``kinds`` by word number."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, size = np.zeros(n_kinds ** 2, dtype=np.int64), [], 0
+
+        def add() -> None:
+            if held:
+                total[:] += np.bincount(np.concatenate(held), minlength=len(total))
+                held.clear()
+
+        for at, _ in _runs(batches):
+            kind = kinds[at]
+            codes = kind[:-1] * n_kinds + kind[1:]
+            held.append(codes[(at[:-1] < SHAPE_IDS) & (at[1:] < SHAPE_IDS)] if frequent else codes)
+            size += len(at)
+            if size > len(total):
+                add()
+                size = 0
+        add()
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["code", "n"])
 
-def _is_unit(ids: np.ndarray) -> np.ndarray:
-    return (ids >= 0) & (ids < UNIT_WORDS) | (ids == HEAD)
+    found = runs.select("low", "high").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(n_kinds ** 2)  # n_kinds^2 rows at most
+    out[found["code"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(n_kinds, n_kinds)
 
 
-# cells of a word: counts by class of what follows, of what precedes, of which units; itself as neighbour; its class
+# cells of a word: counts by class of what follows, of what precedes (in two parts), itself as neighbour, its class
 AFTER, BEFORE, BEFORE_UNIT, OWN, CLASS = 0, CLASSES, 2 * CLASSES, 3 * CLASSES, 3 * CLASSES + 1
 CELLS = CLASS + 1
+RARE_SIDE = 2 * CLASSES  # in ``contexts``: what is added to a cell if the neighbour is outside the head
 
 
-def contexts(pairs: DataFrame, head_class: np.ndarray, rare: DataFrame) -> DataFrame:
-    """(word, cells array<struct<cell, n>>) of every word outside the units, under the classes of the frequent words and
-    of the ``rare`` ones (id, class)."""
-    spark = pairs.sparkSession
-    some = spark.createDataFrame(pa.table({"id": np.arange(len(head_class), dtype=np.int64), "class": head_class.astype(np.int32)}))
-
-    def unit(c: str) -> Column:
-        return F.col(c).between(0, UNIT_WORDS - 1) | (F.col(c) == HEAD)
-
-    def sides(rows: DataFrame, after: Column, before: Column) -> DataFrame:
-        """Each pair as seen from its words, if their neighbour is among those asked for."""
-        side = "struct<word: long, ctx: long, cell: int, n: long>"
-        seen = F.array(
-            F.when(after & ~unit("a"), F.struct(F.col("a").alias("word"), F.col("b").alias("ctx"), F.lit(AFTER).alias("cell"), "n")).cast(side),
-            F.when(before & ~unit("b"), F.struct(F.col("b").alias("word"), F.col("a").alias("ctx"),
-                                                 F.when(unit("a"), BEFORE_UNIT).otherwise(BEFORE).alias("cell"), "n")).cast(side))
-        return rows.select(F.inline(F.array_compact(seen)))
-
-    near = sides(pairs, F.col("b") >= 0, F.col("a") >= 0).join(F.broadcast(some), F.col("ctx") == F.col("id"))  # HEAD rows
-    far = sides(pairs.where("a < 0 or b < 0"), F.col("b") < 0, F.col("a") < 0).join(rare.hint("shuffle_hash"), F.col("ctx") == F.col("id"))
-    cells = near.unionByName(far).select("word", (F.col("cell") + F.col("class")).alias("cell"), "n") \
-        .unionByName(pairs.where("a = b").select(F.col("a").alias("word"), F.lit(OWN).alias("cell"), "n")) \
-        .unionByName(rare.unionByName(some).where(~unit("id")).select(F.col("id").alias("word"), F.lit(CLASS).alias("cell"),
-                                                                      F.col("class").cast("long").alias("n")))
-    return cells.groupBy("word", "cell").agg(F.sum("n").alias("n")) \
-        .groupBy("word").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))  # at most CELLS of a word
-
-
-def _dense(cells: pa.ListArray) -> np.ndarray:
-    out = np.zeros((len(cells), CELLS))
-    flat = cells.flatten()
-    owner = np.repeat(np.arange(len(cells)), cells.value_lengths().to_numpy(zero_copy_only=False))
-    out[owner, flat.field("cell").to_numpy(zero_copy_only=False)] = flat.field("n").to_numpy(zero_copy_only=False)
-    out[:, CLASS] = np.minimum(out[:, CLASS], CLASSES - 1)  # words of equal number share what they have
-    return out
-
+def contexts(runs: DataFrame, classes: np.ndarray, rare: bool) -> DataFrame:
+    """(word, class, own, cells, counts): what each task sees next to the words of the head but for the units, or next
+    to those outside it, by class. ``classes`` by word number."""
+    small = classes.astype(np.uint8)
 
-def joint_of(found: DataFrame) -> np.ndarray:
-    """Class bigrams that involve a word outside the units."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CLASSES, CLASSES))
-        for batch in batches_of(batches, 2000):
-            cells = _dense(batch.column(0))
-            member = np.zeros((len(cells), CLASSES))
-            member[np.arange(len(cells)), cells[:, CLASS].astype(np.int64)] = 1
-            total += member.T @ cells[:, AFTER:BEFORE] + cells[:, BEFORE_UNIT:OWN].T @ member
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES ** 2, dtype=np.int32)), pa.array(total.ravel().astype(np.int64))],
-                                         ["code", "n"])
-
-    out = np.zeros(CLASSES ** 2)
-    for code, n in found.select("cells").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n")).collect():  # CLASSES^2
-        out[code] = n
-    return out.reshape(CLASSES, CLASSES)
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            word, kind, cell, same = (np.concatenate(x) for x in zip(*held))
+            words, number = np.unique(word, return_inverse=True)
+            first = np.zeros(len(words), dtype=np.int32)
+            first[number] = kind
+            own = np.bincount(number, same, len(words)).astype(np.int64)
+            keys, n = np.unique(number << 8 | cell, return_counts=True)
+            starts = offsets_of(np.bincount(keys >> 8, minlength=len(words)))
+            cells, counts = (keys & 255).astype(np.uint8).tobytes(), n.astype("<u4").tobytes()
+            for at in range(0, len(words), 20_000):
+                some = slice(at, at + 20_000)
+                cut = starts[at:at + 20_001]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words[some]), pa.array(first[some]), pa.array(own[some]),
+                     pa.array([cells[i:j] for i, j in zip(cut[:-1], cut[1:])], pa.binary()),
+                     pa.array([counts[4 * i:4 * j] for i, j in zip(cut[:-1], cut[1:])], pa.binary())],
+                    ["word", "class", "own", "cells", "counts"])
+
+        for at, words in _runs(batches, rare):
+            kind = small[at]
+            outside = at >= SHAPE_IDS
+            wanted = outside if rare else (at >= UNIT_WORDS) & (at < HEAD)
+            cell = kind + outside * np.uint8(RARE_SIDE)
+            same = (words[:-1] == words[1:]) & wanted[1:]
+            after, before = np.flatnonzero(wanted[:-1]), np.flatnonzero(wanted[1:])
+            held.append((words[:-1][after], kind[:-1][after], cell[1:][after], same[after]))
+            held.append((words[1:][before], kind[1:][before], cell[:-1][before] + np.uint8(BEFORE), np.zeros(len(before), dtype=bool)))
+            size += len(after) + len(before)
+            if size > PAIRS:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    columns = ["low", "high", "rare"] if rare else ["low", "high"]
+    return runs.select(*columns).mapInArrow(count, "word long, class int, own long, cells binary, counts binary")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of ``contexts`` sorted by word, added up: words, their class, and a row of 4 * CLASSES + 1 counts for each."""
+    kept = None
+    for batch in chain(batches_of(batches, 4000), [None]):
+        if batch is None:
+            if kept is not None:
+                yield kept
+            return
+        if not batch.num_rows:
+            continue
+        word, n = batch.column(0).to_numpy(), [len(x) for x in batch.column(3).to_pylist()]
+        words, row = np.unique(word, return_inverse=True)
+        cell = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8)
+        times = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u4")
+        wide = 4 * CLASSES + 1
+        table = np.bincount(np.repeat(row, n) * wide + cell, times, len(words) * wide).reshape(-1, wide)
+        table[:, -1] = np.bincount(row, batch.column(2).to_numpy(), len(words))
+        kinds = np.zeros(len(words), dtype=np.int64)
+        kinds[row] = batch.column(1).to_numpy()  # words of equal number share what they have
+        if kept is not None and kept[0][0] == words[0]:
+            table[0] += kept[2][0]
+        elif kept is not None:
+            yield kept
+        yield words[:-1], kinds[:-1], table[:-1]
+        kept = words[-1:], kinds[-1:], table[-1:]
 
 
 def gains(cells: np.ndarray, joint: np.ndarray) -> np.ndarray:
@@ -319,50 +343,92 @@ def gains(cells: np.ndarray, joint: np.ndarray) -> np.ndarray:
 
 
 def moved(found: DataFrame, joint: np.ndarray, half: int | None = None) -> DataFrame:
-    """(id, class, moves) of every word of ``contexts``: the class of the largest gain (of odd or even numbers only)."""
+    """(id, class, moves) of every word of ``contexts``: the class of the largest gain (of odd or even numbers only); and
+    with a null id (code, n), summed: class bigrams of these words under their new classes next to words of the head."""
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches, 2000):
-            cells = _dense(batch.column(1))
-            gain, old = gains(cells, joint), cells[:, CLASS].astype(np.int64)
+        total = np.zeros((CLASSES, CLASSES))
+        names = ["id", "class", "moves", "code", "n"]
+        for words, old, table in _merged(batches):
+            if not len(words):
+                continue
+            cells = np.zeros((len(words), CELLS))
+            cells[:, AFTER:BEFORE] = table[:, :CLASSES] + table[:, RARE_SIDE:RARE_SIDE + CLASSES]
+            cells[:, BEFORE:BEFORE_UNIT] = table[:, BEFORE:2 * CLASSES]
+            cells[:, BEFORE_UNIT:OWN] = table[:, RARE_SIDE + BEFORE:-1]
+            cells[:, OWN], cells[:, CLASS] = table[:, -1], old
+            gain = gains(cells, joint)
             new = gain.argmax(1)
             stays = gain[np.arange(len(new)), new] <= gain[np.arange(len(new)), old] + 1e-9
             if half is not None:
-                stays |= batch.column(0).to_numpy() % 2 != half
+                stays |= words % 2 != half
             new = np.where(stays, old, new)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new.astype(np.int32)), pa.array(new != old)],
-                                             ["id", "class", "moves"])
+            member = np.zeros((len(words), CLASSES))
+            member[np.arange(len(words)), new] = 1
+            total += member.T @ table[:, :CLASSES] + table[:, BEFORE:2 * CLASSES].T @ member
+            nothing = pa.nulls(len(words), pa.int32()), pa.nulls(len(words), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(new.astype(np.int32)), pa.array(new != old), *nothing], names)
+        seen = np.flatnonzero(total)
+        blank = [pa.nulls(len(seen), k) for k in (pa.int64(), pa.int32(), pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*blank, pa.array(seen.astype(np.int32)), pa.array(total.ravel()[seen].astype(np.int64))], names)
 
-    return found.select("word", "cells").mapInArrow(choose, "id long, class int, moves boolean")
+    return found.repartition("word").sortWithinPartitions("word") \
+        .mapInArrow(choose, "id long, class int, moves boolean, code int, n long")
 
 
 def _likelihood(joint: np.ndarray) -> float:
     return float(_xlogx(joint).sum() - _xlogx(joint.sum(0)).sum() - _xlogx(joint.sum(1)).sum())
 
 
-def exchange_wide(pairs: DataFrame, head_class: np.ndarray, rare: DataFrame, of_units: np.ndarray,
-                  passes: int = WIDE_PASSES) -> tuple[np.ndarray, DataFrame, np.ndarray]:
-    """Classes of the frequent words, of the rare ones (id, class) and class bigrams, after the exchange of all words
-    outside the units; ``of_units`` holds the class bigrams of the units."""
+def exchange_wide(runs: DataFrame, classes: np.ndarray, passes: int = WIDE_PASSES) -> tuple[np.ndarray, np.ndarray]:
+    """Classes by word number and class bigrams after the exchange of the words of the head outside the units; all other
+    words stay in the classes of their shape groups."""
     best = None
     for k in range(passes + 1):
-        found = cut_lineage(contexts(pairs, head_class, rare))
-        joint = of_units + joint_of(found)
-        if best is not None and _likelihood(joint) <= _likelihood(best[2]):
+        joint = pair_counts(runs, classes, CLASSES)
+        if best is not None and _likelihood(joint) <= _likelihood(best[1]):
             break
-        best = head_class, rare, joint
+        best = classes, joint
         if k == passes:
             break
-        new = cut_lineage(moved(found, joint, k % 2 if k else None))
-        n, moves = new.agg(F.count(F.lit(1)), F.sum(F.col("moves").cast("long"))).first()
-        if not n or moves < 0.005 * n:
+        new = moved(contexts(runs, classes, rare=False), joint, k % 2 if k else None).where("id is not null") \
+            .select("id", "class", "moves").toArrow()  # HEAD rows at most
+        moves = int(new["moves"].to_numpy().sum())
+        if moves < max(1, 0.005 * len(new)):
             break
-        some = new.where("id >= 0").select("id", "class").toArrow()  # HEAD rows at most
-        head_class = head_class.copy()
-        head_class[some["id"].to_numpy()] = some["class"].to_numpy()
-        rare = new.where("id < 0").select("id", "class")
+        classes = classes.copy()
+        classes[new["id"].to_numpy()] = new["class"].to_numpy()
     return best
 
 
+def place_rare(runs: DataFrame, classes: np.ndarray, joint: np.ndarray) -> tuple[DataFrame | None, np.ndarray]:
+    """(id, class) of every word outside the head, each moved to the class of the largest gain, and the class bigrams
+    under these classes; no table where no word moves or the likelihood falls."""
+    new = cut_lineage(moved(contexts(runs, classes, rare=True), joint))
+    if not new.where("moves").take(1):
+        return None, joint
+    placed = new.where("id is not null").select("id", "class")
+    both = rare_pairs(runs)
+    for side in "ab":
+        both = both.join(placed.select(F.col("id").alias(side), F.col("class").alias(f"of_{side}")).hint("shuffle_hash"), side)
+    both = both.select((F.col("of_a") * CLASSES + F.col("of_b")).alias("code"), "n")
+    out = pair_counts(runs, classes, CLASSES, frequent=True).ravel()
+    for code, n in new.where("id is null").select("code", "n").unionByName(both).groupBy("code").agg(F.sum("n")).collect():
+        out[code] += n  # CLASSES^2 rows at most
+    out = out.reshape(CLASSES, CLASSES)
+    return (placed, out) if _likelihood(out) > _likelihood(joint) else (None, joint)
+
+
+def rare_pairs(runs: DataFrame) -> DataFrame:
+    """(a, b, n): neighbouring words that are both outside the head, by hash; counted in each run of documents only."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, words in _runs(batches, rare=True):
+            both = np.flatnonzero((at[:-1] >= SHAPE_IDS) & (at[1:] >= SHAPE_IDS))
+            pairs, n = np.unique(np.column_stack([words[both], words[both + 1]]), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n)], ["a", "b", "n"])
+
+    return runs.select("low", "high", "rare").mapInArrow(count, "a long, b long, n long")
+
+
 class ClassModel:
     """Transition and emission tables, and the counts of the most frequent words."""
 
@@ -370,8 +436,6 @@ class ClassModel:
         self.class_of_unit = exchange(bigrams)
         member = np.zeros((UNITS, CLASSES))
         member[np.arange(UNITS), self.class_of_unit] = 1
-        units = [*range(UNIT_WORDS), END_UNIT]
-        self.of_units = member[units].T @ bigrams[np.ix_(units, units)] @ member[units]
         self.discount = discount
         self.head = head
         self.units = _Units([w for w, _ in head if w != END])
@@ -485,34 +549,39 @@ def _late_transitions(steps: Column, classes: Column, transition: np.ndarray) ->
 def _learn(train: DataFrame, counts: DataFrame, head: list[tuple[bytes, int]], discount: float) -> tuple[ClassModel, DataFrame]:
     """The model, and the rarer words of the training documents (word, n, class)."""
     words = [w for w, _ in head if w != END]
-    bigrams = np.zeros(UNITS * UNITS)
-    found = unit_bigrams(train, words[:UNIT_WORDS]).toArrow()  # UNITS^2 rows at most
-    bigrams[found["code"].to_numpy()] = found["n"].to_numpy()
-    model = ClassModel(head, bigrams.reshape(UNITS, UNITS), discount)
-    del found, bigrams
-    units = train.sparkSession.sparkContext.broadcast((model.units, model.class_of_unit))
+    runs = cut_lineage(numbered(train, words))
+    spot = {w: i for i, w in enumerate(words)}
+    spot[END] = HEAD
+    place = np.array([spot[w] for w, _ in head], dtype=np.int64)
+    of_shape = _Units(words)
+    units = np.arange(SHAPE_IDS + SHAPES)
+    units[:len(words)] = [of_shape[w] for w in words]
+    units[HEAD], units[SHAPE_IDS:] = END_UNIT, UNIT_WORDS + np.arange(SHAPES)
+    units[len(words):HEAD] = 0  # numbers without a word
+    model = ClassModel(head, pair_counts(runs, units, UNITS), discount)
+    shared = train.sparkSession.sparkContext.broadcast((model.units, model.class_of_unit))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, class_of = units.value
+        unit, class_of = shared.value
         for batch in batches:
             first = class_of[np.array([unit[w] for w in as_bytes(batch.column(0))], dtype=np.int64)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first.astype(np.int32))], ["word", "n", "id", "class"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first.astype(np.int32))], ["word", "n", "class"])
 
-    spot = {w: i for i, w in enumerate(words)}
-    spot[END] = HEAD
-    place = np.array([spot[w] for w, _ in head], dtype=np.int64)
     last = head[-1] if head else (b"", 0)
     others = (F.col("n") < last[1]) | ((F.col("n") == last[1]) & (F.col("word") > F.lit(last[0])))
-    rarer = cut_lineage(counts.where(others & (F.col("word") != F.lit(END))).select("word", "n", rare_id(F.col("word")).alias("id"))
-                        .mapInArrow(start, "word binary, n long, id long, class int"))
+    rarer = counts.where(others & (F.col("word") != F.lit(END))).select("word", "n")
+    placed = None
     if head:
-        by_place = np.zeros(HEAD + 1, dtype=np.int64)
-        by_place[place] = model.head_class
-        pairs = cut_lineage(word_pairs(train, words))
-        by_place, classes, joint = exchange_wide(pairs, by_place, rarer.select("id", "class"), model.of_units)
-        model.head_class = by_place[place]
+        classes, joint = exchange_wide(runs, model.class_of_unit[units])
+        placed, joint = place_rare(runs, classes, joint)
+        model.head_class = classes[place]
         model.settle(joint)
-        rarer = cut_lineage(rarer.drop("class").join(classes.hint("shuffle_hash"), "id").select("word", "n", "class"))
+    if placed is None:
+        rarer = rarer.mapInArrow(start, "word binary, n long, class int")
+    else:
+        rarer = rarer.withColumn("id", rare_id(F.col("word"))).join(placed.hint("shuffle_hash"), "id").select("word", "n", "class")
+    rarer = cut_lineage(rarer)
+    if head:
         _place_unseen(model, rarer)
     return model, rarer
 
@@ -539,7 +608,7 @@ def _place_unseen(model: ClassModel, rarer: DataFrame) -> None:
     model.class_of_unit[UNIT_WORDS + some] = once[some].argmax(1)
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, head_words: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per document."""
     held = fold(F.col("doc_id"), 7) == 2
     train = docs.where(~held)
@@ -547,11 +616,14 @@ def score(docs: DataFrame) -> DataFrame:
     is_word = F.col("word") != F.lit(END)
     row = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"),
                      F.sum((is_word & (F.col("n") == 1)).cast("long")).alias("once"),
-                     F.sum((is_word & (F.col("n") == 2)).cast("long")).alias("twice")).first()
+                     F.sum((is_word & (F.col("n") == 2)).cast("long")).alias("twice"),
+                     *[F.count_if(F.col("n") >= F.lit(2 ** k)).alias(f"from{k}") for k in range(62)]).first()
     total, distinct = row["n"] or 0, row["v"]
     discount = row["once"] / (row["once"] + 2 * row["twice"]) if row["once"] else 0.5
-    # Arrow tables: rows of Python objects would take the driver a hundred times the memory
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()  # HEAD rows at most
+    # the top list is cut from words of at least the largest power of two of occurrences that HEAD words reach; Arrow
+    # tables, as rows of Python objects would take the driver a hundred times the memory
+    least = max((2 ** k for k in range(62) if (row[f"from{k}"] or 0) >= head_words), default=1)
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(head_words).toArrow()  # HEAD rows at most
     head = list(zip(top["word"].to_pylist(), top["n"].to_pylist()))
     model, rarer = _learn(train, counts, head, min(discount, 0.99))
     del top

@@ -36,6 +36,58 @@ def test_words_outside_the_units_take_their_class_from_their_neighbours(spark):
     assert model.size.sum() == sum(counts.values())
 
 
+def test_words_beyond_the_head_move_and_scores_are_those_of_the_classes(spark):
+    """Class bigrams and scores from the learned classes by plain counting; unseen words and repeated words included."""
+    from math import log10
+    from zlib import crc32
+    rng = random.Random(5)
+    first, second = ([f"{k}{i}{k}" for i in range(520)] for k in "ab")
+    rare = [[f"{k}{i}same" for i in range(30)] for k in "pq"]
+    rows = []
+    for i in range(2500):
+        words = [w for _ in range(10) for w in (rng.choice(first), rng.choice(second))]
+        words[2], words[13] = (rare[0][i % 30], rare[1][i % 30]) if i < 240 else (words[2], words[13])
+        words[4:4] = ["p1same", "p1same", "q2same"] if i % 50 == 0 else []
+        rows.append((i, " ".join(words) + (f" new{i}" if i % 9 == 0 else "")))
+    docs = spark.createDataFrame([*rows, (9000, None)], "doc_id long, text string").repartition(3)
+    size = 1030
+    held = {i: crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    texts = {i: [w.encode() for w in t.split()] + [lm_scoring.END] for i, t in rows}
+    texts[9000], held[9000] = [lm_scoring.END], crc32(b"9000") % 7 == 2
+    counts = Counter(w for i, ws in texts.items() if not held[i] for w in ws)
+    head = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]
+    once, twice = (sum(n == k and w != lm_scoring.END for w, n in counts.items()) for k in (1, 2))
+    d = min(once / (once + 2 * twice), 0.99)
+    train = docs.where(~F.col("doc_id").isin([i for i in held if held[i]]))
+    model, rarer = lm_scoring._learn(train, lm_scoring.word_counts(train), head, d)
+    far = {bytes(r["word"]): r["class"] for r in rarer.collect()}
+    assert set(far) == set(counts) - {w for w, _ in head}
+    a, b = ({far[w.encode()] for w in ws if w.encode() in far} for ws in rare)
+    assert a and b and not a & b
+    classes = {w: int(c) for (w, _), c in zip(head, model.head_class)} | far
+    joint = np.zeros((lm_scoring.CLASSES,) * 2)
+    for i, ws in texts.items():
+        if not held[i]:
+            for x, y in zip([lm_scoring.END, *ws], ws):
+                joint[classes[x], classes[y]] += 1
+    frequency = (joint.sum(0) + 1) / (joint.sum() + lm_scoring.CLASSES)
+    transition = np.log10((joint + lm_scoring.PRIOR * frequency) / (joint.sum(1, keepdims=True) + lm_scoring.PRIOR))
+    assert model.transition == pytest.approx(transition)
+    kinds = Counter(c for w, c in classes.items() if w != lm_scoring.END)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, size).collect()}
+    for i, ws in texts.items():
+        total, old = 0.0, 0
+        for w in ws:
+            c = classes[w] if w in classes else model.class_of(w)
+            total += transition[old, c]
+            if w in counts and w != lm_scoring.END:
+                total += log10((counts[w] - d) / joint.sum(0)[c])
+            elif w != lm_scoring.END:
+                total += (log10(d * kinds[c]) if kinds[c] else 0.0) - log10(max(joint.sum(0)[c], 1))
+            old = c
+        assert got[i] == pytest.approx(total, rel=1e-9)
+
+
 def test_gain_is_that_of_the_exchange():
     rng, f, n = np.random.default_rng(0), lm_scoring._xlogx, lm_scoring.CLASSES
     joint, cells = rng.integers(50, 400, (n, n)).astype(float), np.zeros((30, lm_scoring.CELLS))
