@@ -147,14 +147,15 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
 
 
 class _Ids(dict):
-    """Number of a word: its rank among the most frequent words, HEAD for END; all others by shape group."""
+    """Number of a word: its rank among the most frequent words, HEAD for END; all others by shape group, remembered."""
 
     def __init__(self, head: list[bytes]) -> None:
         super().__init__((w, i) for i, w in enumerate(head))
         self[END] = HEAD
 
     def __missing__(self, word: bytes) -> int:
-        return SHAPE_IDS + crc32(word[-3:]) % SHAPES
+        number = self[word] = SHAPE_IDS + crc32(word[-3:]) % SHAPES
+        return number
 
 
 def rare_id(word: Column) -> Column:
@@ -181,7 +182,7 @@ def numbered(texts: DataFrame, head: list[bytes]) -> DataFrame:
                                               (at.astype("<u2"), (at >> 16).astype(np.uint8), rare.astype("<u8"))],
                                              ["low", "high", "rare"])
             if len(hashes) > KNOWN_WORDS:
-                hashes.clear()
+                ids, hashes = _Ids(shared.value), {}
 
     return texts.select("text").mapInArrow(number, "low binary, high binary, rare binary")
 
@@ -232,9 +233,9 @@ CELLS = CLASS + 1
 RARE_SIDE = 2 * CLASSES  # in ``contexts``: what is added to a cell if the neighbour is outside the head
 
 
-def contexts(runs: DataFrame, classes: np.ndarray, rare: bool) -> DataFrame:
-    """(word, class, own, cells, counts): what each task sees next to the words of the head but for the units, or next
-    to those outside it, by class. ``classes`` by word number."""
+def contexts(runs: DataFrame, classes: np.ndarray, rare: bool, half: int | None = None) -> DataFrame:
+    """(word, class, own, cells, counts): what each task sees next to the words of the head but for the units (with
+    ``half`` those of odd or even numbers only), or next to those outside it, by class. ``classes`` by word number."""
     small = classes.astype(np.uint8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,12 +244,14 @@ def contexts(runs: DataFrame, classes: np.ndarray, rare: bool) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             word, kind, cell, same = (np.concatenate(x) for x in zip(*held))
-            words, number = np.unique(word, return_inverse=True)
-            first = np.zeros(len(words), dtype=np.int32)
+            names, number = np.unique(word, return_inverse=True) if rare else (np.arange(HEAD), word)
+            first = np.zeros(len(names), dtype=np.int32)
             first[number] = kind
-            own = np.bincount(number, same, len(words)).astype(np.int64)
+            own = np.bincount(number[same], minlength=len(names))
             keys, n = np.unique(number << 8 | cell, return_counts=True)
-            starts = offsets_of(np.bincount(keys >> 8, minlength=len(words)))
+            per_word = np.bincount(keys >> 8, minlength=len(names))
+            some = np.flatnonzero(per_word)
+            words, first, own, starts = names[some], first[some], own[some], offsets_of(per_word[some])
             cells, counts = (keys & 255).astype(np.uint8).tobytes(), n.astype("<u4").tobytes()
             for at in range(0, len(words), 20_000):
                 some = slice(at, at + 20_000)
@@ -263,6 +266,8 @@ def contexts(runs: DataFrame, classes: np.ndarray, rare: bool) -> DataFrame:
             kind = small[at]
             outside = at >= SHAPE_IDS
             wanted = outside if rare else (at >= UNIT_WORDS) & (at < HEAD)
+            if half is not None:
+                wanted &= at % 2 == half
             cell = kind + outside * np.uint8(RARE_SIDE)
             same = (words[:-1] == words[1:]) & wanted[1:]
             after, before = np.flatnonzero(wanted[:-1]), np.flatnonzero(wanted[1:])
@@ -323,17 +328,20 @@ def gains(cells: np.ndarray, joint: np.ndarray) -> np.ndarray:
     def summed(part: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Sum over the classes j of ``part`` of what adding part[j] to table[:, j] gives."""
         owner, j = np.nonzero(part)
-        kinds, which = np.unique(np.column_stack([j, part[owner, j]]), axis=0, return_inverse=True)
-        each = more(table[:, kinds[:, 0].astype(np.int64)].T, kinds[:, 1:])
-        return segment_sums(each[which.ravel()], offsets_of(np.bincount(owner, minlength=len(part))))
+        kinds, which = np.unique(part[owner, j].astype(np.int64) * CLASSES + j, return_inverse=True)
+        each = more(table[:, kinds % CLASSES].T, (kinds // CLASSES)[:, None])
+        return segment_sums(each[which], offsets_of(np.bincount(owner, minlength=len(part))))
 
     out = summed(right, joint) + summed(left, joint.T) - more(diagonal, right) - more(diagonal, left) \
         + more(diagonal, right + left + own[:, None]) - 2 * more(size, n)
     # the cells shared with the old class have lost what the word had there
     to_old, from_old = joint[:, old].T, joint[old]
     right_old, left_old = right[rows, old][:, None], left[rows, old][:, None]
-    out += more(to_old - left, right_old) - more(to_old, right_old) + more(from_old - right, left_old) - more(from_old, left_old)
-    lost_right, lost_left = f(from_old) - f(from_old - right), f(to_old) - f(to_old - left)
+    table = f(joint)
+    f_to, f_from, less_to, less_from = table[:, old].T, table[old], f(to_old - left), f(from_old - right)
+    out += f(to_old - left + right_old) - less_to - f(to_old + right_old) + f_to
+    out += f(from_old - right + left_old) - less_from - f(from_old + left_old) + f_from
+    lost_right, lost_left = f_from - less_from, f_to - less_to
     lost_right[rows, old] = lost_left[rows, old] = 0
     both = (right_old + left_old)[:, 0] + own
     out[rows, old] = lost_right.sum(1) + lost_left.sum(1) + f(diagonal[old]) - f(diagonal[old] - both) \
@@ -342,8 +350,8 @@ def gains(cells: np.ndarray, joint: np.ndarray) -> np.ndarray:
     return out
 
 
-def moved(found: DataFrame, joint: np.ndarray, half: int | None = None) -> DataFrame:
-    """(id, class, moves) of every word of ``contexts``: the class of the largest gain (of odd or even numbers only); and
+def moved(found: DataFrame, joint: np.ndarray) -> DataFrame:
+    """(id, class, moves) of every word of ``contexts``: the class of the largest gain; and
     with a null id (code, n), summed: class bigrams of these words under their new classes next to words of the head."""
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((CLASSES, CLASSES))
@@ -359,8 +367,6 @@ def moved(found: DataFrame, joint: np.ndarray, half: int | None = None) -> DataF
             gain = gains(cells, joint)
             new = gain.argmax(1)
             stays = gain[np.arange(len(new)), new] <= gain[np.arange(len(new)), old] + 1e-9
-            if half is not None:
-                stays |= words % 2 != half
             new = np.where(stays, old, new)
             member = np.zeros((len(words), CLASSES))
             member[np.arange(len(words)), new] = 1
@@ -390,10 +396,11 @@ def exchange_wide(runs: DataFrame, classes: np.ndarray, passes: int = WIDE_PASSE
         best = classes, joint
         if k == passes:
             break
-        new = moved(contexts(runs, classes, rare=False), joint, k % 2 if k else None).where("id is not null") \
+        half = k % 2 if k else None
+        new = moved(contexts(runs, classes, rare=False, half=half), joint).where("id is not null") \
             .select("id", "class", "moves").toArrow()  # HEAD rows at most
         moves = int(new["moves"].to_numpy().sum())
-        if moves < max(1, 0.005 * len(new)):
+        if moves < max(1, 0.005 * len(new) * (1 if half is None else 2)):
             break
         classes = classes.copy()
         classes[new["id"].to_numpy()] = new["class"].to_numpy()
@@ -455,7 +462,7 @@ class ClassModel:
 
 class _Vocabulary(dict):
     """Number of a word: the frequent ones first, then new ones as they come. Arrays by number: class (of a rarer word:
-    the one it has if no training document holds it), base part, score part and whether the word is known here."""
+    the one it has if no training document holds it), base part and score part; they have room for words to come."""
 
     def __init__(self, model: ClassModel) -> None:
         super().__init__((w, i) for i, (w, _) in enumerate(model.head))
@@ -468,7 +475,7 @@ class _Vocabulary(dict):
         for i, (w, _) in enumerate(model.head):
             if w == END:
                 score[i] = 0.0  # alone in its class
-        self.tables = [classes, np.log10(counts + 1), score, np.ones(self.first)]
+        self.tables, self.filled = [classes, np.log10(counts + 1), score], self.first
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = self.first + len(self.new)
@@ -476,12 +483,15 @@ class _Vocabulary(dict):
         return number
 
     def grown(self) -> list[np.ndarray]:
-        """The arrays, extended to the words numbered so far."""
-        fresh = self.new[len(self.tables[0]) - self.first:]
+        """The arrays, filled up to the words numbered so far."""
+        fresh, end = self.new[self.filled - self.first:], self.first + len(self.new)
+        if end > len(self.tables[0]):
+            room = end // 2
+            self.tables = [np.concatenate([t, np.zeros(end + room - len(t), dtype=t.dtype)]) for t in self.tables]
         if fresh:
-            classes = np.array([self.model.class_of(w) for w in fresh], dtype=np.int64)
-            nothing = np.zeros(len(fresh))
-            self.tables = [np.concatenate([a, b]) for a, b in zip(self.tables, [classes, nothing, nothing, nothing])]
+            units = np.fromiter(map(self.model.units.__getitem__, fresh), np.int64, len(fresh))
+            self.tables[0][self.filled:end] = self.model.class_of_unit[units]
+            self.filled = end
         return self.tables
 
 
@@ -499,7 +509,7 @@ def _partial_scores(docs: DataFrame, shared: Broadcast[ClassModel]) -> DataFrame
             words = [tokens(t) + [END] for t in as_bytes(batch.column(1))]
             offsets = offsets_of([len(w) for w in words])
             numbers = np.fromiter(map(vocabulary.__getitem__, chain.from_iterable(words)), np.int64, int(offsets[-1]))
-            classes, base, emission, known = (t[numbers] for t in vocabulary.grown())
+            classes, base, emission = (t[numbers] for t in vocabulary.grown())
             owner = np.repeat(np.arange(len(words)), np.diff(offsets))
             # rarer words, once per document
             rare = numbers >= vocabulary.first
@@ -513,7 +523,7 @@ def _partial_scores(docs: DataFrame, shared: Broadcast[ClassModel]) -> DataFrame
             previous[offsets[:-1]] = 0  # a document follows an END, whose class is 0
             later = (codes >= CLASSES) | (previous >= CLASSES)
             step = np.where(later, 0.0, vocabulary.model.transition[np.where(later, 0, previous), np.where(later, 0, codes)])
-            sums = segment_sums(np.column_stack([known, base, emission + step]), offsets)
+            sums = segment_sums(np.column_stack([~rare, base, emission + step]), offsets)
             structs = pa.StructArray.from_arrays(
                 [pa.array([vocabulary.new[i - vocabulary.first] for i in word.tolist()], pa.binary()),
                  pa.array(vocabulary.tables[0][word].astype(np.int32)), pa.array(place.astype(np.int32)),
