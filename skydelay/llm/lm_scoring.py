@@ -472,9 +472,8 @@ class _Vocabulary(dict):
         counts = np.array([n for _, n in model.head], dtype=np.float64)
         log_size = np.log10(np.maximum(model.size, 1))
         score = np.log10(np.maximum(counts - model.discount, 1e-9)) - log_size[classes] if len(classes) else np.zeros(0)
-        for i, (w, _) in enumerate(model.head):
-            if w == END:
-                score[i] = 0.0  # alone in its class
+        if END in self:
+            score[self[END]] = 0.0  # alone in its class
         self.tables, self.filled = [classes, np.log10(counts + 1), score], self.first
 
     def __missing__(self, word: bytes) -> int:
@@ -523,7 +522,9 @@ def _partial_scores(docs: DataFrame, shared: Broadcast[ClassModel]) -> DataFrame
             previous[offsets[:-1]] = 0  # a document follows an END, whose class is 0
             later = (codes >= CLASSES) | (previous >= CLASSES)
             step = np.where(later, 0.0, vocabulary.model.transition[np.where(later, 0, previous), np.where(later, 0, codes)])
-            sums = segment_sums(np.column_stack([~rare, base, emission + step]), offsets)
+            n_tokens = np.diff(offsets)
+            n_known = n_tokens - np.bincount(owner[rare], minlength=len(words))
+            base, total = segment_sums(base, offsets), segment_sums(emission + step, offsets)
             structs = pa.StructArray.from_arrays(
                 [pa.array([vocabulary.new[i - vocabulary.first] for i in word.tolist()], pa.binary()),
                  pa.array(vocabulary.tables[0][word].astype(np.int32)), pa.array(place.astype(np.int32)),
@@ -532,21 +533,21 @@ def _partial_scores(docs: DataFrame, shared: Broadcast[ClassModel]) -> DataFrame
                 pa.array(offsets_of(np.bincount(owner[later], minlength=len(words))).astype(np.int32)),
                 pa.array(previous[later] << 32 | codes[later]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(offsets)), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1]),
-                 pa.array(sums[:, 2]), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), structs), steps],
+                [batch.column(0), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(total),
+                 pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), structs), steps],
                 ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "steps"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, kinds)
 
 
 def _late_transitions(steps: Column, classes: Column, transition: np.ndarray) -> Column:
-    """Sum of the transitions of ``steps``, given the classes of the row's rarer words by place."""
+    """Sum of the transitions of ``steps``, given place * CLASSES + class of the row's rarer words in order."""
     @F.arrow_udf(T.DoubleType())
     def total(steps: pa.Array, classes: pa.Array) -> pa.Array:
         n = steps.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         starts = offsets_of(classes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[:-1]
         codes = steps.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        known = np.concatenate([classes.flatten().to_numpy(zero_copy_only=False).astype(np.int64), [0]])
+        known = np.concatenate([classes.flatten().to_numpy(zero_copy_only=False).astype(np.int64) % CLASSES, [0]])
         first = np.repeat(starts, n)
 
         def class_of(code: np.ndarray) -> np.ndarray:
@@ -649,7 +650,7 @@ def score(docs: DataFrame, head_words: int = HEAD) -> DataFrame:
         return F.get(F.array(*[F.lit(float(x)) for x in values]), F.col("class"))
 
     partial = cut_lineage(_partial_scores(docs, shared).withColumn("row_no", F.monotonically_increasing_id()))
-    rare = partial.select("row_no", F.inline("rare")).withColumnRenamed("class", "if_unseen").join(rarer, "word", "left") \
+    rare = partial.select("row_no", F.inline("rare")).withColumnRenamed("class", "if_unseen").join(rarer.hint("shuffle_hash"), "word", "left") \
         .withColumn("class", F.coalesce("class", "if_unseen"))
     some = F.col("n").isNotNull()
     sums = rare.groupBy("row_no").agg(
@@ -657,7 +658,7 @@ def score(docs: DataFrame, head_words: int = HEAD) -> DataFrame:
         F.sum(F.when(some, F.col("times") * F.log10(F.col("n") + 1.0)).otherwise(0.0)).alias("base_rare"),
         F.sum(F.col("times") * (F.when(some, F.log10(F.col("n") - F.lit(model.discount))).otherwise(by_class(unseen))
                                 - by_class(log_size))).alias("score_rare"),
-        F.sort_array(F.collect_list(F.struct("place", "class")))["class"].alias("classes"))  # the row's own words
+        F.sort_array(F.collect_list(F.col("place").cast("long") * CLASSES + F.col("class"))).alias("classes"))  # the row's own words
     per_token = float(np.log10(total + distinct + 1))
     out = partial.drop("rare").join(sums, "row_no", "left") \
         .withColumn("late", _late_transitions(F.col("steps"), F.col("classes"), model.transition))
