@@ -129,7 +129,7 @@ def state_store(spark: SparkSession):
 class _LatestPosition(StatefulProcessor):
     """Value state: an aircraft's newest contact (time, arrival, row). Timer: when it has been silent for too long."""
 
-    def __init__(self, forget_ms: int | None) -> None:
+    def __init__(self, forget_ms: int) -> None:
         self.forget_ms = forget_ms
 
     def init(self, handle) -> None:
@@ -144,10 +144,9 @@ class _LatestPosition(StatefulProcessor):
         if held is not None and tuple(held)[:2] >= best[:2]:
             return
         self.newest.update(best)
-        if self.forget_ms is not None:
-            if held is not None:
-                self.handle.deleteTimer(held[0] // 1000 + self.forget_ms)
-            self.handle.registerTimer(best[0] // 1000 + self.forget_ms)
+        if held is not None:
+            self.handle.deleteTimer(held[0] // 1000 + self.forget_ms)
+        self.handle.registerTimer(best[0] // 1000 + self.forget_ms)
         yield pd.DataFrame({"icao24": [key[0]], "payload": [best[2]], "removed": [False]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -162,18 +161,23 @@ class _LatestPosition(StatefulProcessor):
 
 def latest_positions_stream(stream: DataFrame, ts: str = "last_contact_ts", order: str = "event_id",
                             forget_seconds: int | None = None, delay: str = "1 minute") -> DataFrame:
-    """J1: the changes of the newest state per aircraft (``removed`` false), by ``transformWithState``. Older arrivals never
-    replace a newer state. With ``forget_seconds`` an aircraft is removed when the watermark (``delay``) passes its last contact
-    by that much, which bounds the state to the aircraft now flying; ``delay`` must cover the source's lateness. Write with ``run_changes``."""
+    """J1: the changes of the newest state per aircraft (``removed`` false). Older arrivals never replace a newer state; an
+    aircraft whose state stays may be written again. Without ``forget_seconds`` it is a running aggregate: rows are combined
+    before they meet the state. With it (by ``transformWithState``) an aircraft is removed when the watermark (``delay``) passes
+    its last contact by that much, which bounds the state to the aircraft now flying; ``delay`` must cover the source's
+    lateness. Write with ``run_changes``."""
     columns = [c for c in stream.columns if c != "icao24"]
     s = with_event_time(stream, ts)
     if forget_seconds is not None:
         s = s.withWatermark(ts, delay)
     rows = s.select("icao24", ts, F.coalesce(F.unix_micros(ts), F.lit(-(1 << 62))).alias("micros"),
                     F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 62))).alias("number"), _packed(s, columns).alias("payload"))
-    out = rows.groupBy("icao24").transformWithStateInPandas(
-        _LatestPosition(None if forget_seconds is None else forget_seconds * 1000), "icao24 string, payload string, removed boolean",
-        "Update", "None" if forget_seconds is None else "EventTime")
+    if forget_seconds is None:
+        newest = rows.groupBy("icao24").agg(F.max(F.struct("micros", "number", "payload")).alias("newest"))
+        out = newest.select("icao24", "newest.payload", F.lit(False).alias("removed"))
+    else:
+        out = rows.groupBy("icao24").transformWithStateInPandas(_LatestPosition(forget_seconds * 1000), "icao24 string, payload string, removed boolean",
+                                                                "Update", "EventTime")
     return _unpacked(out, s.schema, columns, "icao24", "removed")
 
 

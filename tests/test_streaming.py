@@ -111,3 +111,25 @@ def test_last_messages_of_each_session(spark):
         [("s", 2, "B"), ("s", 3, "c"), ("t", 1, "x"), ("t", 2, None)]
     # the last batch touched one session: it wrote that session's change only
     assert log.changes().where("epoch = 2").count() == 1
+
+
+def test_feed_reads_its_table_once_whatever_the_files(spark):
+    """Every file of the feed was a read of the whole table, and every file a micro-batch."""
+    from skydelay.plans import queries_live as Q
+    reads = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+    plain = spark.range(4000).selectExpr("id AS event_id", "timestamp_seconds(1700000000 + id * 7) AS ts", "if(id % 50 = 3, null, id) AS x")
+    table = plain.mapInArrow(through, plain.schema)
+    src = Q._feed(spark, table, "ts", tempfile.mkdtemp() + "/src", 10)
+    assert reads.value <= 3 * 4000  # to count, to find the ranges, to write
+    files = sorted(Path(src).glob("part-*.parquet"), key=lambda f: f.stat().st_mtime)
+    assert len(files) == 10
+    ranges = [spark.read.parquet(str(f)).agg(F.min("event_id"), F.max("event_id")).first() for f in files]
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    got = spark.read.parquet(src).groupBy("event_id").count()
+    assert got.count() == 4000 and 0 < got.where("count = 2").count() < 800 and got.where("count > 2").count() == 0
+    assert [Q._batch_files(n) for n in (3, 4, 24, 144, 10_000)] == [1, 1, 6, 8, 8]
