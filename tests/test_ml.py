@@ -31,3 +31,21 @@ def test_encodings_come_from_train_only(spark):
     n_train = p.train.count()
     total = sum(r.n for r in p.rates.where("rate = 'CARRIER_DELAY_RATE'").collect())
     assert total == n_train
+
+
+def test_evaluation_scores_each_row_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def scored(i):
+        seen.add(1)
+        return (i * 7 % 10) / 10
+
+    rows = spark.range(50).select((F.col("id") % 3 == 0).cast("int").alias("IS_DELAYED"), scored("id").alias("delay_probability")) \
+        .withColumn("delay_prediction", (F.col("delay_probability") >= 0.5).cast("int"))
+    got = ml.evaluate(rows).first()
+    assert seen.value == 50
+    pairs = [((i * 7 % 10) / 10, i % 3 == 0) for i in range(50)]
+    beats = [(p > q) + (p == q) / 2 for p, y in pairs if y for q, z in pairs if not z]
+    assert got.total_matched == 50 and abs(got.roc_auc - sum(beats) / len(beats)) < 1e-12
+    assert got.true_positives == sum(y and p >= 0.5 for p, y in pairs)
