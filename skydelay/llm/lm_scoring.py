@@ -284,8 +284,16 @@ def contexts(runs: DataFrame, classes: np.ndarray, rare: bool, half: int | None
     return runs.select(*columns).mapInArrow(count, "word long, class int, own long, cells binary, counts binary")
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of ``contexts`` sorted by word, added up: words, their class, and a row of 4 * CLASSES + 1 counts for each."""
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column end to end, and their lengths."""
+    _, places, data = column.buffers()
+    at = np.frombuffer(places, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(data or b"", np.uint8)[at[0]:at[-1]].copy(), np.diff(at)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows of ``contexts`` sorted by word, each word's together: words, their class, how often each follows itself, and
+    in three arrays (place among these words, cell, count)."""
     kept = None
     for batch in chain(batches_of(batches, 4000), [None]):
         if batch is None:
@@ -294,31 +302,34 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             return
         if not batch.num_rows:
             continue
-        word, n = batch.column(0).to_numpy(), [len(x) for x in batch.column(3).to_pylist()]
+        word, kind, own = (batch.column(k).to_numpy() for k in range(3))
+        (cell, n), (times, _) = _joined(batch.column(3)), _joined(batch.column(4))
+        times = times.view("<u4").astype(float)
+        if kept is not None:  # the last word so far, which may go on
+            word, kind, own = (np.concatenate([x, y]) for x, y in zip(kept[:3], (word, kind, own)))
+            cell, times, n = np.concatenate([kept[4], cell]), np.concatenate([kept[5], times]), np.concatenate([[len(kept[4])], n])
         words, row = np.unique(word, return_inverse=True)
-        cell = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8)
-        times = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u4")
-        wide = 4 * CLASSES + 1
-        table = np.bincount(np.repeat(row, n) * wide + cell, times, len(words) * wide).reshape(-1, wide)
-        table[:, -1] = np.bincount(row, batch.column(2).to_numpy(), len(words))
         kinds = np.zeros(len(words), dtype=np.int64)
-        kinds[row] = batch.column(1).to_numpy()  # words of equal number share what they have
-        if kept is not None and kept[0][0] == words[0]:
-            table[0] += kept[2][0]
-        elif kept is not None:
-            yield kept
-        yield words[:-1], kinds[:-1], table[:-1]
-        kept = words[-1:], kinds[-1:], table[-1:]
+        kinds[row] = kind  # words of equal number share what they have
+        owns, place = np.bincount(row, own, len(words)), np.repeat(row, n)
+        end = np.searchsorted(place, len(words) - 1)  # rows are sorted by word
+        yield words[:-1], kinds[:-1], owns[:-1], place[:end], cell[:end], times[:end]
+        last = np.bincount(cell[end:], times[end:])
+        seen = np.flatnonzero(last)
+        kept = words[-1:], kinds[-1:], owns[-1:], np.zeros(len(seen), dtype=np.int64), seen.astype(np.uint8), last[seen]
 
 
 def gains(cells: np.ndarray, joint: np.ndarray) -> np.ndarray:
     """What the likelihood gains by each class for each word (a row of cells), the word taken out of its own class first:
     the gain of ``exchange``, summed over the classes that the word has been seen next to."""
-    f, size, diagonal = _xlogx, joint.sum(0), joint.diagonal()
-    rows = np.arange(len(cells))
-    old, own = cells[:, CLASS].astype(np.int64), cells[:, OWN]
-    right, left = cells[:, AFTER:BEFORE].copy(), cells[:, BEFORE:BEFORE_UNIT] + cells[:, BEFORE_UNIT:OWN]
-    n = left.sum(1)[:, None]
+    return _gains(cells[:, AFTER:BEFORE].copy(), cells[:, BEFORE:BEFORE_UNIT] + cells[:, BEFORE_UNIT:OWN], cells[:, OWN],
+                  cells[:, CLASS].astype(np.int64), joint)
+
+
+def _gains(right: np.ndarray, left: np.ndarray, own: np.ndarray, old: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """``gains`` by counts of what follows and of what precedes (both are changed)."""
+    f, size, diagonal, rows = _xlogx, joint.sum(0), joint.diagonal(), np.arange(len(old))
+    n = left.sum(1)
     right[rows, old] -= own
     left[rows, old] -= own
 
@@ -330,22 +341,28 @@ def gains(cells: np.ndarray, joint: np.ndarray) -> np.ndarray:
         owner, j = np.nonzero(part)
         kinds, which = np.unique(part[owner, j].astype(np.int64) * CLASSES + j, return_inverse=True)
         each = more(table[:, kinds % CLASSES].T, (kinds // CLASSES)[:, None])
-        return segment_sums(each[which], offsets_of(np.bincount(owner, minlength=len(part))))
-
-    out = summed(right, joint) + summed(left, joint.T) - more(diagonal, right) - more(diagonal, left) \
-        + more(diagonal, right + left + own[:, None]) - 2 * more(size, n)
-    # the cells shared with the old class have lost what the word had there
-    to_old, from_old = joint[:, old].T, joint[old]
-    right_old, left_old = right[rows, old][:, None], left[rows, old][:, None]
-    table = f(joint)
-    f_to, f_from, less_to, less_from = table[:, old].T, table[old], f(to_old - left), f(from_old - right)
-    out += f(to_old - left + right_old) - less_to - f(to_old + right_old) + f_to
-    out += f(from_old - right + left_old) - less_from - f(from_old + left_old) + f_from
-    lost_right, lost_left = f_from - less_from, f_to - less_to
-    lost_right[rows, old] = lost_left[rows, old] = 0
-    both = (right_old + left_old)[:, 0] + own
-    out[rows, old] = lost_right.sum(1) + lost_left.sum(1) + f(diagonal[old]) - f(diagonal[old] - both) \
-        - 2 * (f(size[old]) - f(size[old] - n[:, 0]))
+        out, seen = np.zeros((len(part), CLASSES)), np.bincount(owner, minlength=len(part))
+        starts = offsets_of(seen)
+        for k in range(seen.max(initial=0)):  # the k-th class of every word that has so many
+            some = np.flatnonzero(seen > k)
+            out[some] += each[which[starts[some] + k]]
+        return out
+
+    times, which = np.unique(n, return_inverse=True)
+    out = summed(right, joint) + summed(left, joint.T) - 2 * more(size, times[:, None])[which]
+    # all else is 0 but for classes that the word has been seen next to: the cells shared by both sides, and those shared
+    # with the old class, which have lost what the word had there
+    w, j = np.nonzero((right != 0) | (left != 0) | (own != 0)[:, None])
+    k, r, l, table = old[w], right[w, j], left[w, j], f(joint)
+    d, to_old, from_old, right_old, left_old = diagonal[j], joint[j, k], joint[k, j], right[w, k], left[w, k]
+    f_to, f_from, less_to, less_from = table[j, k], table[k, j], f(to_old - l), f(from_old - r)
+    out[w, j] += f(d + r + l + own[w]) - f(d + r) - f(d + l) + f(d) \
+        + f(to_old - l + right_old) - less_to - f(to_old + right_old) + f_to \
+        + f(from_old - r + left_old) - less_from - f(from_old + left_old) + f_from
+    lost = np.where(j == k, 0, f_from - less_from + f_to - less_to)
+    both = right[rows, old] + left[rows, old] + own
+    out[rows, old] = np.bincount(w, lost, len(old)) + f(diagonal[old]) - f(diagonal[old] - both) \
+        - 2 * (f(size[old]) - f(size[old] - n))
     out[:, 0] = -np.inf
     return out
 
@@ -354,28 +371,26 @@ def moved(found: DataFrame, joint: np.ndarray) -> DataFrame:
     """(id, class, moves) of every word of ``contexts``: the class of the largest gain; and
     with a null id (code, n), summed: class bigrams of these words under their new classes next to words of the head."""
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CLASSES, CLASSES))
+        total = np.zeros(CLASSES ** 2)
         names = ["id", "class", "moves", "code", "n"]
-        for words, old, table in _merged(batches):
+        for words, old, own, place, cell, times in _merged(batches):
             if not len(words):
                 continue
-            cells = np.zeros((len(words), CELLS))
-            cells[:, AFTER:BEFORE] = table[:, :CLASSES] + table[:, RARE_SIDE:RARE_SIDE + CLASSES]
-            cells[:, BEFORE:BEFORE_UNIT] = table[:, BEFORE:2 * CLASSES]
-            cells[:, BEFORE_UNIT:OWN] = table[:, RARE_SIDE + BEFORE:-1]
-            cells[:, OWN], cells[:, CLASS] = table[:, -1], old
-            gain = gains(cells, joint)
+            kind, before = (cell % CLASSES).astype(np.int64), cell // CLASSES % 2 == 1
+            right, left = (np.bincount(place[side] * CLASSES + kind[side], times[side], len(words) * CLASSES).reshape(-1, CLASSES)
+                           for side in (~before, before))
+            gain = _gains(right, left, own, old, joint)
             new = gain.argmax(1)
             stays = gain[np.arange(len(new)), new] <= gain[np.arange(len(new)), old] + 1e-9
             new = np.where(stays, old, new)
-            member = np.zeros((len(words), CLASSES))
-            member[np.arange(len(words)), new] = 1
-            total += member.T @ table[:, :CLASSES] + table[:, BEFORE:2 * CLASSES].T @ member
+            head, mine = cell < RARE_SIDE, new[place]
+            code = np.where(before, kind * CLASSES + mine, mine * CLASSES + kind)
+            total += np.bincount(code[head], times[head], CLASSES ** 2)
             nothing = pa.nulls(len(words), pa.int32()), pa.nulls(len(words), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(new.astype(np.int32)), pa.array(new != old), *nothing], names)
         seen = np.flatnonzero(total)
         blank = [pa.nulls(len(seen), k) for k in (pa.int64(), pa.int32(), pa.bool_())]
-        yield pa.RecordBatch.from_arrays([*blank, pa.array(seen.astype(np.int32)), pa.array(total.ravel()[seen].astype(np.int64))], names)
+        yield pa.RecordBatch.from_arrays([*blank, pa.array(seen.astype(np.int32)), pa.array(total[seen].astype(np.int64))], names)
 
     return found.repartition("word").sortWithinPartitions("word") \
         .mapInArrow(choose, "id long, class int, moves boolean, code int, n long")

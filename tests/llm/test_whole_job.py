@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +253,49 @@ def test_quality_rules_against_sql_on_rare_languages(spark, which):
     names = [d[0] for d in want.description]
     got = quality_rules.op9(docs).select(*names).collect()
     assert Counter(tuple(r) for r in got) == Counter(want.fetchall())
+
+
+def test_moves_equal_those_of_dense_cells():
+    """Words choose by the classes they have been seen next to, however their rows are dealt over batches."""
+    rng, n = np.random.default_rng(6), lm_scoring.CLASSES
+    joint = rng.integers(500, 4000, (n, n)).astype(float)
+    words = np.sort(rng.integers(-2 ** 62, 2 ** 62, 60))
+    rows, want, codes = [], {}, Counter()
+    for i, word in enumerate(words.tolist()):
+        k, dense = int(rng.integers(1, n)), np.zeros((1, lm_scoring.CELLS))
+        dense[0, lm_scoring.CLASS] = k
+        seen = []
+        for _ in range(200 if i == 7 else int(rng.integers(1, 4))):  # a row of each task
+            cells = np.unique(rng.integers(0, 4 * n, 5)).astype(np.uint8)
+            counts = rng.integers(1, 2000, len(cells))
+            own = int(rng.integers(0, 2)) if i % 3 else 0
+            if own:
+                cells, counts = np.array([k, n + k], np.uint8), np.array([own, own])
+            rows.append((word, k, own, cells.tobytes(), counts.astype("<u4").tobytes()))
+            seen += zip(cells.tolist(), counts.tolist())
+            for c, m in zip(cells.tolist(), counts.tolist()):
+                dense[0, c if c < 2 * n else c - 2 * n if c < 3 * n else c - n] += m
+            dense[0, lm_scoring.OWN] += own
+        gain = lm_scoring.gains(dense, joint)[0]
+        new = int(gain.argmax()) if gain.max() > gain[k] + 1e-9 else k
+        want[word] = (new, new != k)
+        for c, m in seen:
+            if c < 2 * n:
+                codes[c % n * n + new if c >= n else new * n + c] += m
+
+    class Found:
+        def __getattr__(self, _):
+            return lambda *args: args[0] if callable(args[0]) else self
+
+    choose = lm_scoring.moved(Found(), joint)
+    names, kinds = ["word", "class", "own", "cells", "counts"], [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+    for size in (3, 100, 5000):
+        got = pa.Table.from_batches(choose(iter(table.to_batches(max_chunksize=size)))).to_pylist()
+        assert {r["id"]: (r["class"], r["moves"]) for r in got if r["id"] is not None} == want
+        assert {r["code"]: r["n"] for r in got if r["id"] is None} == codes
+    with pytest.MonkeyPatch.context() as m:  # as many logarithms as there are neighbours, not one for every class of every word
+        logs = []
+        m.setattr(lm_scoring, "_xlogx", lambda x, f=lm_scoring._xlogx: logs.append(np.size(x)) or f(x))
+        lm_scoring.gains(np.repeat(dense, 500, axis=0), joint)
+    assert sum(logs) < 500 * n * 6
