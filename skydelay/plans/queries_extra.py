@@ -97,9 +97,10 @@ def q_j6(spark, sf):
     from skydelay.streaming import live as S
     model, fs, p = fitted(spark, sf, "logreg")
     src = scratch(spark, "sched-src")
-    p.test.repartition(4).write.parquet(src)
+    tasks = spark.sparkContext.defaultParallelism  # a micro-batch is a file for each of them: four micro-batches in all
+    p.test.repartition(4 * tasks).write.parquet(src)
     schema = spark.read.parquet(src).schema
-    stream = S.stream_files(spark, src, schema, max_files=1)
+    stream = S.stream_files(spark, src, schema, max_files=tasks)
     out = scratch(spark, "scored-stream")
     S.run_available_now(S.score_stream(stream, model).select(*KEYS, "delay_probability", "delay_prediction"), out,
                         scratch(spark, "j6-ckpt"))

@@ -133,3 +133,19 @@ def test_feed_reads_its_table_once_whatever_the_files(spark):
     got = spark.read.parquet(src).groupBy("event_id").count()
     assert got.count() == 4000 and 0 < got.where("count = 2").count() < 800 and got.where("count > 2").count() == 0
     assert [Q._batch_files(n) for n in (3, 4, 24, 144, 10_000)] == [1, 1, 6, 8, 8]
+
+
+def test_scored_micro_batches_have_a_file_for_every_task(spark, monkeypatch):
+    from pathlib import Path
+
+    from conftest import SF_SMALL
+    from skydelay.plans import queries_extra, queries_ml
+    from skydelay.streaming import live
+    fitted = queries_ml.fitted(spark, SF_SMALL, "logreg")
+    monkeypatch.setattr(queries_ml, "fitted", lambda *_: fitted)
+    fed = []
+    monkeypatch.setattr(live, "stream_files", lambda s, path, schema, max_files, read=live.stream_files:
+                        fed.append((path, max_files)) or read(s, path, schema, max_files=max_files))
+    assert queries_extra.q_j6(spark, SF_SMALL).count() == fitted[2].test.count()
+    (path, at_once), tasks = fed[0], spark.sparkContext.defaultParallelism
+    assert at_once == tasks and len(list(Path(path.removeprefix("file:")).glob("part-*"))) > 2 * tasks
